@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="docengine-")
+        for name in (p.relative_to(top.parent) for p in top.rglob("*.py")):
+            (Path(folder, "src") / name).parent.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(top.parent / name, Path(folder, "src") / name)
+        context.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", f"{folder}/src"))
+        _SHIPPED.add(context.applicationId)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that no lost executor makes it run again."""
     shared_dir(df.sparkSession)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, sharding
+from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, sharding
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op3_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs, shards=16)
@@ -50,11 +55,38 @@ def op5_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model may learn from; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~held_out(F.col("doc_id")))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_bpe_forced(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path or vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_pareto": op1_mix_pareto,
     "op2_exact_progressive": op2_exact_progressive,
     "op3_chat_fingerprint": op3_chat_fingerprint,
+    "op4_line_bloom": op4_line_bloom,
     "op5_shard_slots": op5_shard_slots,
+    "op6_language_ppm": op6_language_ppm,
+    "op8_bpe_forced": op8_bpe_forced,
 }
 
 ORACLE_SQL = {
@@ -77,4 +109,12 @@ ORACLE_SQL = {
               FROM e GROUP BY conv_id)
         SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
                sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM a""",
+    "op4_line_bloom": r"""
+        WITH l AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
 }
