@@ -8,8 +8,8 @@ taken until the source's words are reached, so that the sample's size in words i
 fill the gap that whole documents leave, at most one of each size class (classes grow by a fourth of a power of two).
 
 Words are summed in two levels of buckets of the ranking variable before any row is ordered, so that
-no source, however large, is ever sorted in one task. The joins on the source have one row per source on one
-side; Spark picks their kind by measured size.
+no source, however large, is ever sorted in one task. The tables of one row per source are broadcast
+after a check of their size.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import WORD, durable, fresh
 
 #: Buckets of the ranking variable on each of the two levels.
 BUCKETS = 2048
+#: Sources whose table is broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -85,7 +87,10 @@ def mix(
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("a")).alias("weighed"))
     aims = source_targets(sums.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "_s")
     aims = sums.join(aims.drop("source_size"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    aims = durable(aims.withColumn("rate", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0)))
+    aims = aims.withColumn("rate", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0))
+    aims = durable(aims)
+    # tables of one row per source are broadcast if they have been counted and are small, else joined by shuffle
+    few = F.broadcast if aims.count() <= BROADCAST_SOURCES else (lambda df: df)
 
     def ranked(df: DataFrame) -> DataFrame:
         """Adds whole (certain copies) and p (the ranking variable, from 0 to 1; null: never drawn)."""
@@ -95,7 +100,7 @@ def mix(
         df = df.withColumn("_rate", rate).withColumn("whole", F.floor("_rate").cast("long"))
         return df.withColumn("p", F.when((pi > 0) & (F.col("size") > 0), odds / (1 + odds))).drop("_rate")
 
-    rows = ranked(slim.join(aims.select(F.col("source").alias("_s"), "rate"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    rows = ranked(slim.join(few(aims.select(F.col("source").alias("_s"), "rate")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
     cell = lambda n: F.least(F.floor(F.col("p") * n), F.lit(n - 1)).cast("long")
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain")).withColumnRenamed("source", "_s")
     state = aims.join(certain, F.col("source").eqNullSafe(F.col("_s"))).select(
@@ -105,7 +110,7 @@ def mix(
     for _ in range(2):
         # the bucket in which the words needed are reached, of those within the bucket found before
         finer = level * BUCKETS
-        inside = rows.where("p is not null").join(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before"), F.col("source").eqNullSafe(F.col("_s")))
+        inside = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s")))
         if level > 1:
             inside = inside.where(cell(level) == F.col("_cell"))
         sums = inside.withColumn("c", cell(finer)).groupBy("source", "c").agg(F.sum("size").alias("n"), F.first("need").alias("need"), F.first("before").alias("before"))
@@ -119,7 +124,7 @@ def mix(
         )
         level = finer
     # within the last bucket, row by row: the first rows that fit
-    inside = rows.join(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before"), F.col("source").eqNullSafe(F.col("_s"))).where(cell(level) == F.col("_cell"))
+    inside = rows.join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s"))).where(cell(level) == F.col("_cell"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("p", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("upto", upto + F.col("before")).where("upto <= need").groupBy("source").agg(F.max(F.struct("upto", "p", "tie")).alias("cut")).withColumnRenamed("source", "_s")
     lowest = -(1 << 63)
@@ -131,7 +136,7 @@ def mix(
         )
     )
     drawn = (F.col("p") < F.col("cut_p")) | ((F.col("p") == F.col("cut_p")) & (F.col("tie") <= F.col("cut_tie")))
-    left = rows.where("p is not null").join(state.select(F.col("source").alias("_s"), "gap", "cut_p", "cut_tie"), F.col("source").eqNullSafe(F.col("_s"))).where(~drawn & (F.col("size") <= F.col("gap")))
+    left = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), "gap", "cut_p", "cut_tie")), F.col("source").eqNullSafe(F.col("_s"))).where(~drawn & (F.col("size") <= F.col("gap")))
     first = left.groupBy("source", F.floor(4 * F.log2("size")).alias("class")).agg(F.min(F.struct("p", "tie", "size")).alias("d"), F.first("gap").alias("gap"))
     taken_first = (
         "aggregate(reverse(array_sort(collect_list(struct(class, d)))), named_struct('g', first(gap), 't', cast(array() as array<bigint>)), "
@@ -140,13 +145,13 @@ def mix(
     fill = first.groupBy("source").agg(F.expr(taken_first).alias("fill")).withColumnRenamed("source", "_s")
     state = durable(state.join(fill, F.col("source").eqNullSafe(F.col("_s")), "left").select(state["*"], F.coalesce("fill", F.array().cast("array<bigint>")).alias("fill")))
 
-    kept = list(docs.columns)
-    out = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), *row)
-    out = ranked(out.join(state.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    # the input's columns go by number meanwhile, so that none clashes and those not asked for are never read
+    numbered = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
+    out = docs.select(*docs.columns, *row).toDF(*numbered.columns, "source", "size", "u", "tie", "a")
+    out = ranked(out.join(few(state.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
     n = F.col("whole") + F.when(F.col("p").isNotNull() & (drawn | F.array_contains("fill", F.col("tie"))), 1).otherwise(0)
-    return out.select(
-        *[F.col("_row").getField(c).alias(c) for c in kept], F.col("size").alias(size), F.col("source_size").alias(source_size), F.col("target").alias(target), n.alias(copies), (n * F.col("size")).alias(taken)
-    )
+    new = (F.col("size"), F.col("source_size"), F.col("target"), n, n * F.col("size"))
+    return out.select(*[F.col(x).alias(c) for x, c in zip(numbered.columns, docs.columns, strict=True)], *[x.alias(c) for x, c in zip(new, (size, source_size, target, copies, taken), strict=True)])
 
 
 def repeat(mixed: DataFrame, columns: Sequence[str], copies_col: str = "copies") -> DataFrame:
