@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, sharding
+from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, quality, sharding, url_filter
 from .common import table
 
 
@@ -72,6 +72,25 @@ def op8_bpe_forced(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Given rules of op9: verdict, host, path.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality", "toxic")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labelled = pages.join(labels, "page_id").select("url", F.when(bad, "block").otherwise("allow").alias("label"))
+    return url_filter.judge(pages, url_filter.mine(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("good").select("doc_id")
+    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where a public tokenizer's file is installed."""
     import public_tokenizers
@@ -87,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shard_slots": op5_shard_slots,
     "op6_language_ppm": op6_language_ppm,
     "op8_bpe_forced": op8_bpe_forced,
+    "op9_url_rules": op9_url_rules,
+    "op10_quality_llr": op10_quality_llr,
 }
 
 ORACLE_SQL = {
