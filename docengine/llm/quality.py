@@ -17,7 +17,7 @@ from .common import SPACE, SPACES, durable, fresh
 #: Buckets of hashed n-grams; the model is one number for each.
 BUCKETS = 10_000
 #: Mean log-likelihood ratio (natural log) that a document must reach.
-THRESHOLD = -0.2
+THRESHOLD = -0.1
 #: Pseudo-count of each bucket.
 SMOOTH = 1.0
 #: Trusted ids that are broadcast (8 bytes each); more are joined by shuffle.
