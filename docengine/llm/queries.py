@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, quality, sharding, url_filter
+from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, sharding, url_filter
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe_forced(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path or vocabulary())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_bloom": op4_line_bloom,
     "op5_shard_slots": op5_shard_slots,
     "op6_language_ppm": op6_language_ppm,
+    "op7_ngram_paths": op7_ngram_paths,
     "op8_bpe_forced": op8_bpe_forced,
     "op9_url_rules": op9_url_rules,
     "op10_quality_llr": op10_quality_llr,
