@@ -47,10 +47,10 @@ def op4_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sharding.shard(docs, shards=16)
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.size_of(F.col("text")).alias("bytes"), F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("text_crc32"))
+    out = sharding.shard(docs, shards=16, size=F.col("bytes"), tie=F.col("text_crc32"))
     return out.select(
-        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
     )
 

@@ -65,21 +65,22 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return maps.where(F.col("version") == (F.lit(version) if version is not None else maps.agg(F.max("version")).first()[0]))
 
 
-def shard(docs: DataFrame, shards: int, slot_map: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, shards: int, slot_map: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """docs with the columns size, vslot, shard and place (the row's number in its shard, from 0).
 
     Without a slot map, one is made from the rows' sizes. Null texts have size 1. Null ids share one
-    slot, as do rows that repeat an id; rows that repeat an id are ordered by their text's checksum.
+    slot, as do rows that repeat an id; those are ordered by `tie`. size and tie are computed from the
+    text where they aren't given; with both, rows without their texts can be sharded.
     The columns get underscores in front where docs has such names. Empty input: empty result. Rows are
     numbered within slots; where a slot begins in its shard comes from the map.
     """
     names = fresh(docs.columns, "size", "vslot", "shard", "place")
-    rows = docs.withColumns({"__size": size_of(F.col(text_col)), "__vslot": virtual_slot(F.col(id_col), slots), "__crc": F.crc32(F.coalesce(text_col, F.lit("")))})
+    rows = docs.withColumns({"__size": size_of(F.col(text_col)) if size is None else size, "__vslot": virtual_slot(F.col(id_col), slots), "__tie": F.xxhash64(text_col) if tie is None else tie})
     sizes = slot_sizes(rows.select(F.col("__vslot").alias("vslot"), F.col("__size").alias("size")), slots)
     slot_map = durable(assign(sizes, shards, 1)) if slot_map is None else slot_map.drop("bytes", "n").join(sizes, "slot")
     begin = F.sum("n").over(Window.partitionBy("shard").orderBy("slot")) - F.col("n")
     at = slot_map.select(F.col("slot").alias("__vslot"), F.col("shard").alias("__shard"), begin.alias("__begin"))
-    place = F.col("__begin") + F.row_number().over(Window.partitionBy("__vslot").orderBy(F.col(id_col), "__crc")) - 1
+    place = F.col("__begin") + F.row_number().over(Window.partitionBy("__vslot").orderBy(F.col(id_col), "__tie")) - 1
     out = rows.join(F.broadcast(at), "__vslot").withColumn("__place", place)
     return out.select(*docs.columns, *[F.col(f"__{k}").alias(n) for k, n in zip(("size", "vslot", "shard", "place"), names, strict=True)])
 
