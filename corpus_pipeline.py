@@ -1,14 +1,60 @@
-"""The corpus pipeline: stages over documents, each written and read again as Parquet."""
+"""The corpus pipeline: stages over documents, each written and read again as Parquet.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docengine.llm import bpe, language_id, line_dedup, mixing, ngram_join
 from docengine.llm.common import shared_dir
+from docengine.llm.queries import vocabulary
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those that no learned language codes in less than their own bytes."""
+    model = language_id.fit(docs, F.lit(True))
+    out = language_id.identify(docs, model)
+    pred, _, bits = out.columns[len(docs.columns) :]
+    fits = (F.col(pred) != "und") & (F.col(bits) <= 8 * F.octet_length("text"))
+    return out.where(fits).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines that ten documents or more have out of all of them."""
+    out = line_dedup.dedup_lines(docs, min_docs=10)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes the sources to their weights; documents that the mix takes twice come twice."""
+    mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2)
+    return mixing.repeat(mixed, docs.columns, mixed.columns[len(docs.columns) + 3])
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (32-bit little-endian numbers) of each document in the mix, and the tokens as decoded text's hash."""
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES = []
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", tokenize),
+]
 
 #: SQL can't express the stages' models and samples; tests/llm holds the pipeline against plain Python.
 ORACLE_SQL = None
