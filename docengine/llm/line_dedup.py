@@ -62,8 +62,10 @@ def seen_twice(hashes: DataFrame, bits: int) -> DataFrame:
             put(twice, at[was | (n > 1)])
             put(once, at)
         used = np.flatnonzero(once)
+        if not len(used):
+            return
         chunk = used // _WORDS
-        begin = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(used) else []
+        begin = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         rows = [(int(chunk[a]), u.astype(np.uint16).tobytes(), once[used[a:b]].tobytes(), twice[used[a:b]].tobytes()) for a, b in zip(begin, [*begin[1:], len(used)], strict=True) for u in [used[a:b] % _WORDS]]
         for k in range(0, len(rows), 1024):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "once", "twice"])
