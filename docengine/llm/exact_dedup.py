@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, attach, bit_map, durable, mark_in_bit_map
+from .common import SPACES, attach, bit_map, durable, fresh, mark_in_bit_map
 
 #: Code points of the normalised text in the prefix hash.
 PREFIX = 256
@@ -56,6 +56,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one for each text; ids must be unique for that."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(id_col)
-    return docs.join(kept, id_col, "left_semi")
+    """docs with one row for each text: the kept one of exact_groups. Of rows that repeat an id and text any one stays."""
+    tie, may = fresh(docs.columns, "_tie", "_may")
+    found = durable(exact_groups(docs, id_col, text_col, carry={"_t": F.xxhash64("_norm")}).withColumnRenamed(id_col, "_i"))
+    out = ~F.col("kept") & ~F.col("_i").eqNullSafe(F.col("keep_id"))
+    gone = found.where(out).select("_i", "_t").distinct()
+    twice = found.where(~out).groupBy("_i", "_t").count().where("count > 1").select("_i", "_t")
+    gone, twice = durable(gone), durable(twice)
+    # only rows that may go are shuffled with their texts
+    rows = docs.withColumn(tie, F.xxhash64(normalised(F.col(text_col))))
+    rows = mark_in_bit_map(rows, F.xxhash64(F.col(id_col), F.col(tie)), bit_map(gone.union(twice), F.xxhash64("_i", "_t"), MAP_BITS), may, MAP_BITS)
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(tie) == F.col("_t"))
+    unsure = rows.where(may).join(gone, same, "left_anti")
+    unsure = unsure.join(twice, same, "left_anti").unionByName(unsure.join(twice, same, "left_semi").dropDuplicates([id_col, tie]))
+    return rows.where(~F.col(may)).unionByName(unsure).select(*docs.columns)
