@@ -17,12 +17,10 @@ from docengine.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that no learned language codes in less than their own bytes."""
+    """Drops documents that are in no language: those without a letter."""
     model = language_id.fit(docs, F.lit(True))
     out = language_id.identify(docs, model)
-    pred, _, bits = out.columns[len(docs.columns) :]
-    fits = (F.col(pred) != "und") & (F.col(bits) <= 8 * F.octet_length("text"))
-    return out.where(fits).select(*docs.columns)
+    return out.where(F.col(out.columns[len(docs.columns)]) != "und").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
