@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ship
+from .common import durable, fresh, ship
 
 ORDER = 3
 #: Rows of each language that the models are fitted on, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 800
+#: Sampled rows whose hashes are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Cost unit: parts of a bit.
 UNIT = 1024
 #: What stands before a text.
@@ -144,13 +146,17 @@ class Model:
 def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Models of all languages that rows with `train` name; whole texts of sample_rows rows for each, at most.
 
-    The sample is bounded whatever the input; Spark cuts each task's rows to it before they are shuffled.
+    The sample is bounded whatever the input: rows are chosen by hashes, cut to the sample in each task before
+    they are shuffled, and only the texts of those chosen are gathered.
     """
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.xxhash64(text_col))
     rows = docs.where(train & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    ranked = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.row_number().over(order).alias("_k")).where(F.col("_k") <= sample_rows)
+    own = F.xxhash64(F.col(id_col), F.col(text_col))
+    chosen = durable(rows.select(F.col(lang_col).alias("lang"), own.alias("_h"), F.row_number().over(order).alias("_k")).where(F.col("_k") <= sample_rows).select("_h").distinct())
+    if chosen.count() <= BROADCAST_ROWS:  # a sample's worth for each language; with very many of them it is joined by shuffle
+        chosen = F.broadcast(chosen)
     texts: dict[str, list[bytes]] = {}
-    for lang, text in ranked.select("lang", "text").toLocalIterator():
+    for lang, text in rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), own.alias("_h")).join(chosen, "_h").select("lang", "text").toLocalIterator():
         texts.setdefault(lang, []).append(text.encode())
     return Model(texts)
 
