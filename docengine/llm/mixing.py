@@ -4,7 +4,8 @@ Every source gets a target number of words. A document of a source with target/s
 expected r times in the mix (scaled by its importance where a column of that is named): the whole part
 are certain copies, the rest is its inclusion probability. Documents are ranked by the odds of their
 random number divided by the odds of their inclusion (Rosen 1997), and the first ones in that order are
-taken until the source's words are reached, so that the sample's size in words is fixed. Few documents
+taken until the source's words are reached, so that the sample's size in words is fixed; a document longer than all
+the words still needed can't be drawn. Few documents
 fill the gap that whole documents leave, at most one of each size class (classes grow by a fourth of a power of two).
 
 Words are summed in two levels of buckets of the ranking variable before any row is ordered, so that
@@ -111,8 +112,7 @@ def mix(
         # the bucket in which the words needed are reached, of those within the bucket found before
         finer = level * BUCKETS
         inside = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s")))
-        if level > 1:
-            inside = inside.where(cell(level) == F.col("_cell"))
+        inside = inside.where((F.col("size") <= F.col("need")) & (F.lit(level == 1) | (cell(level) == F.col("_cell"))))
         sums = inside.withColumn("c", cell(finer)).groupBy("source", "c").agg(F.sum("size").alias("n"), F.first("need").alias("need"), F.first("before").alias("before"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("c"))
         sums = sums.withColumn("upto", upto + F.col("before")).where("upto > need").groupBy("source").agg(F.min_by(F.struct("c", F.expr("upto - n").alias("b")), "c").alias("hit"))
@@ -124,19 +124,19 @@ def mix(
         )
         level = finer
     # within the last bucket, row by row: the first rows that fit
-    inside = rows.join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s"))).where(cell(level) == F.col("_cell"))
+    inside = rows.join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("size") <= F.col("need")) & (cell(level) == F.col("_cell")))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("p", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("upto", upto + F.col("before")).where("upto <= need").groupBy("source").agg(F.max(F.struct("upto", "p", "tie")).alias("cut")).withColumnRenamed("source", "_s")
     lowest = -(1 << 63)
     state = durable(
         state.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            "source", "source_size", "target", "rate",
+            "source", "source_size", "target", "rate", "need",
             (F.col("need") - F.coalesce("cut.upto", "before")).alias("gap"),
             F.coalesce("cut.p", F.col("cell") / F.lit(float(level))).alias("cut_p"), F.coalesce("cut.tie", F.lit(lowest)).alias("cut_tie"),
         )
     )
-    drawn = (F.col("p") < F.col("cut_p")) | ((F.col("p") == F.col("cut_p")) & (F.col("tie") <= F.col("cut_tie")))
-    left = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), "gap", "cut_p", "cut_tie")), F.col("source").eqNullSafe(F.col("_s"))).where(~drawn & (F.col("size") <= F.col("gap")))
+    drawn = (F.col("size") <= F.col("need")) & ((F.col("p") < F.col("cut_p")) | ((F.col("p") == F.col("cut_p")) & (F.col("tie") <= F.col("cut_tie"))))
+    left = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), "need", "gap", "cut_p", "cut_tie")), F.col("source").eqNullSafe(F.col("_s"))).where(~drawn & (F.col("size") <= F.col("gap")))
     first = left.groupBy("source", F.floor(4 * F.log2("size")).alias("class")).agg(F.min(F.struct("p", "tie", "size")).alias("d"), F.first("gap").alias("gap"))
     taken_first = (
         "aggregate(reverse(array_sort(collect_list(struct(class, d)))), named_struct('g', first(gap), 't', cast(array() as array<bigint>)), "

@@ -36,7 +36,9 @@ def test_targets_and_sizes(docs, rows):
     for r in out:
         assert abs(r["target"] - want[r["source"]]) < 1e-6 and r["source_size"] == size[r["source"]]
     for s, t in want.items():
-        assert -0.1 * t - 30 <= taken[s] - t <= longest[s], (s, taken[s], t)
+        # source b is one document of 30000 words and little else: no whole documents come near
+        assert abs(taken[s] - t) <= (longest[s] if s == "b" else 0.05 * t + 10), (s, taken[s], t)
+        assert s != "b" or taken[s] > size[s]
 
 
 def test_reruns_agree_and_columns_stay(docs, clash):
