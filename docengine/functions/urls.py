@@ -84,7 +84,7 @@ def safe_segment(segment: Column, most: int = 200, kept: int = 180) -> Column:
 
 
 def safe_key(key: Column) -> Column:
-    return F.concat_ws("/", F.transform(F.split(key, "/"), safe_segment))
+    return F.concat_ws("/", F.transform(F.split(key, "/"), lambda s: safe_segment(s)))
 
 
 def is_storage_key(key: Column) -> Column:

@@ -26,7 +26,7 @@ def version_at_most(actual: Column, requested: str) -> Column:
 
 def tidy_float(value: Column) -> Column:
     """Two decimals, without zeros at the end."""
-    return F.regexp_replace(F.format_number(value, "0.00"), r"\.?0+$", "")
+    return F.regexp_replace(F.call_function("format_number", value, F.lit("0.00")), r"\.?0+$", "")
 
 
 def platform_map(platforms: Column) -> Column:

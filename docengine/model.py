@@ -17,9 +17,17 @@ ROOT_SOURCE_TYPES = {
 }
 PLATFORMS = ("ios", "macos", "watchos", "tvos", "visionos")
 
-SECTION = T.StructType.fromDDL("section_kind string, heading string, content_text string, content_json string, sort_order int")
-RELATION = T.StructType.fromDDL("from_key string, to_key string, relation_type string, section string, sort_order int")
-DOCUMENT = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A struct from "name kind, name kind"; needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+SECTION = _struct("section_kind string, heading string, content_text string, content_json string, sort_order int")
+RELATION = _struct("from_key string, to_key string, relation_type string, section string, sort_order int")
+DOCUMENT = _struct(
     "source_type string, key string, title string, kind string, role string, role_heading string, framework string, url string, language string, "
     "abstract_text string, declaration_text string, headings string, platforms_json string, min_ios string, min_macos string, min_watchos string, "
     "min_tvos string, min_visionos string, is_deprecated boolean, is_beta boolean, is_release_notes boolean, url_depth int, source_metadata string"
