@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import fresh, ship
 
 #: Distinct words that a worker keeps, in two generations, and the characters of the longest of them.
-CACHED, CACHED_CHARS = 250_000, 64
+CACHED, CACHED_CHARS = 80_000, 64
 #: Texts of these characters alone are normalised here: all are composed already, no mark can join them, and
 #: lower case depends on no neighbour. (Space and 9 to 13, then printable ASCII and Latin up to U+02AF.)
 _PLAIN = re.compile("[\\t-\\r -~\u00a1-\u00ac\u00ae-\u02af]*")

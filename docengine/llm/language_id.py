@@ -32,7 +32,7 @@ BROADCAST_ROWS = 1_000_000
 UNIT = 1024
 #: What stands before a text.
 PAD = b"\n" * ORDER
-_PIECE, _SLOTS = 1 << 20, 22
+_PIECE, _SLOTS = 1 << 18, 22
 
 
 def has_letter(text: Column) -> Column:
