@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame
 from ..model import BUNDLE
 from ..session import ship
 
+#: Levels of nesting that are read; what is deeper is left out.
 MAX_DEPTH = 512
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * MAX_DEPTH))
 # Names of platforms, and of relations
 PLATFORM_KEYS = {"iOS": "ios", "macOS": "macos", "watchOS": "watchos", "tvOS": "tvos", "visionOS": "visionos", "Mac Catalyst": "maccatalyst", "macCatalyst": "maccatalyst", "iPadOS": "ipados"}
 RELATION_TYPES = {"inheritsFrom": "inherits_from", "conformsTo": "conforms_to", "inheritedBy": "inherited_by"}
