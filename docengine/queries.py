@@ -783,3 +783,81 @@ def streaming_crawl_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = incremental.crawl_metrics(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 6).alias("value"))
+
+
+# ---- catalogues, listings, embeddings --------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT p_partkey, p_name, p_size, string_split_regex(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}]+') AS t FROM part WHERE p_brand = 'Brand#11'), h AS (SELECT *, (len(list_filter(t, lambda x: starts_with(x, 'st'))) > 0)::INT + (len(list_filter(t, lambda x: starts_with(x, 'b'))) > 0)::INT AS hits FROM s)
+    SELECT p_partkey, hits::BIGINT AS hits FROM h WHERE hits > 0""")
+def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.catalog import symbol_search as run
+
+    none = F.array().cast("array<string>")
+    s = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("scope"), F.split("p_type", " ").alias("keywords"), none.alias("categories"), none.alias("aliases"), F.col("p_size").alias("order_index"))
+    return run(s, "ST b", "Brand#11", 1_000_000).select("p_partkey", F.col("hits").cast("long").alias("hits"))
+
+
+@query("SELECT n_nationkey AS id, count(c_custkey) AS n, coalesce(string_agg(c_name, ',' ORDER BY c_name), '') AS files FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 20 = 0) ON c_nationkey = n_nationkey GROUP BY 1")
+def font_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.catalog import font_catalog as run
+
+    files = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("family_id"), F.col("c_name").alias("file_name"), F.lit(400).alias("weight"), F.lit(False).alias("italic"))
+    out = run(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display_name")), files)
+    return out.select("id", F.size("files").cast("long").alias("n"), F.concat_ws(",", F.col("files.file_name")).alias("files"))
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
+def dedup_first_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.catalog import first_file
+
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("family_id"), F.col("l_linenumber").alias("file_name"), F.col("l_partkey").alias("id"))
+    return first_file(f).select(F.col("family_id").alias("l_orderkey"), F.col("file_name").alias("l_linenumber"), F.col("id").alias("l_partkey"))
+
+
+@query(f"WITH {CORPUS_SQL} SELECT id, CASE WHEN source_type = 'wwdc' THEN json_extract_string(source_metadata, '$.year') WHEN source_type = 'swift-evolution' THEN 'Other' WHEN source_type IN ('packages', 'swift-book', 'apple-archive', 'hig') THEN split_part(key, '/', 2) END AS label FROM corpus")
+def scope_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.catalog import scope_label as run
+
+    return corpus.documents(spark, sf_dir, False).select("id", run(F.col("source_type"), F.col("key"), F.col("title"), F.col("source_metadata")).alias("label"))
+
+
+@query(f"WITH {SECTIONS_SQL}, l AS (SELECT *, CASE WHEN section_kind = 'declaration' THEN 'Declaration' ELSE coalesce(nullif(heading, ''), 'Overview') END AS label FROM sections WHERE section_kind <> 'abstract' AND trim(content_text) <> '') SELECT document_id, sort_order, replace(lower(label), ' ', '-') AS anchor, label FROM l")
+def page_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.catalog import page_toc as run
+
+    return run(corpus.sections(spark, sf_dir))
+
+
+@query("SELECT doc_id AS document_id FROM documents WHERE NOT (doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0)")
+def pages_to_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.catalog import pages_to_render as run
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.xxhash64("text").alias("digest"))
+    done = d.where("document_id % 2 = 0").select("document_id", F.when(F.col("document_id") % 3 == 0, 0).otherwise(F.col("digest")).alias("digest"), F.when(F.col("document_id") % 5 == 0, "old").otherwise("new").alias("template"))
+    return run(d, done, "new").select("document_id")
+
+
+@query(f"WITH {CORPUS_SQL} SELECT id, key FROM corpus WHERE id > 100 ORDER BY id LIMIT 50")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resumable scan's page: ids above the mark, in order."""
+    return corpus.documents(spark, sf_dir, False).where("id > 100").orderBy("id").limit(50).select("id", "key")
+
+
+@query(f"WITH {CORPUS_SQL}, h AS (SELECT id FROM corpus WHERE contains(lower(title), 'the') INTERSECT SELECT id FROM corpus WHERE contains(lower(title), 'and')) SELECT id FROM h")
+def posting_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of documents intersected: those that have all."""
+    d = corpus.documents(spark, sf_dir, False)
+    lists = d.where(F.lower("title").contains("the")).select("id", F.lit("the").alias("term")).union(d.where(F.lower("title").contains("and")).select("id", F.lit("and")))
+    return lists.groupBy("id").agg(F.countDistinct("term").alias("n")).where("n = 2").select("id")
+
+
+@query()
+def embed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashing embedder over titles and a search by it; tests hold it against a plain version."""
+    from .functions.embedding import embed, hashing_embedder
+
+    d = corpus.documents(spark, sf_dir, False)
+    rows = d.select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.lit(0).alias("ord"), embed(F.col("title"), hashing_embedder(), spark).alias("vector"))
+    found = semantic.search(semantic.build_chunk_index(rows), hashing_embedder()("the and"), top=20)
+    return found.select("document_id", F.round("score", 6).alias("score"))
