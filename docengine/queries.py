@@ -233,7 +233,7 @@ def vec_int8_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.rescore(semantic.shortlist(semantic.build_chunk_index(e), q), q).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_VEC_SQL}, {_I8_SQL} SELECT document_id, max(score) AS m, round(max(score), 6) AS score FROM r GROUP BY document_id ORDER BY m DESC, document_id LIMIT 50".replace("SELECT document_id, max(score) AS m, round", "SELECT document_id, round").replace("ORDER BY m DESC", "ORDER BY max(score) DESC"))
+@query(f"WITH {_VEC_SQL}, {_I8_SQL} SELECT document_id, round(max(r.score), 6) AS score FROM r GROUP BY document_id ORDER BY max(r.score) DESC, document_id LIMIT 50")
 def vec_chunk_maxpool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, q = _chunks(spark, sf_dir)
     return semantic.search(semantic.build_chunk_index(e), q).select("document_id", F.round("score", 6).alias("score"))
@@ -585,10 +585,10 @@ def url_map_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {CORPUS_SQL} SELECT id, lower(key) AS normal, source AS root, NULL::VARCHAR AS web, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-{{2,}}', '-', 'g'), '') AS slug FROM corpus JOIN documents ON id = doc_id".replace("trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(title))", "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title))").replace("'-', 'g'), '') AS slug", "'-', 'g'), '^-|-$', '', 'g') AS slug"))
+@query(f"""WITH {CORPUS_SQL} SELECT id, lower(key) AS normal, framework AS root, NULL::VARCHAR AS web,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-{{2,}}', '-', 'g'), '^-|-$', '', 'g') AS slug FROM corpus""")
 def identifier_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.documents(spark, sf_dir, False)
-    ident = identifiers.normalize_identifier(F.concat(F.lit("doc://com.example/documentation/"), F.upper("key"), F.lit("/#part")))
     ident = identifiers.normalize_identifier(F.concat(F.lit("/documentation/"), F.upper("key"), F.lit("/")))
     return d.select("id", ident.alias("normal"), identifiers.root_slug(F.col("key")).alias("root"), identifiers.normalize_identifier(F.concat(F.lit("https://x/"), "key")).alias("web"), text.slugify(F.col("title")).alias("slug"))
 
