@@ -301,7 +301,7 @@ def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CORPUS_SQL}, b AS (SELECT *, CASE id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' WHEN 2 THEN 'match' ELSE 'body' END AS mq, lower(source_type) AS s, lower(role_heading) AS k FROM corpus)
-    SELECT id, round(CASE mq WHEN 'exact' THEN 100.0 WHEN 'prefix' THEN 80.0 WHEN 'match' THEN 50.0 ELSE 10.0 END
+    SELECT id, round(CASE mq WHEN 'exact' THEN 100.0::DOUBLE WHEN 'prefix' THEN 80.0 WHEN 'match' THEN 50.0 ELSE 10.0 END
       * CASE WHEN split_part(path, '/', -1) = 'how to make the example' OR lower(title) = 'how to make the example' THEN 3.0 ELSE 1.0 END
       * CASE WHEN s IN ('hig', 'guidelines') OR k = 'article' THEN 1.3 ELSE 1.0 END * CASE WHEN is_release_notes OR contains(path, 'release-notes') THEN 0.4 ELSE 1.0 END
       * CASE WHEN s = 'apple-archive' THEN 0.6 ELSE 1.0 END * CASE WHEN s = 'sample-code' THEN 1.2 ELSE 1.0 END * CASE WHEN s = 'packages' THEN 0.45 ELSE 1.0 END
