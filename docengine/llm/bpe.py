@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, ship
+from .common import fresh, release, ship
 
 #: Distinct words that a worker keeps, in two generations, and the characters of the longest of them.
 CACHED, CACHED_CHARS = 80_000, 64
@@ -147,5 +147,6 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode:
                 if decode:
                     new.append(pa.array([d for _, d in done], pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(k, step).columns, *new], names=schema.names)
+        release()
 
     return docs.mapInArrow(run, schema)

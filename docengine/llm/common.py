@@ -33,10 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch: texts are long, and both sides of the pipe hold a batch.
+BATCH_ROWS = 1000
+
+
+def release() -> None:
+    """Gives the memory that a Python worker has freed back to the system, at the end of a task: workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application."""
+    """Sends this package to the Python workers, once for each application, and makes Arrow batches small where nobody has set their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         top = Path(__file__).resolve().parent.parent

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fresh, ship
+from .common import durable, fresh, release, ship
 
 ORDER = 3
 #: Rows of each language that the models are fitted on, those with the smallest hashes of their ids.
@@ -192,5 +192,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 bits = np.where(usable, least / UNIT, np.nan)
                 pred = [m.langs[b] if u else "und" for b, u in zip(best, usable, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(bits, pa.float64(), from_pandas=True)], names=schema.names)
+        release()
 
     return docs.withColumn(letters, has_letter(F.col(text_col))).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BITS, SPACE, durable, fresh, mark_in_bit_map, ship
+from .common import CHUNK_BITS, SPACE, durable, fresh, mark_in_bit_map, release, ship
 
 #: Repeated lines up to this number are sent to every task (32 bytes each and overhead); more are joined.
 BROADCAST_LINES = 400_000
@@ -169,5 +169,6 @@ def dedup_lines(
                 gone.append(len(parts) - len(stays))
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+        release()
 
     return rows.mapInArrow(apply, schema)
