@@ -3,10 +3,11 @@
 Every source gets a target number of words. A document of a source with target/size ratio r is
 expected r times in the mix (scaled by its importance where a column of that is named): the whole part
 are certain copies, the rest is its inclusion probability. Documents are ranked by the odds of their
-random number divided by the odds of their inclusion (Rosen 1997), and the first ones in that order are
-taken until the source's words are reached, so that the sample's size in words is fixed; a document longer than all
-the words still needed can't be drawn. Few documents
-fill the gap that whole documents leave, at most one of each size class (classes grow by a fourth of a power of two).
+random number divided by the odds of their inclusion (Rosen 1997), and each one in that order is taken
+if it isn't longer than the words still needed, so that the sample's size in words is fixed: what stays
+away from the target is less than any document that could still be drawn. That is done in rounds over
+all sources at once: a round ends at a source's first document that overflows the gap, and the next one
+goes on behind it with those that fit what is left, until none does.
 
 Words are summed in two levels of buckets of the ranking variable before any row is ordered, so that
 no source, however large, is ever sorted in one task. The tables of one row per source are broadcast
@@ -104,53 +105,57 @@ def mix(
     rows = ranked(slim.join(few(aims.select(F.col("source").alias("_s"), "rate")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
     cell = lambda n: F.least(F.floor(F.col("p") * n), F.lit(n - 1)).cast("long")
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain")).withColumnRenamed("source", "_s")
-    state = aims.join(certain, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "source", "source_size", "target", "rate", (F.col("target") - F.col("certain")).alias("need"), F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("before")
-    )
-    level = 1
-    for _ in range(2):
-        # the bucket in which the words needed are reached, of those within the bucket found before
-        finer = level * BUCKETS
-        inside = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s")))
-        inside = inside.where((F.col("size") <= F.col("need")) & (F.lit(level == 1) | (cell(level) == F.col("_cell"))))
-        sums = inside.withColumn("c", cell(finer)).groupBy("source", "c").agg(F.sum("size").alias("n"), F.first("need").alias("need"), F.first("before").alias("before"))
-        upto = F.sum("n").over(Window.partitionBy("source").orderBy("c"))
-        sums = sums.withColumn("upto", upto + F.col("before")).where("upto > need").groupBy("source").agg(F.min_by(F.struct("c", F.expr("upto - n").alias("b")), "c").alias("hit"))
-        sums = sums.withColumnRenamed("source", "_s")
-        state = durable(
-            state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-                "source", "source_size", "target", "rate", "need", F.coalesce("hit.c", F.lit(finer)).cast("long").alias("cell"), F.coalesce("hit.b", "before").cast("long").alias("before")
-            )
-        )
-        level = finer
-    # within the last bucket, row by row: the first rows that fit
-    inside = rows.join(few(state.select(F.col("source").alias("_s"), F.col("cell").alias("_cell"), "need", "before")), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("size") <= F.col("need")) & (cell(level) == F.col("_cell")))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("p", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    last = inside.withColumn("upto", upto + F.col("before")).where("upto <= need").groupBy("source").agg(F.max(F.struct("upto", "p", "tie")).alias("cut")).withColumnRenamed("source", "_s")
-    lowest = -(1 << 63)
+    lowest, step = -(1 << 63), "struct<gap:double,from_p:double,from_tie:bigint,to_p:double,to_tie:bigint>"
     state = durable(
-        state.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            "source", "source_size", "target", "rate", "need",
-            (F.col("need") - F.coalesce("cut.upto", "before")).alias("gap"),
-            F.coalesce("cut.p", F.col("cell") / F.lit(float(level))).alias("cut_p"), F.coalesce("cut.tie", F.lit(lowest)).alias("cut_tie"),
+        aims.join(certain, F.col("source").eqNullSafe(F.col("_s"))).select(
+            "source", "source_size", "target", "rate", (F.col("target") - F.col("certain")).cast("double").alias("gap"),
+            F.lit(-1.0).alias("from_p"), F.lit(lowest).alias("from_tie"), F.lit(True).alias("open"), F.array().cast(f"array<{step}>").alias("steps"),
         )
     )
-    drawn = (F.col("size") <= F.col("need")) & ((F.col("p") < F.col("cut_p")) | ((F.col("p") == F.col("cut_p")) & (F.col("tie") <= F.col("cut_tie"))))
-    left = rows.where("p is not null").join(few(state.select(F.col("source").alias("_s"), "need", "gap", "cut_p", "cut_tie")), F.col("source").eqNullSafe(F.col("_s"))).where(~drawn & (F.col("size") <= F.col("gap")))
-    first = left.groupBy("source", F.floor(4 * F.log2("size")).alias("class")).agg(F.min(F.struct("p", "tie", "size")).alias("d"), F.first("gap").alias("gap"))
-    taken_first = (
-        "aggregate(reverse(array_sort(collect_list(struct(class, d)))), named_struct('g', first(gap), 't', cast(array() as array<bigint>)), "
-        "(s, x) -> if(x.d.size <= s.g, named_struct('g', s.g - x.d.size, 't', array_append(s.t, x.d.tie)), s), s -> s.t)"
-    )
-    fill = first.groupBy("source").agg(F.expr(taken_first).alias("fill")).withColumnRenamed("source", "_s")
-    state = durable(state.join(fill, F.col("source").eqNullSafe(F.col("_s")), "left").select(state["*"], F.coalesce("fill", F.array().cast("array<bigint>")).alias("fill")))
+    after = lambda p, tie: (F.col("p") > p) | ((F.col("p") == p) & (F.col("tie") > tie))
+    until = lambda p, tie: (F.col("p") < p) | ((F.col("p") == p) & (F.col("tie") < tie))
+
+    def fitting(at: DataFrame) -> DataFrame:
+        """Documents behind the last one refused that fit the gap by themselves."""
+        inside = rows.where("p is not null").join(few(at), F.col("source").eqNullSafe(F.col("_s")))
+        return inside.where((F.col("size") <= F.col("gap")) & after(F.col("from_p"), F.col("from_tie")))
+
+    # each round takes what fits the gap up to the first document that overflows it; the next round goes on behind that one
+    while not state.where("open").isEmpty():
+        at = state.where("open").select(F.col("source").alias("_s"), "gap", "from_p", "from_tie", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"))
+        level = 1
+        for _ in range(2):
+            # the bucket in which the gap is reached, of those within the bucket found before
+            finer = level * BUCKETS
+            inside = fitting(at).where(F.lit(level == 1) | (cell(level) == F.col("cell")))
+            sums = inside.withColumn("c", cell(finer)).groupBy("source", "c").agg(F.sum("size").alias("n"), F.first("gap").alias("gap"), F.first("before").alias("before"))
+            upto = F.sum("n").over(Window.partitionBy("source").orderBy("c"))
+            sums = sums.withColumn("upto", upto + F.col("before")).where("upto > gap").groupBy("source").agg(F.min_by(F.struct("c", F.expr("upto - n").alias("b")), "c").alias("hit"))
+            at = at.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
+            at = durable(at.select("_s", "gap", "from_p", "from_tie", F.coalesce("hit.c", F.lit(finer)).cast("long").alias("cell"), F.coalesce("hit.b", "before").cast("long").alias("before")))
+            level = finer
+        # within the last bucket, row by row
+        upto = F.sum("size").over(Window.partitionBy("source").orderBy("p", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        inside = fitting(at).where(cell(level) == F.col("cell")).withColumn("upto", upto + F.col("before"))
+        ends = inside.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("spent"), F.min(F.when(F.col("upto") > F.col("gap"), F.struct("p", "tie"))).alias("stop"))
+        ends = at.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select("_s", (F.col("gap") - F.coalesce("spent", "before")).alias("left"), "stop")
+        took = F.struct("gap", "from_p", "from_tie", F.coalesce("stop.p", F.lit(2.0)).alias("to_p"), F.coalesce("stop.tie", F.lit(lowest)).alias("to_tie")).cast(step)
+        state = durable(
+            state.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+                "source", "source_size", "target", "rate", F.when(F.col("open"), F.col("left")).otherwise(F.col("gap")).alias("gap"),
+                F.coalesce("stop.p", "from_p").alias("from_p"), F.coalesce("stop.tie", "from_tie").alias("from_tie"),
+                (F.col("open") & F.col("stop").isNotNull() & (F.col("left") >= 1)).alias("open"), F.when(F.col("open"), F.array_append("steps", took)).otherwise(F.col("steps")).alias("steps"),
+            )
+        )
+    drawn = F.exists("steps", lambda x: (F.col("size") <= x["gap"]) & after(x["from_p"], x["from_tie"]) & until(x["to_p"], x["to_tie"]))
 
     # the input's columns go by number meanwhile, so that none clashes and those not asked for are never read
     numbered = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
     out = docs.select(*docs.columns, *row).toDF(*numbered.columns, "source", "size", "u", "tie", "a")
-    out = ranked(out.join(few(state.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
-    n = F.col("whole") + F.when(F.col("p").isNotNull() & (drawn | F.array_contains("fill", F.col("tie"))), 1).otherwise(0)
-    new = (F.col("size"), F.col("source_size"), F.col("target"), n, n * F.col("size"))
+    out = ranked(out.join(few(state.select(F.col("source").alias("_s"), "source_size", "target", "rate", "steps")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    # a column of its own: names in a lambda would mean the select's aliases first
+    out = out.withColumn("n", F.col("whole") + F.when(F.col("p").isNotNull() & drawn, 1).otherwise(0))
+    new = (F.col("size"), F.col("source_size"), F.col("target"), F.col("n"), F.col("n") * F.col("size"))
     return out.select(*[F.col(x).alias(c) for x, c in zip(numbered.columns, docs.columns, strict=True)], *[x.alias(c) for x, c in zip(new, (size, source_size, target, copies, taken), strict=True)])
 
 

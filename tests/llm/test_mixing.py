@@ -61,3 +61,18 @@ def test_importance_and_repeat(docs):
 
 def test_empty(empty):
     assert mixing.mix(empty, (5, 2, 1), 1.5).count() == 0
+
+
+def test_gaps_are_filled(spark):
+    # each source is many small documents and one with a fourth of its words
+    from pyspark.sql import functions as F
+
+    d = spark.range(40 * 101).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 101).cast("string").alias("source"), F.when(F.col("id") % 101 == 100, 1000).otherwise(11 + F.col("id") * 7 % 37).cast("int").alias("n"))
+    out = mixing.mix(d.select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text")), (1,), 1.5, 2).collect()
+    gap = {r["source"]: r["target"] for r in out}
+    for r in out:
+        gap[r["source"]] -= r["taken"]
+    for r in out:
+        # whole copies are one each: those without a second one are too long for what is left
+        assert 0 <= gap[r["source"]] <= 0.02 * r["target"] and r["copies"] in (1, 2)
+        assert r["copies"] == 2 or r["size"] > gap[r["source"]], (r["source"], gap[r["source"]])
