@@ -76,3 +76,21 @@ def test_gaps_are_filled(spark):
         # whole copies are one each: those without a second one are too long for what is left
         assert 0 <= gap[r["source"]] <= 0.02 * r["target"] and r["copies"] in (1, 2)
         assert r["copies"] == 2 or r["size"] > gap[r["source"]], (r["source"], gap[r["source"]])
+
+
+def test_rows_that_tie_are_charged(spark):
+    # each source is small documents, and one that comes twelve times with its id
+    from pyspark.sql import functions as F
+
+    one = F.when(F.col("id") % 112 >= 100, 100).otherwise(F.col("id") % 112)
+    d = spark.range(40 * 112).select((F.floor(F.col("id") / 112) * 112 + one).alias("doc_id"), F.floor(F.col("id") / 112).cast("string").alias("source"), F.when(one == 100, 60).otherwise(60 + one * 7 % 37).cast("int").alias("n"))
+    out = mixing.mix(d.select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text")), (1,), 1.5, 2).collect()
+    gap, tied = {r["source"]: r["target"] for r in out}, defaultdict(list)
+    for r in out:
+        gap[r["source"]] -= r["taken"]
+        tied[r["doc_id"]].append(r)
+    assert all(0 <= g < 60 for g in gap.values()), gap
+    for group in tied.values():
+        assert len({r["copies"] for r in group}) == 1
+        assert group[0]["copies"] == 2 or sum(r["size"] for r in group) > gap[group[0]["source"]]
+    assert {r["copies"] for g in tied.values() if len(g) == 12 for r in g} == {1, 2}
