@@ -807,6 +807,16 @@ def font_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("files").cast("long").alias("n"), F.concat_ws(",", F.col("files.file_name")).alias("files"))
 
 
+@query("SELECT n_nationkey AS id, count(c_custkey) AS n, coalesce(string_agg(c_name, ',' ORDER BY c_name), '') AS files FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def font_catalog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a file."""
+    from .operators.catalog import font_catalog as run
+
+    files = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("family_id"), F.col("c_name").alias("file_name"), F.lit(400).alias("weight"), F.lit(False).alias("italic"))
+    out = run(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display_name")), files)
+    return out.select("id", F.size("files").cast("long").alias("n"), F.concat_ws(",", F.col("files.file_name")).alias("files"))
+
+
 @query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
 def dedup_first_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.catalog import first_file

@@ -63,3 +63,9 @@ def test_plans_have_what_they_should(spark):
     assert "CartesianProduct" not in plan("link_classify") and "BroadcastNestedLoop" not in plan("link_classify")
     assert "text" not in plan("filter_kind_role").split("ReadSchema")[1]
     assert "TakeOrderedAndProject" in plan("vec_sign_hamming_topk")
+
+
+def test_every_file_is_listed(spark, duck):
+    got = QUERIES["font_catalog_all"](spark, SRC).collect()
+    assert sum(r["n"] for r in got) == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert sorted(x for r in got if r["n"] for x in r["files"].split(",")) == sorted(r[0] for r in duck.sql("SELECT c_name FROM customer").fetchall())
