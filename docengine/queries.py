@@ -439,6 +439,13 @@ def framework_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.framework_tree(corpus.relationships(spark, sf_dir), docs).select("from_key", "to_key", "relation_type", "section", "sort_order")
 
 
+@query(f"WITH {EDGES_SQL}, docs AS (SELECT o_orderkey AS key FROM orders UNION SELECT p_partkey FROM part) SELECT from_key, to_key, relation_type, section, sort_order FROM edges WHERE relation_type = 'child' AND to_key IN (SELECT key FROM docs) AND from_key IN (SELECT key FROM docs)")
+def framework_tree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order and part as a document."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")).union(table(spark, sf_dir, "part").select("p_partkey")).distinct()
+    return graph.framework_tree(corpus.relationships(spark, sf_dir), docs).select("from_key", "to_key", "relation_type", "section", "sort_order")
+
+
 @query(f"WITH {EDGES_SQL} SELECT missing_from, missing_to, count(*) AS n FROM (SELECT from_key NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) AS missing_from, to_key NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) AS missing_to FROM edges) WHERE missing_from OR missing_to GROUP BY 1, 2")
 def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("key"))
