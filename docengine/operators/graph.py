@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +69,18 @@ def parent_by_number(sections: DataFrame) -> DataFrame:
     return rows.join(sections.select(F.col("number").alias("_parent"), F.col("path").alias("parent_path")), "_parent", "left").drop("_parent")
 
 
-def crawl_frontier(references: DataFrame, seeds: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Breadth-first search along references (from_key, to_key) within a root: (key, depth) of all that seeds reach."""
+def crawl_frontier(references: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Breadth-first search along references (from_key, to_key) within a root: (key, depth) of all that seeds reach, in max_rounds steps at most if that is given."""
     slug = lambda c: F.substring_index(c, "/", 1)
     inside = references.where(slug("from_key") == slug("to_key")).select("from_key", "to_key").distinct().persist()
     seen = seeds.select(F.col("key"), F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
         found = front.join(inside, front.key == inside.from_key).select(F.col("to_key").alias("key")).distinct().join(seen, "key", "left_anti")
-        front = found.withColumn("depth", F.lit(depth)).persist()
+        front = found.withColumn("depth", F.lit(depth)).localCheckpoint()  # plans would double with each step
         if front.isEmpty():
             break
         seen = seen.union(front)
+        if depth % 10 == 0:
+            seen = seen.localCheckpoint()
     return seen

@@ -499,7 +499,15 @@ _REFS_SQL = "refs AS (SELECT DISTINCT (l_orderkey % 2) || '/' || (l_orderkey % 3
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda c: F.concat((F.col(c) % 2).cast("string"), F.lit("/"), (F.col(c) % 300).cast("string"))
     refs = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 11 = 0").select(key("l_orderkey").alias("from_key"), key("l_partkey").alias("to_key"))
-    return graph.crawl_frontier(refs, spark.createDataFrame([("1/11",)], "key string"), 40)
+    return graph.crawl_frontier(refs, spark.createDataFrame([("1/11",)], "key string"))
+
+
+@query()
+def crawl_frontier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references, each order and part by its own key, under two roots. Recursive SQL would list each key at each depth."""
+    key = lambda c: F.concat((F.col(c) % 2).cast("string"), F.lit("/"), F.col(c).cast("string"))
+    refs = table(spark, sf_dir, "lineitem").select(key("l_orderkey").alias("from_key"), key("l_partkey").alias("to_key"))
+    return graph.crawl_frontier(refs, spark.createDataFrame([("1/11",)], "key string"))
 
 
 # ---- HTML and links --------------------------------------------------------------------------------------------------

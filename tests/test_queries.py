@@ -78,3 +78,25 @@ def test_tree_of_all_documents(spark, duck):
     assert got == duck.sql("SELECT count(*) FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT o_orderkey FROM orders UNION SELECT p_partkey FROM part) AND l_partkey IN (SELECT o_orderkey FROM orders UNION SELECT p_partkey FROM part)").fetchall()[0][0]
     edges = spark.createDataFrame([(1, 2, "child"), (1, 9, "child"), (9, 2, "child"), (2, 1, "see_also")], "from_key long, to_key long, relation_type string")
     assert [(r["from_key"], r["to_key"]) for r in graph.framework_tree(edges, spark.createDataFrame([(1,), (2,)], "key long")).collect()] == [(1, 2)]
+
+
+def test_crawl_goes_to_the_end(spark, duck):
+    from docengine.operators import graph
+
+    chain = spark.createDataFrame([(f"a/{i}", f"a/{i + 1}") for i in range(57)] + [("a/3", "b/0"), ("a/57", "a/0")], "from_key string, to_key string")
+    got = graph.crawl_frontier(chain, spark.createDataFrame([("a/0",)], "key string")).collect()
+    assert sorted((r["depth"], r["key"]) for r in got) == [(i, f"a/{i}") for i in range(58)]
+
+    to: dict = {}
+    for a, b in duck.sql("SELECT l_orderkey, l_partkey FROM lineitem").fetchall():
+        if a % 2 == b % 2:
+            to.setdefault(f"{a % 2}/{a}", set()).add(f"{b % 2}/{b}")
+    depth, front = {"1/11": 0}, ["1/11"]
+    while front:
+        key = front.pop(0)
+        for k in to.get(key, ()):
+            if k not in depth:
+                depth[k] = depth[key] + 1
+                front.append(k)
+    got = QUERIES["crawl_frontier_all"](spark, SRC).collect()
+    assert len(got) == len(depth) > 50 and {r["key"]: r["depth"] for r in got} == depth
