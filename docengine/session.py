@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
+import hashlib
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Applications whose workers have this package.
 _SHIPPED: set[str] = set()
 
 
@@ -23,15 +25,21 @@ def session(master: str = "local[*]", partitions: int = 8, **config: str) -> Spa
     return builder.getOrCreate()
 
 
+def archive() -> Path:
+    """A zip of this package in a fresh folder: equal sources give equal bytes and an equal name."""
+    top = Path(__file__).resolve().parent
+    files = sorted((path.relative_to(top.parent).as_posix(), path.read_bytes()) for path in top.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(name.encode() + b"\0" + body + b"\0" for name, body in files)).hexdigest()[:12]
+    out = Path(tempfile.mkdtemp(prefix="docengine-")) / f"{top.name}-{mark}.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in files:
+            z.writestr(zipfile.ZipInfo(name), body)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application."""
+    """Sends this package to the Python workers, once for each application, whoever asks for it."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parent
-        folder = Path(tempfile.mkdtemp(prefix="docengine-"))
-        for path in top.rglob("*.py"):
-            to = folder / "src" / path.relative_to(top.parent)
-            to.parent.mkdir(parents=True, exist_ok=True)
-            shutil.copyfile(path, to)
-        context.addPyFile(shutil.make_archive(str(folder / top.name), "zip", str(folder / "src")))
+        context.addPyFile(str(archive()))
         _SHIPPED.add(context.applicationId)

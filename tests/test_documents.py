@@ -188,3 +188,13 @@ def test_streaming(spark, tmp_path):
     incremental.upsert_stream(changes, f"{tmp_path}/out", "k", f"{tmp_path}/cp").awaitTermination()
     assert {r["k"]: r["value"] for r in spark.read.parquet(f"{tmp_path}/out/batch=0").collect()} == {1: 2.0, 2: 3.0}
     assert incremental.sessions(df).count() == 2
+
+
+def test_package_is_sent_once(spark):
+    from docengine import session
+
+    one, two = session.archive(), session.archive()
+    assert one.name == two.name and one.read_bytes() == two.read_bytes()
+    session.ship(spark)
+    session.ship(spark)
+    assert spark.range(10).groupBy().sum().first()[0] == 45
