@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: The white space that the operators know: space and the characters 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
 #: A run of white space, and a word, as regular expressions.
@@ -23,16 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one where none is named."""
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
+    """The folder all executors share, as the session names it; a temporary one where none is named and all runs on this machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="docengine-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docengine-"))
+    return context.getCheckpointDir()
 
 
-_SHIPPED: set[str] = set()
 #: Rows of an Arrow batch: texts are long, and both sides of the pipe hold a batch.
 BATCH_ROWS = 1000
 
@@ -53,18 +53,10 @@ def release() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application, and makes Arrow batches small where nobody has set their size."""
+    """Sends this package to the Python workers, and makes Arrow batches small where nobody has set their size."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parent.parent
-        folder = tempfile.mkdtemp(prefix="docengine-")
-        for name in (p.relative_to(top.parent) for p in top.rglob("*.py")):
-            (Path(folder, "src") / name).parent.mkdir(parents=True, exist_ok=True)
-            shutil.copyfile(top.parent / name, Path(folder, "src") / name)
-        context.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", f"{folder}/src"))
-        _SHIPPED.add(context.applicationId)
+    session.ship(spark)
 
 
 def durable(df: DataFrame) -> DataFrame:
