@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Applications whose workers have this package.
 _SHIPPED: set[str] = set()
@@ -43,3 +44,34 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId not in _SHIPPED:
         context.addPyFile(str(archive()))
         _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; a temporary one where none is named and all runs on this machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docengine-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: computed once, and no lost executor makes it run again."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that the session knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `durable` wrote, once nothing needs it any more."""
+    for df in tables:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            delete_folder(df.sparkSession, path)
