@@ -1,14 +1,18 @@
-"""Shared building blocks: durable checkpoints, skew-safe lookups, bit maps, components."""
+"""Shared building blocks: written tables, skew-safe lookups, bit maps, components."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
+from ..session import delete_folder, discard, durable, shared_dir
+
+__all__ = ["attach", "bit_map", "components", "delete_folder", "discard", "durable", "fresh", "mark_in_bit_map", "release", "shared_dir", "ship", "table"]
 
 #: The white space that the operators know: space and the characters 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,17 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one where none is named and all runs on this machine."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docengine-"))
-    return context.getCheckpointDir()
-
-
 #: Rows of an Arrow batch: texts are long, and both sides of the pipe hold a batch.
 BATCH_ROWS = 1000
 
@@ -59,12 +52,6 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that no lost executor makes it run again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """names, with underscores put before those that are taken (names don't differ by case alone)."""
     have, out = {x.lower() for x in taken}, []
@@ -124,23 +111,76 @@ def mark_in_bit_map(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str,
     )
 
 
+#: Edges that a task joins at a time.
+EDGES = 1 << 20
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges as stars: each vertex that isn't the smallest of its component, and that smallest one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(ids)))
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        if i < j:
+            up[j] = i
+        else:
+            up[i] = j
+    root = np.array(up, np.int64)
+    while not np.array_equal(root, root[root]):
+        root = root[root]
+    below = np.flatnonzero(root != np.arange(len(root)))
+    return ids[below], ids[root[below]]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b) of longs: rows (id, root), root being the smallest id.
+    """Connected components of edges (a, b) of longs: rows (id, root) of all vertices but the smallest of each component, their root.
 
-    Alternates large-star and small-star steps; each round ends in the shared folder.
+    Each task makes stars of its edges. These are dealt by vertex and made stars again, until each vertex has one
+    smaller vertex that it points to (a vertex never brings more edges than tasks had it); then pointers are
+    followed, twice as far in each round. Each round is one table in the shared folder.
     """
-    ends = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mark = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-    e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = mark(e)
-    while before[0]:
-        both = ends(e)
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = durable(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        if (now := mark(e)) == before:
-            break
-        before = now
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        before = None  # the vertex of the last edge made a star
+
+        def out() -> pa.RecordBatch:
+            nonlocal before
+            a, b = (np.concatenate([h.column(k).to_numpy(zero_copy_only=False) for h in held]) for k in (0, 1))
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            vertex, root = contract(pairs[:, 0], pairs[:, 1])
+            several = pairs[0, 0] == before or bool((np.diff(pairs[:, 0]) == 0).any())
+            before = pairs[-1, 0]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(vertex, pa.int64()), pa.array(root, pa.int64()), pa.array(np.full(len(vertex), several))], names=["a", "b", "several"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.num_rows for h in held) >= EDGES:
+                yield out()
+        if held:
+            yield out()
+
+    schema, written = "a long, b long, several boolean", None
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(stars, schema)
+
+    def go_on(df: DataFrame, flag: str) -> bool:
+        """Writes df in the place of the table before it; tells whether the flag is set anywhere."""
+        nonlocal e, written
+        told = Observation()
+        e = durable(df.observe(told, F.max(flag).alias("any")))
+        if written is not None:
+            discard(written)
+        written = e
+        return bool(told.get["any"])
+
+    while go_on(e.select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(stars, schema), "several"):
+        pass
+    above = lambda: e.select(F.col("a").alias("b"), F.col("b").alias("above"))
+    while go_on(e.join(above(), "b", "left").select("a", F.coalesce("above", "b").alias("b"), F.col("above").isNotNull().alias("moved")), "moved"):
+        pass
+    return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
