@@ -89,23 +89,23 @@ def bit_map(keys: DataFrame, hashed: Column, bits: int = 1 << 26) -> DataFrame:
     """A bit map of the 64-bit hashes: rows (chunk, bitmap), bits / 8 bytes in all, whatever the input."""
     at = F.pmod(hashed, F.lit(bits))
     return (
-        keys.select(F.floor(at / CHUNK_BITS).cast("int").alias("chunk"), F.pmod(at, F.lit(CHUNK_BITS)).cast("long").alias("bit"))
+        keys.select(F.floor(at / CHUNK_BITS).cast("long").alias("chunk"), F.pmod(at, F.lit(CHUNK_BITS)).cast("long").alias("bit"))
         .groupBy("chunk")
         .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     )
 
 
-def mark_in_bit_map(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str, bits: int = 1 << 26) -> DataFrame:
+def mark_in_bit_map(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str, bits: int = 1 << 26, spread: bool = False) -> DataFrame:
     """df with a boolean column: whether the hash may be in the bit map; true for all that are in it.
 
-    The map is broadcast: it has bits / 8 bytes at most.
+    The map is broadcast: it has bits / 8 bytes at most. With `spread`, df is shuffled to the map's chunks instead.
     """
     at, chunk, map_ = fresh(df.columns, "_at", "_chunk", "_bitmap")
     byte = f"cast(conv(hex(substring({map_}, cast(floor(pmod({at}, {CHUNK_BITS}) / 8) as int) + 1, 1)), 16, 10) as int)"
     return (
         df.withColumn(at, F.pmod(hashed, F.lit(bits)))
-        .withColumn(chunk, F.floor(F.col(at) / CHUNK_BITS).cast("int"))
-        .join(F.broadcast(bitmap.toDF(chunk, map_)), chunk, "left")
+        .withColumn(chunk, F.floor(F.col(at) / CHUNK_BITS).cast("long"))
+        .join(bitmap.toDF(chunk, map_) if spread else F.broadcast(bitmap.toDF(chunk, map_)), chunk, "left")
         .withColumn(name, F.expr(f"coalesce((shiftright({byte}, cast(pmod({at}, 8) as int)) & 1) = 1, false)"))
         .drop(at, chunk, map_)
     )

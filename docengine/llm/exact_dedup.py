@@ -56,17 +56,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row for each text: the kept one of exact_groups. Of rows that repeat an id and text any one stays."""
-    tie, may = fresh(docs.columns, "_tie", "_may")
-    found = durable(exact_groups(docs, id_col, text_col, carry={"_t": F.xxhash64("_norm")}).withColumnRenamed(id_col, "_i"))
-    out = ~F.col("kept") & ~F.col("_i").eqNullSafe(F.col("keep_id"))
-    gone = found.where(out).select("_i", "_t").distinct()
-    twice = found.where(~out).groupBy("_i", "_t").count().where("count > 1").select("_i", "_t")
-    gone, twice = durable(gone), durable(twice)
+    """docs with one row for each text: the kept one of exact_groups. Of rows that repeat an id and text any one stays.
+
+    Columns of docs may have any names. Empty input: empty result.
+    """
+    id_, tie, may, gone = fresh(docs.columns, "_id", "_tie", "_may", "_gone")
+    found = exact_groups(docs, id_col, text_col, carry={"_t": F.xxhash64("_norm")})
+    # of an id and text all rows go, or one stays
+    state = found.groupBy(F.col(id_col).alias(id_), F.col("_t").alias(tie)).agg(F.first(~F.col(id_col).eqNullSafe(F.col("keep_id"))).alias(gone), F.count("*").alias("_n"))
+    state = durable(state.where(F.col(gone) | (F.col("_n") > 1)).drop("_n"))
     # only rows that may go are shuffled with their texts
-    rows = docs.withColumn(tie, F.xxhash64(normalised(F.col(text_col))))
-    rows = mark_in_bit_map(rows, F.xxhash64(F.col(id_col), F.col(tie)), bit_map(gone.union(twice), F.xxhash64("_i", "_t"), MAP_BITS), may, MAP_BITS)
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(tie) == F.col("_t"))
-    unsure = rows.where(may).join(gone, same, "left_anti")
-    unsure = unsure.join(twice, same, "left_anti").unionByName(unsure.join(twice, same, "left_semi").dropDuplicates([id_col, tie]))
-    return rows.where(~F.col(may)).unionByName(unsure).select(*docs.columns)
+    rows = docs.withColumns({id_: F.col(id_col), tie: F.xxhash64(normalised(F.col(text_col)))})
+    rows = mark_in_bit_map(rows, F.xxhash64(id_, tie), bit_map(state, F.xxhash64(id_, tie), MAP_BITS), may, MAP_BITS)
+    unsure, there = rows.where(may), state.select(F.col(id_).alias(f"{id_}2"), F.col(tie).alias(f"{tie}2"), gone)
+    unsure = unsure.join(there, F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(tie) == F.col(f"{tie}2")), "left")
+    alone = unsure.where(F.col(gone).isNull()).select(*docs.columns)
+    one = unsure.where(~F.col(gone)).dropDuplicates([id_, tie]).select(*docs.columns)
+    return rows.where(~F.col(may)).select(*docs.columns).unionByName(alone).unionByName(one)

@@ -21,13 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fresh, release, ship
+from .common import discard, durable, fresh, release, ship
 
 ORDER = 3
-#: Rows of each language that the models are fitted on, those with the smallest hashes of their ids.
-SAMPLE_ROWS = 800
-#: Sampled rows whose hashes are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bounds of what the models are fitted on: rows of each language (those with the smallest hashes), bytes of each
+#: language, bytes of a text that is learned from, and languages.
+SAMPLE_ROWS, SAMPLE_BYTES, TEXT_BYTES, LANGUAGES = 800, 4 << 20, 1 << 20, 250
 #: Cost unit: parts of a bit.
 UNIT = 1024
 #: What stands before a text.
@@ -143,21 +142,36 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(
+    docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, text_bytes: int = TEXT_BYTES, languages: int = LANGUAGES
+) -> Model:
     """Models of all languages that rows with `train` name; whole texts of sample_rows rows for each, at most.
 
-    The sample is bounded whatever the input: rows are chosen by hashes, cut to the sample in each task before
-    they are shuffled, and only the texts of those chosen are gathered.
+    The sample is bounded whatever the input: sample_rows rows and sample_bytes bytes of each language, of texts of text_bytes
+    at most; more than `languages` languages are an error. Rows that repeat an id and text are one. Null languages and texts without
+    a letter teach nothing. Rows are chosen by hashes: below a threshold for each language, which its count sets so
+    that some four times the sample remain in all tasks together, then the smallest; only the texts chosen are gathered.
     """
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.xxhash64(text_col))
-    rows = docs.where(train & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    own = F.xxhash64(F.col(id_col), F.col(text_col))
-    chosen = durable(rows.select(F.col(lang_col).alias("lang"), own.alias("_h"), F.row_number().over(order).alias("_k")).where(F.col("_k") <= sample_rows).select("_h").distinct())
-    if chosen.count() <= BROADCAST_ROWS:  # a sample's worth for each language; with very many of them it is joined by shuffle
-        chosen = F.broadcast(chosen)
+    lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+    rows = docs.where(train & F.col(lang_col).isNotNull()).select(lang, text, F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    counts = rows.groupBy("lang").count().limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
+    if not counts:
+        return Model({})
+    most = (1 << 63) - 1
+    limits = [(r["lang"], min(most, int((4 * sample_rows + 100) / r["count"] * 2 * most) - most)) for r in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
+    usable = rows.join(limits, "lang").where((F.col("h") <= F.col("most")) & (F.octet_length("text") <= text_bytes) & has_letter(F.col("text")))
+    each = usable.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
+    order = Window.partitionBy("lang").orderBy("h")
+    each = each.withColumns({"k": F.row_number().over(order), "upto": F.sum("bytes").over(order)})
+    chosen = durable(each.where((F.col("k") <= sample_rows) & (F.col("upto") <= sample_bytes)).select("lang", "h"))
     texts: dict[str, list[bytes]] = {}
-    for lang, text in rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), own.alias("_h")).join(chosen, "_h").select("lang", "text").toLocalIterator():
-        texts.setdefault(lang, []).append(text.encode())
+    # a row for each hash, however often it repeats
+    for r in usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).toLocalIterator():
+        texts.setdefault(r["lang"], []).append(r["text"].encode())
+    discard(chosen)
     return Model(texts)
 
 
@@ -167,7 +181,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     lang_pred is `und`, with score 0, if the text is null or has no letter, or no language was learned.
     score is the share of code length that the best language saves against the next best (1 if there is
     only one): 0 to 1. Equal code lengths go to the first language in order of code points. The columns
-    get underscores in front where docs has such names. Empty input: empty result.
+    get underscores in front where docs has such names. Repeated rows are judged alike; texts of any length are scored
+    whole, piece by piece. Empty input: empty result.
     """
     ship(docs.sparkSession)
     names = fresh(docs.columns, "lang_pred", "score", "code_bits")

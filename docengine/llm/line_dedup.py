@@ -1,10 +1,13 @@
 """Line deduplication with two Bloom filters, for hashes seen in one document and in two.
 
-Each task sets the hashed lines of its documents in a filter of fixed size, and those already set there in
-a second one; the tasks' filters are merged chunk by chunk, a bit set in two tasks counting as seen
-twice. Only lines in the second filter, the suspected repeats, are shuffled: as digests, with counts
-combined first, to confirm how many documents have them and where each comes first. Lines that two
+Filters are dealt by hash range: each task sends the 8-byte hashes of its documents' lines, each at most twice for
+some million of them, to the task of their range, which sets them in a filter, and those already set there in a second one.
+Only lines in the second filter, the suspected repeats, are shuffled for exact confirmation: as digests, with counts
+combined first, to tell how many documents have them and where each comes first. Lines that two
 documents share are never missed; a false hit of the filter only costs a digest.
+
+The second filter is broadcast up to a fixed size. Beyond that it stays dealt out, and the lines' digests, combined
+in each task, go to its ranges to be looked up.
 """
 
 from __future__ import annotations
@@ -22,6 +25,12 @@ from .common import CHUNK_BITS, SPACE, durable, fresh, mark_in_bit_map, release,
 
 #: Repeated lines up to this number are sent to every task (32 bytes each and overhead); more are joined.
 BROADCAST_LINES = 400_000
+#: Bits of the second filter up to which it is broadcast (128 MB).
+BROADCAST_BITS = 1 << 30
+#: Bits of a range's filters at least, and ranges at most (larger filters have larger ranges).
+RANGE_BITS, RANGES = 1 << 22, 1 << 15
+#: Hashes that a task combines at a time.
+HASHES = 1 << 20
 _WORDS = CHUNK_BITS // 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
@@ -38,65 +47,76 @@ def line_key(line: Column) -> Column:
 
 
 def filter_bits(docs: DataFrame) -> int:
-    """Bits of a filter: some 16 for each line that the input's size suggests, from 2^23 to 2^30 (128 MB)."""
+    """Bits of the filters in all: some 16 for each line that the input's size suggests, 2^23 at least."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 1 << min(30, max(23, (size // 4).bit_length()))
+    return 1 << max(23, (size // 4).bit_length())
+
+
+def put(target: np.ndarray, at: np.ndarray) -> None:
+    """Sets bits (sorted positions) in a filter of 64-bit words."""
+    if len(at):
+        word, first = np.unique(at >> 6, return_index=True)
+        target[word] |= np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
 
 
 def seen_twice(hashes: DataFrame, bits: int) -> DataFrame:
-    """The merged second filter, as rows (chunk, bitmap), from rows of arrays of distinct 64-bit hashes."""
-    schema = "chunk int, at binary, once binary, twice binary"
+    """The second filter, as rows (chunk, bitmap), from rows of arrays of distinct 64-bit hashes."""
+    span = max(RANGE_BITS, bits // RANGES)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 64, np.uint64), np.zeros(bits // 64, np.uint64)
+        held: list[np.ndarray] = []
 
-        def put(target: np.ndarray, at: np.ndarray) -> None:
-            if len(at):
-                word, first = np.unique(at >> 6, return_index=True)
-                target[word] |= np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+        def out() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held) & np.int64(bits - 1), return_counts=True)
+            held.clear()
+            range_ = at // span
+            begin = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
+            rows = [(int(range_[a]), at[a:b].tobytes(), np.packbits(n[a:b] > 1).tobytes()) for a, b in zip(begin, [*begin[1:], len(at)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "at", "twice"])
 
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            at, n = np.unique(flat & np.int64(bits - 1), return_counts=True)
-            was = (once[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            put(twice, at[was | (n > 1)])
-            put(once, at)
-        used = np.flatnonzero(once)
-        if not len(used):
-            return
-        chunk = used // _WORDS
-        begin = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        rows = [(int(chunk[a]), u.astype(np.uint16).tobytes(), once[used[a:b]].tobytes(), twice[used[a:b]].tobytes()) for a, b in zip(begin, [*begin[1:], len(used)], strict=True) for u in [used[a:b] % _WORDS]]
-        for k in range(0, len(rows), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1024], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "once", "twice"])
+            if len(flat):
+                held.append(flat)
+            if sum(map(len, held)) >= HASHES:
+                yield out()
+        if held:
+            yield out()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by chunk; one chunk is held at a time."""
-        chunk, once, twice = None, np.zeros(_WORDS, np.uint64), np.zeros(_WORDS, np.uint64)
-        out = lambda c, t: pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["chunk", "bitmap"])
+        """Rows come sorted by range; one range's filters are held at a time."""
+        range_, once, twice = None, np.zeros(span // 64, np.uint64), np.zeros(span // 64, np.uint64)
+
+        def out() -> pa.RecordBatch:
+            used = np.flatnonzero(twice.reshape(-1, _WORDS).any(1))
+            maps = [twice[k * _WORDS : (k + 1) * _WORDS].tobytes() for k in used]
+            return pa.RecordBatch.from_arrays([pa.array(used + range_ * (span // CHUNK_BITS), pa.int64()), pa.array(maps, pa.binary())], names=["chunk", "bitmap"])
+
         for batch in batches:
-            for c, at, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if c != chunk:
-                    if chunk is not None and twice.any():
-                        yield out(chunk, twice)
-                    chunk = c
+            for r, at, two in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if r != range_:
+                    if range_ is not None:
+                        yield out()
+                    range_ = r
                     once[:] = 0
                     twice[:] = 0
-                w, a, b = np.frombuffer(at, np.uint16), np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                twice[w] |= b | (once[w] & a)
-                once[w] |= a
-        if chunk is not None and twice.any():
-            yield out(chunk, twice)
+                at = np.frombuffer(at, np.int64) - r * span
+                two = np.unpackbits(np.frombuffer(two, np.uint8), count=len(at)).astype(bool)
+                was = (once[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                put(twice, at[was | two])
+                put(once, at)
+        if range_ is not None:
+            yield out()
 
-    parts = hashes.mapInArrow(local, schema)
-    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merged, "chunk int, bitmap binary")
+    parts = hashes.mapInArrow(local, "range long, at binary, twice binary")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(merged, "chunk long, bitmap binary")
 
 
-def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 2, min_chars: int = 1, bits: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = 2, min_chars: int = 1, bits: int | None = None, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """Rows (digest, n_docs, first_id, first_tie) of the line keys in min_docs (2 at least) documents or more.
 
     Each row of docs is a document. The first one that has a line is that of the smallest id (null ids
-    first), then of the smallest hash of its text.
+    first), then of the smallest hash of its text. Null and empty texts have no key. Texts are split whole. Empty input: no rows.
     """
     ship(docs.sparkSession)
     bits = bits or filter_bits(docs)
@@ -104,8 +124,13 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     hashes = docs.select(F.transform(keys, lambda k: F.xxhash64(k)).alias("hashes"))
     twice = durable(seen_twice(hashes, bits))
     each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.explode(keys).alias("key"))
-    suspects = mark_in_bit_map(each, F.xxhash64("key"), twice, "_twice", bits).where("_twice")
-    found = suspects.groupBy(F.unhex(F.sha2("key", 256)).alias("digest")).agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "tie")).alias("first"))
+    first, digest = F.min(F.struct("id", "tie")).alias("first"), F.unhex(F.sha2("key", 256)).alias("digest")
+    if bits <= broadcast_bits:
+        suspects = mark_in_bit_map(each, F.xxhash64("key"), twice, "_twice", bits).where("_twice")
+        found = suspects.groupBy(digest).agg(F.count("*").alias("n_docs"), first)
+    else:
+        counted = each.groupBy(digest, F.xxhash64("key").alias("hash")).agg(F.count("*").alias("n_docs"), first)
+        found = mark_in_bit_map(counted, F.col("hash"), twice, "_twice", bits, spread=True).where("_twice")
     return found.where(F.col("n_docs") >= min_docs).select("digest", "n_docs", F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie"))
 
 
@@ -118,21 +143,22 @@ def dedup_lines(
     all of them; with keep_first, its first occurrence stays. Other lines stay as they are, in order,
     joined by line ends. Null texts are empty. The two columns get underscores in front where docs has
     such names. Rows that repeat an id and text are documents of their own, and with keep_first all of
-    them keep the line. Empty input: empty result.
+    them keep the line. Texts are split whole, however long. Empty input: empty result.
     """
     repeated = durable(repeated_lines(docs, text_col, id_col, min_docs, min_chars, bits))
-    n_lines, n_dropped, tie, own = fresh(docs.columns, "n_lines", "n_dropped", "_tie", "_own")
+    n_lines, n_dropped, tie, own, id2, tie2 = fresh(docs.columns, "n_lines", "n_dropped", "_tie", "_own", "_id2", "_tie2")
     rows = docs.withColumn(tie, F.xxhash64(text_col)) if keep_first else docs
     few = repeated.limit(broadcast_lines + 1).count() <= broadcast_lines
     if few:
-        known = rows.sparkSession.sparkContext.broadcast({bytes(r[0]): (r[1], r[2]) for r in repeated.select("digest", "first_id", "first_tie").toLocalIterator()})
+        found = repeated.select("digest", *(("first_id", "first_tie") if keep_first else ()))
+        known = rows.sparkSession.sparkContext.broadcast({bytes(r[0]): tuple(r[1:]) for r in found.toLocalIterator()})
     else:
         # the digests of each document's own repeated lines, joined to it by id and hash of its text
         keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), line_key), lambda k: F.length(k) >= min_chars))
-        each = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.explode(keys).alias("key")).select("_id", "_t", F.unhex(F.sha2("key", 256)).alias("digest"))
-        owned = each.join(repeated, "digest").groupBy("_id", "_t").agg(F.collect_set(F.struct("digest", "first_id", "first_tie")).alias(own))
+        each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.explode(keys).alias("key")).select("id", "tie", F.unhex(F.sha2("key", 256)).alias("digest"))
+        owned = each.join(repeated, "digest").groupBy(F.col("id").alias(id2), F.col("tie").alias(tie2)).agg(F.collect_set(F.struct("digest", "first_id", "first_tie")).alias(own))
         rows = docs.withColumn(tie, F.xxhash64(text_col))
-        rows = rows.join(owned, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(tie) == F.col("_t")), "left").drop("_id", "_t")
+        rows = rows.join(owned, F.col(id_col).eqNullSafe(F.col(id2)) & (F.col(tie) == F.col(tie2)), "left").drop(id2, tie2)
         known = None
     space, at, id_at = SPACE.encode(), rows.columns.index(text_col), rows.columns.index(id_col)
     tie_at = rows.columns.index(tie) if tie in rows.columns else None

@@ -83,8 +83,10 @@ def mix(
     it, `most` at most. Reruns with one seed agree whatever the partitions.
     """
     size, source_size, target, copies, taken, src = fresh(docs.columns, "size", "source_size", "target", "copies", "taken", "_src")
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    row = [F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), unit.alias("u"), F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col)).alias("tie")]
+    # ids may repeat or be null, so that a row's random number comes from its id and text
+    tie = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), tie), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    row = [F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), unit.alias("u"), tie.alias("tie")]
     row.append(F.greatest(F.coalesce(F.col(importance_col).cast("double"), F.lit(1.0)), F.lit(0.0)).alias("a") if importance_col else F.lit(1.0).alias("a"))
     # rows that tie are one: "all" has the words of all of them
     slim = docs.select(*row).groupBy("source", "size", "u", "tie", "a").count()
@@ -180,5 +182,6 @@ def mix(
 
 
 def repeat(mixed: DataFrame, columns: Sequence[str], copies_col: str = "copies") -> DataFrame:
-    """The mix itself: each row as often as it was taken."""
-    return mixed.where(F.col(copies_col) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies_col)))).select(*columns)
+    """The mix itself: each row as often as it was taken; columns of any names."""
+    (copy,) = fresh(mixed.columns, "_copy")
+    return mixed.where(F.col(copies_col) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies_col)))).select(*columns)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, durable, fresh
+from .common import SPACE, SPACES, bit_map, durable, fresh, mark_in_bit_map
 
 #: Buckets of hashed n-grams; the model is one number for each.
 BUCKETS = 10_000
@@ -20,8 +20,6 @@ BUCKETS = 10_000
 THRESHOLD = -0.1
 #: Pseudo-count of each bucket.
 SMOOTH = 1.0
-#: Trusted ids that are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -83,15 +81,16 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     an earlier one; n_repeat_words words in five-word windows found twice or more in the text. base_failed:
     fewer than min_words words, or more than most_repeated per cent of them repeated. score is the mean log
     ratio of the text's n-grams (0 for none); kept needs a score of threshold or more and no base_failed.
-    Null texts have no words; null ids are never trusted; rows that repeat an id count each. The columns
+    Null texts have no words; null ids are never trusted; rows that repeat an id count each. Long texts are judged whole. The columns
     get underscores in front where docs has such names. Empty input: empty result.
     """
     new = fresh(docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     ids = trusted.toDF("__id").where("__id is not null").withColumn("__t", F.lit(1))
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left")
-    model = log_ratios(durable(bucket_counts(rows, F.coalesce("__t", F.lit(0)))))
+    # a map of fixed size is broadcast; only rows that it lets through are joined to the ids with their texts
+    rows = mark_in_bit_map(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")), F.xxhash64(F.col("__id").cast("long")), bit_map(ids, F.xxhash64(F.col("__id").cast("long"))), "__may")
+    sure = rows.where(~F.col("__may")).select("text", F.lit(0).alias("__t"))
+    unsure = rows.where("__may").join(ids, "__id", "left").select("text", F.coalesce("__t", F.lit(0)).alias("__t"))
+    model = log_ratios(bucket_counts(sure.unionByName(unsure), F.col("__t")))
     table = f"cast(split('{','.join(map(repr, model))}', ',') as array<double>)"
 
     numbered = [f"__{i}" for i in range(len(docs.columns))]

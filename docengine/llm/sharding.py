@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
-A record's id hashes to one of thousands of slots, for good. Bytes are summed by slot, and a versioned
+A record's id and text hash to one of thousands of slots, for good. Bytes are summed by slot, and a versioned
 table maps slots to shards. Rebalancing edits that map: slots stay where they are while their shard is
 below its quota, and move as whole slots otherwise; records never change their slot.
 """
@@ -21,8 +21,9 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def virtual_slot(id_: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(slots)).cast("int")
+def virtual_slot(id_: Column, tie: Column, slots: int = SLOTS) -> Column:
+    """The slot of a record, from its id and the hash of its text: null and repeated ids are spread too."""
+    return F.pmod(F.xxhash64(id_, tie), F.lit(slots)).cast("int")
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -68,14 +69,15 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
 def shard(docs: DataFrame, shards: int, slot_map: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """docs with the columns size, vslot, shard and place (the row's number in its shard, from 0).
 
-    Without a slot map, one is made from the rows' sizes. Null texts have size 1. Null ids share one
-    slot, as do rows that repeat an id; those are ordered by `tie`. size and tie are computed from the
-    text where they aren't given; with both, rows without their texts can be sharded.
+    Without a slot map, one is made from the rows' sizes. Null texts have size 1. Null ids are ids like others; only rows
+    that repeat an id and a text share a slot for that, in any order. size and tie (a hash of the text) are computed from the
+    text where they aren't given; with both, rows without their texts can be sharded. Very long texts count with all their bytes.
     The columns get underscores in front where docs has such names. Empty input: empty result. Rows are
     numbered within slots; where a slot begins in its shard comes from the map.
     """
     names = fresh(docs.columns, "size", "vslot", "shard", "place")
-    rows = docs.withColumns({"__size": size_of(F.col(text_col)) if size is None else size, "__vslot": virtual_slot(F.col(id_col), slots), "__tie": F.xxhash64(text_col) if tie is None else tie})
+    tie = F.xxhash64(text_col) if tie is None else tie
+    rows = docs.withColumns({"__size": size_of(F.col(text_col)) if size is None else size, "__vslot": virtual_slot(F.col(id_col), tie, slots), "__tie": tie})
     sizes = slot_sizes(rows.select(F.col("__vslot").alias("vslot"), F.col("__size").alias("size")), slots)
     slot_map = durable(assign(sizes, shards, 1)) if slot_map is None else slot_map.drop("bytes", "n").join(sizes, "slot")
     begin = F.sum("n").over(Window.partitionBy("shard").orderBy("slot")) - F.col("n")

@@ -40,3 +40,10 @@ def test_keep_one_and_empty(docs, empty):
     want = exact_dedup.exact_groups(docs).where("kept")
     assert sorted(r["doc_id"] or -1 for r in one.collect()) == sorted(r["doc_id"] or -1 for r in want.collect())
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
+
+
+def test_keep_one_takes_columns_of_any_name(docs):
+    clash = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate("_i _id _t _tie _may _gone _id2 _tie2 keep_id kept".split())])
+    out = exact_dedup.keep_one(clash)
+    assert out.columns == clash.columns
+    assert sorted(out.select("doc_id", "text").collect(), key=str) == sorted(exact_dedup.keep_one(docs).select("doc_id", "text").collect(), key=str)

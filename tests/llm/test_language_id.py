@@ -81,3 +81,29 @@ def test_nothing_learned(docs, empty):
 def test_sample_is_bounded_and_whole(docs):
     m = li.fit(docs, F.lit(True), sample_rows=2)
     assert m.langs == ["de", "en", "fr"]
+
+
+def test_repeated_rows_do_not_enlarge_the_sample(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(li, "Model", lambda texts: held.append(texts))
+    rows = [(1, "the same text again", "en")] * 3000 + [(k, f"text number {k} of these", "en") for k in range(50)] + [(k, "x" * 50 + str(k), "xx") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    li.fit(df, F.lit(True), sample_rows=20)
+    assert len(held[0]["en"]) <= 20 and len(held[0]["xx"]) == 20 and len(set(held[0]["en"])) == len(held[0]["en"])
+    li.fit(df, F.lit(True), sample_rows=1000)
+    assert len(held[1]["en"]) == 51
+    li.fit(df, F.lit(True), sample_bytes=300)
+    assert all(sum(map(len, t)) <= 300 for t in held[2].values()) and len(held[2]["xx"]) == 5
+    li.fit(df, F.lit(True), text_bytes=30)
+    assert set(held[3]) == {"en"}
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        li.fit(df, F.lit(True), languages=1)
+
+
+def test_held_out_accuracy(spark):
+    from docengine.llm import queries
+
+    src = "/root/testdata/sf0.01"
+    got = queries.op6_language_ppm(spark, src).join(spark.read.parquet(f"{src}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    n, right = got.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 200 and right >= 0.95 * n, right / n

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from docengine.llm import line_dedup
 
@@ -50,3 +51,21 @@ def test_filter_misses_nothing_when_full(docs, rows):
     """A filter of few bits suspects every line, and the exact count still decides."""
     out = line_dedup.dedup_lines(docs, min_docs=10, bits=1 << 15)
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()), key=str) == brute(rows, 10)
+
+
+def test_a_filter_for_each_range(docs, rows, monkeypatch):
+    """Many ranges, each with its filter, whether the second filter is broadcast or stays dealt out."""
+    monkeypatch.setattr(line_dedup, "RANGE_BITS", 1 << 16)
+    bits, hashes = 1 << 20, docs.select(F.transform(line_dedup.lines_of(F.col("text")), lambda x: F.xxhash64(line_dedup.line_key(x))).alias("h"))
+    chunks = [r["chunk"] for r in line_dedup.seen_twice(hashes.select(F.array_distinct("h")), bits).collect()]
+    assert len(set(chunks)) == len(chunks) and max(chunks) > 2 and max(chunks) < bits // line_dedup.CHUNK_BITS
+    same = [sorted(tuple(r) for r in line_dedup.repeated_lines(docs, bits=bits, broadcast_bits=most).select("n_docs", "first_tie").collect()) for most in (1 << 30, 0)]
+    assert same[0] == same[1] and same[0]
+
+
+def test_clash_where_repeated_lines_are_joined(docs, rows):
+    names = "_id _t _tie _own _id2 _tie2 digest key first_id".split()
+    clash = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = line_dedup.dedup_lines(clash, min_docs=10, bits=1 << 16, broadcast_lines=0)
+    assert out.columns == [*clash.columns, "n_lines", "n_dropped"]
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()), key=str) == brute(rows, 10)

@@ -94,3 +94,49 @@ def test_rows_that_tie_are_charged(spark):
         assert len({r["copies"] for r in group}) == 1
         assert group[0]["copies"] == 2 or sum(r["size"] for r in group) > gap[group[0]["source"]]
     assert {r["copies"] for g in tied.values() if len(g) == 12 for r in g} == {1, 2}
+
+
+def test_selection_against_a_plain_version(docs, rows):
+    """Which documents are drawn: in order of random odds by inclusion odds, each that still fits, until none does."""
+    from pyspark.sql import functions as F
+
+    tie = F.xxhash64(F.lit(2), "doc_id", "text")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(1), tie), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    groups = defaultdict(lambda: [0, 0, 0.0])
+    size = defaultdict(int)
+    for r in docs.select("source", "text", tie.alias("tie"), u.alias("u")).collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        g = groups[(r["source"], r["tie"], n)]
+        g[0] += 1
+        g[1] += n
+        g[2] = r["u"]
+        size[r["source"]] += n
+    want = {}
+    for s, target in targets(size).items():
+        rate = min(target / size[s], 2.0) if size[s] else 0.0
+        whole, pi = int(rate), rate - int(rate)
+        own = [(k, *g) for k, g in groups.items() if k[0] == s]
+        gap = target - sum(whole * g[2] for g in own)
+        want |= {g[0]: whole for g in own}
+        order = []
+        for k, _, all_, x in own:
+            if pi > 0 and k[2] > 0:
+                odds = (x / (1 - x)) / (pi / (1 - pi))
+                order.append((odds / (1 + odds), k[1], k, all_))
+        for _, _, k, all_ in sorted(order):
+            if all_ <= gap:
+                gap -= all_
+                want[k] += 1
+    out = mixing.mix(docs, (5, 2, 1), 1.5, 2).withColumn("tie", tie).collect()
+    assert len(out) == len(rows) and all(r["copies"] == want[(r["source"], r["tie"], r["size"])] for r in out)
+
+
+def test_null_ids_are_drawn_one_by_one(spark):
+    data = [(None, f"word {k} of many", "a") for k in range(400)]
+    out = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), (1,), 0.5, 2).collect()
+    assert sum(r["copies"] for r in out) == 200
+
+
+def test_repeat_takes_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 7, 2), (2, 8, 0)], "id long, _copy long, copies long")
+    assert [tuple(r) for r in mixing.repeat(df, ["id", "_copy"]).collect()] == [(1, 7), (1, 7)]

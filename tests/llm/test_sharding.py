@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ def test_shards_are_even_and_gapless(docs, rows):
 
 def test_map_is_stored_and_edited(docs, tmp_path):
     spark = docs.sparkSession
-    rows = docs.select(sharding.virtual_slot(F.col("doc_id"), 256).alias("vslot"), sharding.size_of(F.lit("x")).alias("size"))
+    rows = docs.select(sharding.virtual_slot(F.col("doc_id"), F.xxhash64("text"), 256).alias("vslot"), sharding.size_of(F.lit("x")).alias("size"))
     sizes = sharding.slot_sizes(rows, 256)
     assert sizes.count() == 256 and sizes.agg(F.sum("n")).first()[0] == docs.count()
     one = sharding.assign(sizes, 4, 1)
@@ -46,3 +46,37 @@ def test_reruns_clash_and_empty(docs, clash, empty, tmp_path):
     assert sharding.shard(empty, 4).count() == 0
     sharding.write_shards(sharding.shard(docs, 4), f"{tmp_path}/out")
     assert docs.sparkSession.read.parquet(f"{tmp_path}/out").count() == docs.count()
+
+
+def plain_map(sizes, shards):
+    """Slots in falling order of bytes, each to the shard with the fewest bytes so far, the first of those."""
+    load, out = [0] * shards, {}
+    for slot, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        k = load.index(min(load))
+        load[k] += n
+        out[slot] = k
+    return out
+
+
+def test_assignment_against_a_plain_version(docs, rows):
+    out = sharding.shard(docs, 5, slots=64).collect()
+    sizes = dict.fromkeys(range(64), 0)
+    for r in out:
+        sizes[r["vslot"]] += len((r["text"] or "").encode()) + 1
+    want = plain_map(sizes, 5)
+    assert all(r["shard"] == want[r["vslot"]] for r in out) and len(out) == len(rows)
+    same = {}
+    assert all(same.setdefault((r["doc_id"], r["text"]), r["vslot"]) == r["vslot"] for r in out)  # id and text decide
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    data = [(None if k % 2 else 7 if k % 3 else k, f"text {k} " + "x" * (k % 40)) for k in range(4000)]
+    out = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), 16).collect()
+    load, places = defaultdict(int), defaultdict(list)
+    for r in out:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["place"])
+    mean = sum(load.values()) / 16
+    assert len(load) == 16 and max(abs(n - mean) for n in load.values()) < 0.01 * mean + 50
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert max(Counter(r["vslot"] for r in out).values()) < 10

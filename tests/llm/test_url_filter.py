@@ -48,8 +48,8 @@ def test_mined_rules(spark):
     good = [f"http://good{k % 5}.site.org/en/{k}" for k in range(60)]
     bad = [f"http://cheap-pills.site.org/{'xyz'[k % 3]}/{k}?buy=1" for k in range(40)]
     data = spark.createDataFrame([(u, "allow") for u in good] + [(u, "block") for u in bad] + [("http://cheap-pills.site.org/q/1", None)], "url string, label string")
-    rules = uf.mine(data, support=0.05, confidence=0.7)
-    got = rules.collect()
+    mined = uf.mine(data, support=0.05, confidence=0.7)
+    got = mined.rules.collect()
     assert any(set(r["tokens"]) == {"host:cheap-pills"} and r["label"] == "block" and r["confidence"] == 1.0 for r in got)
     for r in got:  # exact counts
         own = [l for u, l in [(u, "allow") for u in good] + [(u, "block") for u in bad] if set(r["tokens"]) <= set(uf_tokens(spark, u))]
@@ -57,8 +57,10 @@ def test_mined_rules(spark):
     shown = [tuple(sorted(r["tokens"])) for r in got]
     assert ("host:cheap-pills", "query:buy") not in shown  # no better than a shorter rule
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(good[:3] + bad[:3] + ["http://cheap-pills.other.org/new", "http://new.org/", None])], "page_id long, url string")
-    out = {r["url"]: r["verdict"] for r in uf.judge(pages, rules).collect()}
+    out = {r["url"]: r["verdict"] for r in uf.judge(pages, mined).collect()}
     toks = {r["url"]: r["t"] for r in pages.select("url", uf.tokens(pages.url).alias("t")).collect()}
+    stands = {r["token"]: r["stand"] for r in mined.alike.collect()}
+    toks = {u: [stands.get(t, t) for t in ts] for u, ts in toks.items()}
     assert out == brute(toks, got) and out["http://cheap-pills.other.org/new"] == "block"
 
 
@@ -76,3 +78,37 @@ def test_clash_and_empty(spark):
     out = uf.judge(pages, none, URL_RULES)
     assert out.columns == ["page_id", "url", "host", "Rule", "row", "_host", "path", "_rule", "verdict", "mined"] and out.first()["_rule"] == "com/"
     assert uf.judge(pages.limit(0), none, URL_RULES).count() == 0
+
+
+def test_every_rule_is_found(spark):
+    """All rules of the support and confidence that no shorter rule makes superfluous, by enumeration."""
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(4)
+    rows = [(f"http://{rnd.choice('ab')}.{rnd.choice('cd')}.org/{rnd.choice(['x', 'y', 'x/z'])}?{rnd.choice('qr')}=1", rnd.choice(["allow", "block", "block"])) for _ in range(120)]
+    mined = uf.mine(spark.createDataFrame(rows, "url string, label string"), support=0.1, confidence=0.6)
+    stands = {r["token"]: r["stand"] for r in mined.alike.collect()}
+    baskets = [(frozenset(stands.get(t, t) for t in uf_tokens(spark, u)), label) for u, label in rows]
+    assert len({t for b, _ in baskets for t in b}) < 12
+    found = {}
+    for b in {b for b, _ in baskets}:
+        for n in range(1, len(b) + 1):
+            for some in combinations(sorted(b), n):
+                own = [label for c, label in baskets if c.issuperset(some)]
+                for label in ("allow", "block"):
+                    if own.count(label) >= 0.1 * len(rows) and own.count(label) >= 0.6 * len(own):
+                        found[(some, label)] = own.count(label) / len(own)
+    want = {k: c for k, c in found.items() if not any(found.get((tuple(t for t in k[0] if t != x), k[1]), 0) >= c for x in k[0])}
+    got = {(tuple(sorted(r["tokens"])), r["label"]): r["confidence"] for r in mined.rules.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_long_urls_that_repeat(spark):
+    """Hundreds of tokens that always come together are mined as one: 2^300 sets of them would be frequent."""
+    long = "http://long.org/" + "/".join(f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300))
+    data = [(long, "block")] * 30 + [(f"http://short.org/p{chr(97 + k % 20)}", "allow") for k in range(60)]
+    mined = uf.mine(spark.createDataFrame(data, "url string, label string"), support=0.05, confidence=0.7)
+    assert mined.rules.count() < 50
+    pages = spark.createDataFrame([(1, long), (2, "http://x.org/saa"), (3, "http://short.org/pa"), (4, None)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in uf.judge(pages, mined).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
