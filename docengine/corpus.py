@@ -21,11 +21,11 @@ def _pick(names: tuple[str, ...], by: str) -> F.Column:
 
 def documents(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
     """Documents with every column of the model; attributes that the table lacks are derived from the id."""
-    line = lambda n, most: F.trim(F.substring(F.split_part("text", F.lit("\n"), F.lit(n)), 1, most))
+    line = lambda n: F.trim(F.split_part("text", F.lit("\n"), F.lit(n)))
     d = table(spark, sf_dir, "documents")
     cols = {
-        "id": F.col("doc_id"), "key": F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), "title": line(1, 120), "abstract": line(2, 200), "headings": line(3, 120),
-        "declaration": F.concat(F.lit("func "), F.split_part(line(1, 120), F.lit(" "), F.lit(1)), F.lit("()")), "framework": F.col("source"), "root_slug": F.col("source"),
+        "id": F.col("doc_id"), "key": F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), "title": line(1), "abstract": line(2), "headings": line(3),
+        "declaration": F.concat(F.lit("func "), F.split_part(line(1), F.lit(" "), F.lit(1)), F.lit("()")), "framework": F.col("source"), "root_slug": F.col("source"),
         "language": F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 13 == 0, "both").otherwise(F.col("lang")), "source_type": _pick(SOURCE_TYPES, "doc_id"),
         "doc_kind": _pick(KINDS, "doc_id"), "role": F.when(F.col("doc_id") % 8 == 1, "article").when(F.col("doc_id") % 8 == 6, "sampleCode").otherwise("symbol"), "role_heading": _pick(HEADINGS, "doc_id"),
         "url_depth": F.lit(2), "is_deprecated": F.col("doc_id") % 7 == 0, "is_beta": F.col("doc_id") % 17 == 0, "is_release_notes": F.col("doc_id") % 31 == 0,
@@ -44,8 +44,8 @@ def _sql_pick(names: tuple[str, ...]) -> str:
 #: The same mapping for the oracle: put this before a query as a CTE.
 CORPUS_SQL = f"""corpus AS (
   SELECT doc_id AS id, source || '/' || lang || '/' || doc_id AS key, source || '/' || lang || '/' || doc_id AS path,
-    trim(substr(split_part(text, chr(10), 1), 1, 120)) AS title, trim(substr(split_part(text, chr(10), 2), 1, 200)) AS abstract, trim(substr(split_part(text, chr(10), 3), 1, 120)) AS headings,
-    'func ' || split_part(trim(substr(split_part(text, chr(10), 1), 1, 120)), ' ', 1) || '()' AS declaration, source AS framework, source AS root_slug,
+    trim(split_part(text, chr(10), 1)) AS title, trim(split_part(text, chr(10), 2)) AS abstract, trim(split_part(text, chr(10), 3)) AS headings,
+    'func ' || split_part(trim(split_part(text, chr(10), 1)), ' ', 1) || '()' AS declaration, source AS framework, source AS root_slug,
     CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'both' ELSE lang END AS language, {_sql_pick(SOURCE_TYPES)} AS source_type, {_sql_pick(KINDS)} AS doc_kind,
     CASE doc_id % 8 WHEN 1 THEN 'article' WHEN 6 THEN 'sampleCode' ELSE 'symbol' END AS role, {_sql_pick(HEADINGS)} AS role_heading, 2 AS url_depth,
     doc_id % 7 = 0 AS is_deprecated, doc_id % 17 = 0 AS is_beta, doc_id % 31 = 0 AS is_release_notes,

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 # Words that a relaxed query leaves out
 STOPWORDS = (
-    "a an and are as at be but by do does for from get have how i if in into is it its me my of on or should that the their then there these this to use using want was way we were "
-    "what when where which while why will with you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "do", "does", "for", "from", "get", "have", "how", "i", "if", "in", "into", "is", "it",
+    "its", "me", "my", "of", "on", "or", "should", "that", "the", "their", "then", "there", "these", "this", "to", "use", "using", "want", "was",
+    "way", "we", "were", "what", "when", "where", "which", "while", "why", "will", "with", "you", "your",
+)
 
 # Patterns of the intent classes, in order of precedence
 INTENT_PATTERNS = (
-    ("symbol", 0.9, r"[a-z][A-Z]|[.:]{2}|[A-Z]\w+\.(?:[a-z]\w+|[A-Z]\w+)"),
+    ("symbol", 0.9, r"[a-z][A-Z]"),
+    ("symbol", 0.9, r"[.:]{2}"),
+    ("symbol", 0.9, r"[A-Z]\w+\.(?:[a-z]\w+|[A-Z]\w+)"),
     ("symbol", 0.7, r"^[A-Z][A-Za-z0-9]+$"),
     ("error", 0.8, r"(?i)\b(error|crash|exception|fail|issue|bug|fix|troubleshoot|exc_bad|abort|segfault)\b"),
     ("howto", 0.8, r"(?i)\b(how|guide|tutorial|example|implement|create|build|use|setup|configure|add|make)\b"),
@@ -94,3 +97,27 @@ def sanitize_trigram(query: str | None) -> str:
     if not q:
         return '""'
     return q if re.fullmatch(r"[A-Za-z0-9_\s]+", q) else '"' + q.replace('"', '""') + '"'
+
+
+def query_tokens(query: Column) -> Column:
+    """tokenize, of a column."""
+    return F.filter(F.split(F.coalesce(query, F.lit("")), r"[^A-Za-z0-9_.]+"), lambda t: (t != "") & ~t.rlike("^[0-9]$"))
+
+
+def without_stopwords(tokens_: Column) -> Column:
+    """prune_stopwords, of a column."""
+    return F.filter(tokens_, lambda t: t.rlike("[a-z][A-Z]") | ~F.lower(t).isin(*STOPWORDS))
+
+
+def high_signal(tokens_: Column) -> Column:
+    """high_signal_token, of a column; null if there is none."""
+    camel = F.get(F.filter(tokens_, lambda t: t.rlike("[a-z][A-Z]")), F.lit(0))
+    long = F.filter(tokens_, lambda t: F.length(t) >= 4)
+    most = F.array_max(F.transform(long, lambda t: F.length(t)))
+    return F.coalesce(camel, F.get(F.filter(long, lambda t: F.length(t) == most), F.lit(0)))
+
+
+def trigram_query(query: Column) -> Column:
+    """sanitize_trigram, of a column."""
+    q = F.trim(F.coalesce(query, F.lit("")))
+    return F.when(q == "", '""').when(q.rlike(r"^[A-Za-z0-9_\s]+$"), q).otherwise(F.concat(F.lit('"'), F.replace(q, F.lit('"'), F.lit('""')), F.lit('"')))

@@ -62,8 +62,9 @@ def snippet(text: Column, query: Column, most: int = 220) -> Column:
     A third (35 %) of the window stands before the hit. Without a hit, the text's beginning.
     """
     terms = F.filter(F.transform(F.split(F.lower(query), r"\s+"), lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}_-]+", "")), lambda t: t != "")
-    places = F.filter(F.transform(terms, lambda t: F.call_function("instr", F.lower(text), t)), lambda p: p > 0)
-    hit = F.array_min(places)
+    # the text is an element of an array, so that it is lower-cased once and not for each word
+    places = F.transform(F.array(F.lower(text)), lambda low: F.array_min(F.filter(F.transform(terms, lambda t: F.call_function("instr", low, t)), lambda p: p > 0)))
+    hit = F.get(places, F.lit(0))
     start = F.greatest(hit - 1 - int(most * 0.35), F.lit(0))
     end = F.least(F.length(text), start + most)
     cut = F.trim(F.substring(text, start + 1, end - start))
@@ -141,3 +142,9 @@ def plain_text(title: Column, abstract: Column, declaration: Column, headings: C
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits: what the indexes hold."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def last_updated(html: Column) -> Column:
+    """The date that a guidelines page shows as its last update; null if none."""
+    found = F.trim(F.regexp_extract(html, r"Last Updated:\s*<a[^>]*>([^<]+)</a>", 1))
+    return F.when(found != "", found)

@@ -90,3 +90,76 @@ def safe_key(key: Column) -> Column:
 def is_storage_key(key: Column) -> Column:
     """Keys that may be a path: not absolute, without .. or . segments, backslashes or control characters."""
     return F.coalesce((key != "") & ~key.rlike(r"^/|(^|/)\.{1,2}(/|$)|//|\\|[\x00-\x1f]"), F.lit(False))
+
+
+def key_path(base: str, kind: Column | str, key: Column, ending: str) -> Column:
+    """Where a key's file is below a folder; null for keys that may not be a path."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.when(is_storage_key(key), F.concat(F.lit(f"{base.rstrip('/')}/"), kind, F.lit("/"), safe_key(key), F.lit(ending)))
+
+
+def relative_path(source: Column, target: Column) -> Column:
+    """The way from one path's folder to another path; the target's name alone if they are the same."""
+    a, b = F.split(source, "/"), F.split(target, "/")
+    folders = lambda x: F.slice(x, 1, F.size(x) - 1)
+    depth = F.least(F.size(a), F.size(b)) - 1
+    # the first place where the folders differ, or where the shorter ones end
+    same = F.coalesce(F.array_position(F.transform(F.sequence(F.lit(0), depth), lambda i: (i == depth) | (F.get(a, i) != F.get(b, i))), True).cast("int") - 1, depth)
+    up = F.array_repeat(F.lit(".."), F.size(a) - 1 - same)
+    down = F.slice(b, same + 1, F.size(b) - same)
+    usable = (source != "") & (target != "")
+    return F.when(F.coalesce(usable, F.lit(False)), F.when(source == target, F.element_at(b, -1)).otherwise(F.concat_ws("/", F.concat(F.when(F.size(folders(a)) > same, up).otherwise(F.array().cast("array<string>")), down)))).otherwise(F.coalesce(target, F.lit("")))
+
+
+def absolute_url(href: Column, base: Column) -> Column:
+    """A link as it stands in a page, made absolute by the page's address; null if it can't be."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    tail = F.regexp_extract(href, r"([?#].*)$", 1)
+    bare = F.regexp_replace(href, r"[?#].*$", "")
+    folder = F.regexp_replace(url_path(base), "[^/]*$", "")
+    parts = F.split(F.concat(folder, bare), "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when((x == ".") | (x == ""), acc).otherwise(F.array_append(acc, x))
+    path = F.concat(F.lit("/"), F.concat_ws("/", F.aggregate(parts, F.array().cast("array<string>"), step)), F.when(bare.endswith("/"), "/").otherwise(""))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(origin == "", None).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^/]+)//", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href)).when(bare == "", F.concat(origin, url_path(base), tail)).otherwise(F.concat(origin, path, tail))
+    )
+
+
+def resolve_links(links: DataFrame, known: DataFrame, docs_base: str = "/docs", href: str = "href", base: str = "base") -> DataFrame:
+    """links (href, and the address of the page they are on) with `resolved`: the site's own page of a known document, else the absolute address.
+
+    Anchors, mail, data and the like, links to the site's own pages and what can't be made absolute stay as they are. known: the keys there
+    are (column key), each once.
+    """
+    raw = F.col(href)
+    rows = links.withColumn("_abs", F.when(~raw.rlike(OPAQUE) & ~raw.startswith("#"), absolute_url(raw, F.col(base))))
+    own = url_path(F.col("_abs")).startswith(f"{docs_base}/") & (url_host(F.col("_abs")) == F.coalesce(F.nullif(url_host(F.col(base)), F.lit("")), url_host(F.col("_abs"))))
+    rows = rows.withColumn("_key", F.when(~own, map_url_to_key(F.col("_abs")))).join(known.select(F.col("key").alias("_known")), F.col("_key") == F.col("_known"), "left")
+    inside = F.concat(F.lit(f"{docs_base}/"), "_known", F.lit("/"), F.regexp_extract("_abs", "(#.*)$", 1))
+    out = F.when(F.col("_abs").isNull() | own, raw).when(F.col("_known").isNotNull(), inside).otherwise(F.col("_abs"))
+    return rows.withColumn("resolved", out).drop("_abs", "_key", "_known")
+
+
+def package_key(url: Column) -> Column:
+    """The key of a package by the address of its repository; null for other addresses."""
+    pattern = r"(?i)^https?://github\.com/([^/]+)/([^/]+?)(?:\.git)?/?$"
+    owner, repo = (F.lower(F.try_url_decode(F.regexp_extract(F.trim(url), pattern, k))) for k in (1, 2))
+    return F.when(owner != "", F.concat(F.lit("packages/"), owner, F.lit("/"), repo))
+
+
+def composite_etag(value: Column) -> Column:
+    """A package's etag as (source, repo, readme, branch, readmeFilename); what is no JSON is the repository's etag."""
+    fields = ("repo", "readme", "branch", "readmeFilename")
+    json = F.from_json(value, "source string, " + ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
+    is_json = F.coalesce(F.try_parse_json(value).isNotNull(), F.lit(False))
+    source = F.when(is_json & (json["source"] == "raw"), "raw").otherwise("api")
+    repo = F.when(is_json, json["repo"]).otherwise(F.nullif(value, F.lit("")))
+    return F.struct(source.alias("source"), repo.alias("repo"), *[F.when(is_json, json[f]).alias(f) for f in fields[1:]])
+
+
+def package_check(stored: Column, read: Column) -> Column:
+    """Whether a package changed: its repository's etag or its readme's, whichever both have."""
+    a, b = composite_etag(stored), composite_etag(read)
+    same = lambda f: F.coalesce(a[f] == b[f], a[f].isNull() & b[f].isNull())
+    return F.when(same("repo") & same("readme"), "unchanged").otherwise("modified")

@@ -36,3 +36,13 @@ def platform_map(platforms: Column) -> Column:
     # of names that repeat, the last one counts
     kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["col1"] == e["col1"]))
     return F.map_from_entries(kept)
+
+
+def serialize_platforms(platforms: Column) -> Column:
+    """A map of platforms as JSON; null stays null."""
+    return F.to_json(platforms)
+
+
+def read_platforms(text: Column) -> Column:
+    """The map again; null for what is no JSON object."""
+    return F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False)), F.from_json(text, "map<string,string>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ DOCUMENT = _struct(
 )
 BUNDLE = T.StructType([T.StructField("document", DOCUMENT), T.StructField("sections", T.ArrayType(SECTION)), T.StructField("relationships", T.ArrayType(RELATION))])
 
-#: The one row shape of all search tiers.
+# The one row shape of all search tiers
 RESULT_COLUMNS = (
     "id", "path", "title", "role", "role_heading", "doc_kind", "abstract", "declaration", "platforms", "framework", "root_slug", "source_type", "source_metadata", "url_depth",
     "language", "is_release_notes", "is_deprecated", "is_beta", "min_ios", "min_macos", "min_watchos", "min_tvos", "min_visionos",
@@ -63,3 +63,23 @@ def framework_of(key: Column) -> Column:
 def url_depth(key: Column) -> Column:
     """Segments less one."""
     return F.size(F.split(key, "/")) - 1
+
+
+def result_rows(rows: DataFrame) -> DataFrame:
+    """Rows in the shape of all search tiers; columns that they lack are null."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS])
+
+
+# What each surface shows, and flags that are shown only if they are true
+SURFACES = {
+    "search": ("path", "title", "framework", "root_slug", "doc_kind", "source_type", "abstract", "declaration", "platforms", "language", "snippet", "related_count", "confidence"),
+    "read": ("title", "framework", "root_slug", "role_heading", "doc_kind", "abstract", "declaration", "path", "platforms"),
+    "lookup": ("path", "title", "framework", "doc_kind"),
+}
+FLAGS = ("is_deprecated", "is_beta", "is_release_notes")
+
+
+def project(rows: DataFrame, surface: str) -> DataFrame:
+    """Only what a surface shows; flags that aren't true are null, so that nothing else gets out."""
+    there = [c for c in SURFACES[surface] if c in rows.columns]
+    return rows.select(*there, *[F.when(F.col(c), True).alias(c) for c in FLAGS if c in rows.columns])

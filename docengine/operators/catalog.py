@@ -69,3 +69,18 @@ def pages_to_render(digests: DataFrame, rendered: DataFrame, template: str) -> D
     """Documents (document_id, digest) whose page is missing, or was made from other sections or another template."""
     done = rendered.where(F.col("template") == template).select("document_id", "digest")
     return digests.join(done, ["document_id", "digest"], "left_anti")
+
+
+def with_roots(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Documents with their root's name and kind; null where the root isn't known."""
+    return docs.join(roots.select(F.col("slug").alias("root_slug"), F.col("display_name").alias("root_name"), F.col("kind").alias("root_kind")), "root_slug", "left")
+
+
+def with_raw(docs: DataFrame, raw: DataFrame) -> DataFrame:
+    """Documents with the raw payload that they were made from; those without one are left out."""
+    return docs.join(raw.select("key", "payload"), "key")
+
+
+def sample(docs: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """n rows by chance, the same for a seed: those of the smallest hashes of their keys."""
+    return docs.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(n)

@@ -10,10 +10,11 @@ SKIPPED_KINDS = ("declaration", "parameters", "parameter", "returnvalue", "retur
 ANCHOR_CHARS, MOST_CHUNKS, WINDOW_CHARS, OVERLAP_CHARS = 1200, 8, 880, 160
 
 
-def windows(text: Column, size: int = WINDOW_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
-    """Windows of a text, each beginning size - overlap after the one before; the last one ends the text."""
+def windows(text: Column, size: int = WINDOW_CHARS, overlap: int = OVERLAP_CHARS, most: int | None = None) -> Column:
+    """Windows of a text, each beginning size - overlap after the one before; the last one ends the text. `most`: as many are made."""
     step = max(1, size - overlap)
     n = F.when(F.length(text) <= size, 1).otherwise(F.ceil((F.length(text) - size) / F.lit(step)).cast("int") + 1)
+    n = n if most is None else F.least(n, F.lit(most))
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
@@ -32,7 +33,7 @@ def chunk(docs: DataFrame, sections: DataFrame, most: int = MOST_CHUNKS, size: i
     s = s.where(~kind.isin(*SKIPPED_KINDS) & ~kind.startswith("rest") & ~((kind == "abstract") & (F.col("_abstract") != "")))
     body = F.trim(F.coalesce("content_text", F.lit("")))
     text = F.concat(F.when(F.col("heading") != "", F.concat("heading", F.lit(". "))).otherwise(""), body)
-    pieces = s.where(body != "").select("document_id", "sort_order", F.posexplode(F.slice(windows(text, size, overlap), 1, most)).alias("at", "text"))
+    pieces = s.where(body != "").select("document_id", "sort_order", F.posexplode(windows(text, size, overlap, most)).alias("at", "text"))
     w = Window.partitionBy("document_id").orderBy("sort_order", "at")
     rest = pieces.select("document_id", F.row_number().over(w).alias("ord"), "text").where(F.col("ord") < most)
     first = docs.select(F.col("id").alias("document_id"), F.lit(0).alias("ord"), anchor(F.col("title"), F.col("abstract"), F.col("headings")).alias("text"))

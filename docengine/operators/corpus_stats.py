@@ -107,3 +107,8 @@ def pages_of_root(pages: DataFrame, roots: DataFrame) -> DataFrame:
 def scope_groups(docs: DataFrame, label: Column) -> DataFrame:
     """Groups of a scope's listing: (label, count, first title), Other for no label."""
     return docs.groupBy(F.coalesce(label, F.lit("Other")).alias("label")).agg(F.count("*").alias("count"), F.min("title").alias("first_title"))
+
+
+def index_bytes(chunks: DataFrame, codes: dict[str, int]) -> DataFrame:
+    """One row: chunks, and the bytes of each payload column; codes gives the bytes of one element."""
+    return chunks.agg(F.count("*").alias("chunks"), *[F.coalesce(F.sum(F.size(c) * size), F.lit(0)).cast("long").alias(f"{c}_bytes") for c, size in codes.items()])

@@ -9,9 +9,11 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import BUNDLE
 from ..session import ship
+from .markdown import write_yaml
 
 #: Levels of nesting that are read; what is deeper is left out.
 MAX_DEPTH = 512
@@ -210,3 +212,147 @@ def consolidate_links(node: Any, known: set[str]) -> dict[str, int]:
                 counts["added"] += 1
             stack.extend(n.values())
     return counts
+
+
+_MARKS = {"emphasis": "*", "newTerm": "*", "strong": "**", "inlineHead": "**"}
+
+
+def markdown_of(nodes: Any, refs: dict[str, Any], depth: int = 0) -> str:
+    """Content or inline nodes as Markdown; deeper than 512 levels nothing."""
+    if not isinstance(nodes, list) or depth > MAX_DEPTH:
+        return ""
+    out = []
+    for n in nodes:
+        if not isinstance(n, dict):
+            continue
+        go = lambda x: markdown_of(x or [], refs, depth + 1)
+        match n.get("type"):
+            case "paragraph":
+                out.append(go(n.get("inlineContent")) + "\n\n")
+            case "heading":
+                out.append("#" * (n.get("level") or 2) + f" {n.get('text') or go(n.get('inlineContent'))}\n\n")
+            case "codeListing":
+                out.append(f"```{n.get('syntax') or ''}\n" + "\n".join(n.get("code") or []) + "\n```\n\n")
+            case "unorderedList" | "orderedList" as kind:
+                marks = (f"{k}. " if kind == "orderedList" else "- " for k in range(1, 1 << 30))
+                out.append("\n".join(m + go(i.get("content")).strip() for m, i in zip(marks, n.get("items") or [], strict=False)) + "\n\n")
+            case "aside":
+                out.append(f"> **{n.get('style') or 'Note'}:** {go(n.get('content')).strip()}\n\n")
+            case "table":
+                rows = [r if isinstance(r, list) else r.get("cells") or [] for r in n.get("rows") or []]
+                lines = ["| " + " | ".join(go(c.get("content") if isinstance(c, dict) else c).strip() for c in r) + " |" for r in rows]
+                out.append("\n".join([*lines[:1], *(["|" + " --- |" * len(rows[0])] if rows else []), *lines[1:]]) + "\n\n")
+            case "text":
+                out.append(n.get("text") or "")
+            case "codeVoice":
+                out.append(f"`{n.get('code') or ''}`")
+            case "reference":
+                title, key = (refs.get(n.get("identifier")) or {}).get("title") or n.get("title") or n.get("identifier") or "", resolve(n.get("identifier") or "", refs)
+                out.append(f"[{title}]({key})" if key else title)
+            case "link":
+                out.append(f"[{n.get('title') or n.get('destination') or ''}]({n.get('destination') or ''})")
+            case t if t in _MARKS:
+                out.append(_MARKS[t] + go(n.get("inlineContent")) + _MARKS[t])
+            case _:
+                out.append(n.get("text") or go(n.get("inlineContent")) or go(n.get("content")))
+    return "".join(out)
+
+
+def render_page(page: dict[str, Any], path: str) -> str:
+    """A DocC page as Markdown: front matter, title, abstract, its content, and lists of links."""
+    meta, refs = page.get("metadata") or {}, page.get("references") or {}
+    known = [f"{p['name']} {p['introducedAt']}+" if p.get("introducedAt") else p["name"] for p in meta.get("platforms") or [] if p.get("name")]
+    module = ((meta.get("modules") or [{}])[0] or {}).get("name")
+    out = [write_yaml({"title": meta.get("title"), "framework": module, "role": meta.get("role"), "role_heading": meta.get("roleHeading"), "platforms": known or None, "path": path}).strip()]
+    out += [f"# {meta['title']}"] if meta.get("title") else []
+    out.append(markdown_of(page.get("abstract"), refs).strip())
+    for s in page.get("primaryContentSections") or []:
+        if s.get("kind") == "declarations":
+            code = [("swift" if not d.get("languages") else d["languages"][0], "".join(t.get("text") or "" for t in d.get("tokens") or [])) for d in s.get("declarations") or []]
+            out.append("\n\n".join(["## Declaration", *(f"```{lang}\n{text}\n```" for lang, text in code)]))
+        elif s.get("kind") == "parameters":
+            out.append("\n\n".join(["## Parameters", "\n".join(f"- `{p.get('name')}`: {markdown_of(p.get('content'), refs).strip()}" for p in s.get("parameters") or [])]))
+        elif s.get("kind") != "mentions":
+            out.append(markdown_of(s.get("content"), refs).strip())
+    for part, name in (("topicSections", "Topics"), ("relationshipsSections", "Relationships"), ("seeAlsoSections", "See Also")):
+        if page.get(part):
+            out.append(f"## {name}")
+            for g in page[part]:
+                links = [f"- [{(refs.get(i) or {}).get('title') or resolve(i, refs) or i}]({resolve(i, refs) or i})" for i in g.get("identifiers") or []]
+                out += [f"### {g['title']}"] if g.get("title") else []
+                out.append("\n".join(links))
+    return "\n\n".join(x for x in out if x) + "\n"
+
+
+def _pages(payloads: pd.Series) -> list[dict[str, Any] | None]:
+    out = []
+    for p in payloads:
+        try:
+            page = json.loads(p)
+        except (TypeError, ValueError):
+            page = None
+        out.append(page if isinstance(page, dict) else None)
+    return out
+
+
+def render_pages(pages: DataFrame) -> DataFrame:
+    """(key, markdown) of DocC pages (key, payload); payloads that are no JSON object give null."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("string")
+    def run(keys: pd.Series, payloads: pd.Series) -> pd.Series:
+        return pd.Series([None if page is None else render_page(page, k) for k, page in zip(keys, _pages(payloads), strict=True)])
+
+    return pages.select("key", run("key", "payload").alias("markdown"))
+
+
+def reference_keys(pages: DataFrame) -> DataFrame:
+    """(from_key, to_key): what a crawl of DocC pages (key, payload) goes on to."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def run(payloads: pd.Series) -> pd.Series:
+        return pd.Series([[] if page is None else references(page) for page in _pages(payloads)])
+
+    return pages.select(F.col("key").alias("from_key"), F.explode(run("payload")).alias("to_key"))
+
+
+def _link_keys(node: Any) -> list[str]:
+    """Keys that links in a content tree have, or may get."""
+    out: dict[str, None] = {}
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, list):
+            stack.extend(n)
+        elif isinstance(n, dict):
+            for k in (n.get("_resolvedKey"), identifier((n.get("destination") or "").replace("https://developer.apple.com", "")) if n.get("type") == "link" else None):
+                if isinstance(k, str):
+                    out[k] = None
+            stack.extend(n.values())
+    return list(out)
+
+
+def consolidate(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, payload, added, removed, kept): content trees with their links' keys as `known` (key) has them.
+
+    Only the keys that a page's own links have are joined to it, so that the list of all keys goes to no task whole.
+    """
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def keys_of(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda p: _link_keys(json.loads(p)))
+
+    @F.pandas_udf("payload string, added long, removed long, kept long")
+    def run(payloads: pd.Series, known_: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, ks in zip(payloads, known_, strict=True):
+            tree = json.loads(p)
+            counts = consolidate_links(tree, set() if ks is None else set(ks))
+            rows.append((json.dumps(tree, sort_keys=True), counts["added"], counts["removed"], counts["kept"]))
+        return pd.DataFrame(rows, columns=["payload", "added", "removed", "kept"])
+
+    linked = pages.select(F.col("key").alias("page"), F.explode(keys_of("payload")).alias("key")).join(known.select("key"), "key", "left_semi")
+    own = linked.groupBy(F.col("page").alias("key")).agg(F.collect_set("key").alias("_known"))
+    return pages.join(own, "key", "left").select("key", run("payload", "_known").alias("r")).select("key", "r.*")

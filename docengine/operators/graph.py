@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, durable
 from .corpus_stats import RELATION_NAMES
 
 
@@ -70,17 +71,40 @@ def parent_by_number(sections: DataFrame) -> DataFrame:
 
 
 def crawl_frontier(references: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Breadth-first search along references (from_key, to_key) within a root: (key, depth) of all that seeds reach, in max_rounds steps at most if that is given."""
+    """Breadth-first search along references (from_key, to_key) within a root: (key, depth) of all that seeds reach.
+
+    Each round's keys are a table in the shared folder, so that plans stay short. With max_rounds, keys beyond are an error.
+    """
     slug = lambda c: F.substring_index(c, "/", 1)
-    inside = references.where(slug("from_key") == slug("to_key")).select("from_key", "to_key").distinct().persist()
-    seen = seeds.select(F.col("key"), F.lit(0).alias("depth")).distinct()
-    front = seen
-    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
+    inside = durable(references.where(slug("from_key") == slug("to_key")).select("from_key", "to_key").distinct())
+    seen = front = durable(seeds.select(F.col("key"), F.lit(0).alias("depth")).distinct())
+    spent: list[DataFrame] = []
+    for depth in count(1):
         found = front.join(inside, front.key == inside.from_key).select(F.col("to_key").alias("key")).distinct().join(seen, "key", "left_anti")
-        front = found.withColumn("depth", F.lit(depth)).localCheckpoint()  # plans would double with each step
+        front = durable(found.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
+        if max_rounds is not None and depth > max_rounds:
+            raise ValueError(f"references go on beyond {max_rounds} rounds")
         seen = seen.union(front)
-        if depth % 10 == 0:
-            seen = seen.localCheckpoint()
+        spent.append(front)
+        if len(spent) == 10:  # one table again
+            seen = durable(seen)
+            discard(*spent[:-1])
+            spent.clear()
+    discard(inside)
     return seen
+
+
+def category_labels(edges: DataFrame, docs: DataFrame, top: str) -> DataFrame:
+    """(child, label, parent, place): the category that a page is listed under: its parent with the longest key, other than the top page.
+
+    label is the parent's title, or its key; place its order below the top page, after all others if it isn't listed there.
+    """
+    child = edges.where("relation_type = 'child'")
+    listed = child.where(F.col("from_key") == top).groupBy(F.col("to_key").alias("parent")).agg(F.min("sort_order").alias("place"))
+    up = child.where(F.col("from_key") != top).select(F.col("to_key").alias("child"), F.col("from_key").alias("parent"))
+    best = up.groupBy("child").agg(F.max_by("parent", F.struct(F.length("parent"), "parent")).alias("parent"))
+    names = docs.select(F.col("key").alias("parent"), "title")
+    rows = best.join(names, "parent", "left").join(listed, "parent", "left")
+    return rows.select("child", F.coalesce("title", "parent").alias("label"), "parent", F.coalesce("place", F.lit(2_147_483_647)).alias("place"))

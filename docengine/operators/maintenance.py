@@ -111,20 +111,85 @@ def failed_rows(crawl: DataFrame, roots: DataFrame, catalog_types: Sequence[str]
     return rows.withColumn("todo", todo).drop("_slug", "_type")
 
 
-def integrity_report(docs: DataFrame, pages: DataFrame, sections: DataFrame, edges: DataFrame, fulltext: DataFrame | None = None, body: DataFrame | None = None) -> DataFrame:
-    """Rows (name, found, ok): index rows without document, documents against pages, orphan sections and edges."""
+def flat_update(pages: DataFrame, found: DataFrame, checks: DataFrame, key: str = "path") -> DataFrame:
+    """Pages (path, status, etag, misses) after an update of a source that lists all its keys: stale ones are deleted, tracked ones checked, new ones added.
+
+    found: the keys that the source has (path); checks as in apply_checks. action is deleted, new, or what the check says.
+    """
+    stale = pages.join(found.select(key), key, "left_anti").withColumn("action", F.lit("deleted")).withColumn("status", F.lit("deleted"))
+    tracked = apply_checks(pages.join(found.select(key), key, "left_semi"), checks, key)
+    new = found.select(key).distinct().join(pages.select(key), key, "left_anti").join(checks.select(key, "etag"), key, "left")
+    new = new.select(key, F.lit("active").alias("status"), "etag", F.lit(0).alias("misses"), F.lit("new").alias("action"))
+    return tracked.unionByName(stale).unionByName(new, allowMissingColumns=True)
+
+
+def resolve_failed(failed: DataFrame, references: DataFrame) -> DataFrame:
+    """(path, resolved): failed paths with the address that their parent's page gives for them, where it differs.
+
+    references: (page, identifier_key, url_key) of the pages there are; a parent is the path without its last segment. Of several
+    addresses the first in order counts.
+    """
+    up = failed.where(F.col("path").contains("/")).withColumn("page", F.regexp_replace("path", "/[^/]*$", ""))
+    hit = up.join(references, ["page"]).where((F.col("identifier_key") == F.col("path")) & (F.col("url_key") != F.col("path")))
+    return hit.groupBy("path").agg(F.min("url_key").alias("resolved"))
+
+
+def collect_garbage(docs: DataFrame, sections: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections and edges without those whose documents aren't there (either end of an edge)."""
+    ids, keys = docs.select(F.col("id").alias("document_id")), docs.select("key")
+    kept = edges.join(keys.select(F.col("key").alias("from_key")), "from_key", "left_semi").join(keys.select(F.col("key").alias("to_key")), "to_key", "left_semi")
+    return sections.join(ids, "document_id", "left_semi"), kept
+
+
+def log_update(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """The update log with entries added (timestamp, action, root_slug, ...); columns that they lack are null."""
+    return log.unionByName(entries, allowMissingColumns=True)
+
+
+def last_updates(log: DataFrame) -> DataFrame:
+    """The last entry of each action."""
+    return log.groupBy("action").agg(F.max("timestamp").alias("timestamp"), F.count("*").alias("n"))
+
+
+def stamp_index(chunks: DataFrame, model: str, version: int, dims: int) -> DataFrame:
+    """Chunks with what made them: model, version and dimensions."""
+    return chunks.withColumns({"model": F.lit(model), "version": F.lit(version), "dims": F.lit(dims)})
+
+
+def to_embed(docs: DataFrame, chunks: DataFrame, model: str, version: int, dims: int) -> DataFrame:
+    """Documents to embed: those without chunks of this model, version and dimensions; all if the index has another stamp."""
+    same = chunks.where((F.col("model") == model) & (F.col("version") == version) & (F.col("dims") == dims))
+    return without_chunks(docs, same)
+
+
+def integrity_report(
+    docs: DataFrame, pages: DataFrame, sections: DataFrame, edges: DataFrame, fulltext: DataFrame | None = None, body: DataFrame | None = None, raw: DataFrame | None = None, manifest: dict | None = None, schema_version: int = 0
+) -> DataFrame:
+    """Rows (name, found, ok): index rows without document, documents against pages, orphan sections and edges.
+
+    With `raw` (key), also documents whose raw payload isn't there, all of them. With a snapshot's manifest, also its count
+    of documents, its schema's version, and index rows without document.
+    """
     from .graph import orphan_edges, orphan_rows
 
     ids = docs.select(F.col("id").alias("document_id"))
     one = lambda name, df, ok: df.agg(F.count("*").alias("found")).select(F.lit(name).alias("name"), "found", ok(F.col("found")).alias("ok"))
     zero = lambda c: c == 0
     empty = ids.limit(0)
-    out = one("documents_fulltext", empty if fulltext is None else fulltext.select(F.col("id").alias("document_id")).distinct().join(ids, "document_id", "left_anti"), zero)
-    out = out.union(one("body_fulltext", empty if body is None else body.select(F.col("id").alias("document_id")).distinct().join(ids, "document_id", "left_anti"), zero))
+    lost = lambda index: empty if index is None else index.select(F.col("id").alias("document_id")).distinct().join(ids, "document_id", "left_anti")
+    out = one("documents_fulltext", lost(fulltext), zero).union(one("body_fulltext", lost(body), zero))
     more = docs.select(F.lit(1).alias("n")).union(pages.where("status = 'active'").select(F.lit(-1))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
     out = out.union(more.select(F.lit("document_page_consistency").alias("name"), "found", (F.col("found") <= 10).alias("ok")))
     out = out.union(one("orphan_sections", orphan_rows(sections, docs, "document_id", "id"), zero))
-    return out.union(one("orphan_relationships", orphan_edges(edges, docs.select("key")), zero))
+    out = out.union(one("orphan_relationships", orphan_edges(edges, docs.select("key")), zero))
+    if raw is not None:
+        out = out.union(one("raw_payloads", docs.select("key").join(raw.select("key"), "key", "left_anti"), zero))
+    if manifest is not None:
+        wanted = manifest["tables"].get("documents", {}).get("rows", 0)
+        out = out.union(one("snapshot_document_count", docs, lambda c: c >= wanted))
+        version = docs.sparkSession.createDataFrame([("snapshot_schema_version", manifest["schema_version"], schema_version >= manifest["schema_version"])], "name string, found long, ok boolean")
+        out = out.union(version).union(one("snapshot_fulltext", lost(fulltext), zero))
+    return out
 
 
 def balanced_bins(sizes: dict[str, int], bins: int) -> list[list[str]]:

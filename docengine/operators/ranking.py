@@ -97,13 +97,16 @@ def hybrid_fusion(lists: DataFrame, k: int = 60, beta: float = 0.5) -> DataFrame
     return normalize_scores(lists).groupBy("key").agg(F.sum(F.col("weight") / (k + F.col("rank")) + beta * F.col("weight") * F.col("norm")).alias("fused"))
 
 
-def hoist_exact(rows: DataFrame, most: int = 5) -> DataFrame:
-    """Adds position: exact hits first, in lexical order, if there are 1 to `most` of them; then by fused score."""
-    n = F.sum((F.col("match_quality") == "exact").cast("int")).over(Window.partitionBy())
-    first = (F.col("match_quality") == "exact") & n.between(1, most)
-    rows = rows.withColumn("_first", F.coalesce(first, F.lit(False)))
-    order = Window.orderBy(F.col("_first").desc(), F.when(F.col("_first"), F.col("lexical_rank")).asc_nulls_last(), F.col("fused").desc(), "key")
-    return rows.withColumn("position", F.row_number().over(order)).drop("_first")
+def hoist_exact(rows: DataFrame, window: int, most: int = 5) -> DataFrame:
+    """The first `window` rows with their position: exact hits first, in lexical order, if there are 1 to `most` of them; then by fused score.
+
+    Rows are cut to the window before they are numbered.
+    """
+    exact = F.coalesce(F.col("match_quality") == "exact", F.lit(False))
+    n = rows.where(exact).limit(most + 1).count()
+    first = exact & F.lit(1 <= n <= most)
+    order = (first.desc(), F.when(first, F.col("lexical_rank")).asc_nulls_last(), F.col("fused").desc(), F.col("key"))
+    return rows.orderBy(*order).limit(window).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def mmr(ranked: Sequence[Any], vector_of: Callable[[Any], Any], similarity: Callable[[Any, Any], float], lam: float = 0.7, limit: int | None = None) -> list[Any]:
@@ -149,13 +152,15 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame
     )
 
 
+def metric_means(metrics: DataFrame, by: Sequence[str] = ("config", "kind")) -> DataFrame:
+    """Means of recall, ndcg and mrr for each configuration and kind of query, with the number of queries."""
+    return metrics.groupBy(*by).agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("recall", "ndcg", "mrr")])
+
+
 def nearest_rank(values: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Percentiles by nearest rank: the smallest value with the share of values at or below it."""
-    rows = values.where(F.col(column).isNotNull())
-    w = Window.partitionBy(*by)
-    at = rows.withColumn("_i", F.row_number().over(w.orderBy(column))).withColumn("_n", F.count("*").over(w))
-    out = [F.max(F.when(F.col("_i") == F.greatest(F.ceil(F.lit(s) * F.col("_n")), F.lit(1)), F.col(column))).alias(f"p{round(s * 100)}") for s in shares]
-    return at.groupBy(*by).agg(*out)
+    """Percentiles by nearest rank: the smallest value with the share of values at or below it; counts of values are combined, none is sorted whole."""
+    at = [F.expr(f"percentile_disc({s}) within group (order by `{column}`)") for s in shares]
+    return values.where(F.col(column).isNotNull()).groupBy(*by).agg(*[x.alias(f"p{round(s * 100)}") for x, s in zip(at, shares, strict=True)])
 
 
 # Upper bounds of the latency buckets, in milliseconds

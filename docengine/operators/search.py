@@ -1,7 +1,7 @@
 """Search tiers over inverted indexes: exact, full text, substring, fuzzy, body.
 
-Indexes are DataFrames that are built once for each corpus version and stored by term; a query joins its few
-terms to them. Every tier gives (id, tier, rank score); ties go by id.
+Indexes are tables that are built once for each corpus version, stored sorted by term (`store`), and read where a
+query's few terms are. Every tier gives (id, tier, rank score); ties go by id.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import trigrams
 from ..functions.text import tokens
+from ..session import discard, durable
 
 # Weights of the indexed fields
 FIELDS = {"title": 10.0, "abstract": 5.0, "declaration": 3.0, "headings": 2.0, "key": 1.0}
@@ -24,29 +25,34 @@ TIERS = {0: "exact", 1: "prefix", 2: "contains", 3: "match"}
 
 @dataclass(frozen=True)
 class Group:
-    """Alternatives of one word of the query: prefixes and exact terms."""
+    """Alternatives of one word of the query: prefixes and exact terms; or a phrase, whose words follow each other in a field."""
 
-    prefixes: tuple[str, ...]
+    prefixes: tuple[str, ...] = ()
     exact: tuple[str, ...] = ()
+    phrase: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Query:
-    """Groups that must all match (or any, for relaxed queries)."""
+    """Groups that must all match (or any, for relaxed queries); or as `tree` says: a group's place, or (operator, tree, tree)."""
 
     groups: tuple[Group, ...]
     any: bool = False
+    tree: int | tuple | None = None
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
 def parse(query: str) -> Query:
     """Words to groups: qualified names by segment and joined, camel-case parts exactly.
 
-    Queries with AND, OR, NOT or quotes are taken as they are by a small grammar: quoted words are exact,
-    a star makes a prefix, OR joins any of its words; NOT isn't indexed and is left out.
+    Queries with AND, OR, NOT or quotes are read as they are written: quoted words are a phrase, a star makes a prefix, words side
+    by side bind closest, then NOT, AND and OR; brackets group. What isn't well-formed is taken as words.
     """
     if re.search(r'\b(AND|OR|NOT)\b|"', query):
-        terms = [(t.strip('"').lower(), s) for t, s in re.findall(r'("[^"]*"|[^\s"()*]+)(\*?)', re.sub(r"\bNOT\s+\S+", " ", query)) if t not in ("AND", "OR", "NOT")]
-        return Query(tuple(Group((t,) if s else (), () if s else (t,)) for t, s in terms if t), any=" OR " in query)
+        return _boolean(re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', query)) or Query(tuple(Group((), (w,)) for w in words_of(re.sub(r"\b(AND|OR|NOT)\b", " ", query))))
     groups = []
     for word in query.split():
         segments = [s for s in re.split(r"[._:/\\]+", word) if s]
@@ -61,12 +67,83 @@ def parse(query: str) -> Query:
     return Query(tuple(groups))
 
 
+def _boolean(marks: list[str]) -> Query | None:
+    groups: list[Group] = []
+    at = 0
+
+    def see() -> str | None:
+        return marks[at] if at < len(marks) else None
+
+    def leaf() -> int | tuple:
+        nonlocal at
+        mark = see()
+        if mark is None or mark in (")", "AND", "OR", "NOT"):
+            raise ValueError(mark)
+        at += 1
+        if mark == "(":
+            inside = level(0)
+            if see() != ")":
+                raise ValueError(mark)
+            at += 1
+            return inside
+        words = words_of(mark)
+        if not words:
+            raise ValueError(mark)
+        groups.append(Group((), (), tuple(words)) if len(words) > 1 else Group(tuple(words)) if mark.endswith("*") else Group((), tuple(words)))
+        return len(groups) - 1
+
+    def level(k: int) -> int | tuple:
+        """Operators from the loosest to the closest; words side by side last."""
+        nonlocal at
+        if k == 3:
+            out = leaf()
+            while see() not in (None, ")", "AND", "OR", "NOT"):
+                out = ("AND", out, leaf())
+            return out
+        out = level(k + 1)
+        while see() == ("OR", "AND", "NOT")[k]:
+            at += 1
+            out = (("OR", "AND", "NOT")[k], out, level(k + 1))
+        return out
+
+    try:
+        tree = level(0)
+    except ValueError:
+        return None
+    return Query(tuple(groups), tree=tree) if at == len(marks) else None
+
+
 def build_index(docs: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """Postings (term, id, tf, length): tf weighed by field, length in tokens of all fields."""
+    """Postings (term, id, tf, length): tf weighed by field, length in tokens of all fields.
+
+    A document is one row, so that its terms are sorted and counted in it, without a shuffle.
+    """
+    # an outer generator: of the others, the optimizer infers a filter that would work out the terms once more for each element
+    rows = counted_terms(docs, fields).select("id", "length", F.inline_outer("terms"))
+    return rows.where("term is not null").select("term", "id", "tf", "length")
+
+
+def counted_terms(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """(id, length, terms): each document's terms with their weighed frequency."""
     weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
     lists = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), weighed(w)) for c, w in fields.items()]
-    rows = docs.select("id", F.concat(*lists).alias("t"))
-    return rows.select("id", F.size("t").cast("long").alias("length"), F.explode("t").alias("t")).groupBy("id", "length", "t.term").agg(F.sum("t.w").alias("tf")).select("term", "id", "tf", "length")
+    rows = docs.select("id", F.array_sort(F.concat(*lists)).alias("t")).select("id", F.size("t").cast("long").alias("length"), "t")
+    rows = rows.withColumn("begin", F.expr("filter(transform(t, (x, i) -> if(i = 0 or get(t, i - 1).term <> x.term, i, -1)), i -> i >= 0)"))
+    run = "slice(t, i + 1, coalesce(get(begin, k + 1), size(t)) - i)"
+    return rows.select("id", "length", F.expr(f"transform(begin, (i, k) -> struct(get(t, i).term as term, aggregate({run}, 0D, (s, x) -> s + x.w) as tf))").alias("terms"))
+
+
+def store(docs: DataFrame, fields: dict[str, float] = FIELDS) -> tuple[DataFrame, tuple[int, float]]:
+    """The postings as a table sorted by term, so that a query reads the few row groups of its terms; and (n, mean length) of the same pass.
+
+    A term's postings may fill several files: files are cut by term and id.
+    """
+    told = Observation()
+    rows = durable(counted_terms(docs, fields).observe(told, F.count("*").alias("n"), F.avg("length").alias("mean")))
+    postings = rows.select("id", "length", F.inline("terms")).select("term", "id", "tf", "length")
+    table = durable(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+    discard(rows)
+    return table, (told.get["n"], told.get["mean"] or 1.0)
 
 
 def index_stats(docs: DataFrame, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
@@ -75,27 +152,58 @@ def index_stats(docs: DataFrame, fields: Sequence[str] = tuple(FIELDS)) -> DataF
     return docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
 
 
-def match(postings: DataFrame, stats: tuple[int, float], query: Query) -> DataFrame:
-    """(id, score) of documents that have each group (or any): BM25 over the alternatives of a group as one term.
+def _any(tests: Sequence[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def _phrase_hits(postings: DataFrame, docs: DataFrame, fields: dict[str, float], g: int, phrase: Sequence[str]) -> DataFrame:
+    """(g, id, length, tf) of documents that have the phrase: those that have its words are read, and its places in each field counted."""
+    words = sorted(set(phrase))
+    have = postings.where(F.col("term").isin(*words)).groupBy("id", "length").agg(F.count("*").alias("n")).where(F.col("n") == len(words))
+    mark = "".join(f" {w} " for w in phrase)
+    line = lambda c: F.concat_ws("", F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.concat(F.lit(" "), t, F.lit(" "))))
+    tf = sum((F.lit(w) * (F.length(line(c)) - F.length(F.replace(line(c), F.lit(mark), F.lit("")))) / F.lit(len(mark)) for c, w in fields.items()), F.lit(0.0))
+    return docs.join(have.select("id", "length"), "id").select(F.lit(g).alias("g"), "id", "length", tf.alias("tf")).where("tf > 0")
 
-    Only the query's terms are read from the postings; n and mean come with the index.
+
+def match(postings: DataFrame, stats: tuple[int, float], query: Query, docs: DataFrame | None = None, fields: dict[str, float] = FIELDS) -> DataFrame:
+    """(id, score) of documents that have each group (or any, or as the query's tree says): BM25 over the alternatives of a group as one term.
+
+    Only the query's terms are read from the postings; n and mean come with the index. Phrases need the documents, with their fields.
     """
     n, mean = stats
     if not query.groups:
         return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    fits = [F.array(*[F.when(F.startswith("term", F.lit(p)), F.lit(g)) for p in group.prefixes], *[F.when(F.col("term") == e, F.lit(g)) for e in group.exact]) for g, group in enumerate(query.groups)]
-    wanted = None
-    for group in query.groups:
-        for test in [F.startswith("term", F.lit(p)) for p in group.prefixes] + [F.col("term") == e for e in group.exact]:
-            wanted = test if wanted is None else wanted | test
-    rows = postings.where(wanted).withColumn("g", F.explode(F.array_distinct(F.filter(F.flatten(F.array(*fits)), lambda x: x.isNotNull()))))
-    per = rows.groupBy("g", "id", "length").agg(F.sum("tf").alias("tf"))
+    loose = [(g, group) for g, group in enumerate(query.groups) if not group.phrase]
+    per = None
+    if loose:
+        tests = {g: [F.startswith("term", F.lit(p)) for p in group.prefixes] + [F.col("term") == e for e in group.exact] for g, group in loose}
+        fits = [F.when(_any(t), F.lit(g)) for g, t in tests.items()]
+        rows = postings.where(_any([x for t in tests.values() for x in t])).withColumn("g", F.explode(F.array_compact(F.array(*fits))))
+        per = rows.groupBy("g", "id", "length").agg(F.sum("tf").alias("tf"))
+    for g, group in enumerate(query.groups):
+        if group.phrase:
+            if docs is None:
+                raise ValueError("phrases are looked for in the documents")
+            hits = _phrase_hits(postings, docs, fields, g, group.phrase)
+            per = hits if per is None else per.unionByName(hits)
     df = per.groupBy("g").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    hits = per.join(F.broadcast(df), "g").groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("groups"))
-    need = 1 if query.any else len(query.groups)
-    return hits.where(F.col("groups") >= need).select("id", F.round("score", 6).alias("score"))
+    hits = per.join(F.broadcast(df), "g").groupBy("id").agg(F.sum(part).alias("score"), F.collect_set("g").alias("groups"))
+
+    def holds(tree: int | tuple) -> Column:
+        if isinstance(tree, int):
+            return F.array_contains("groups", tree)
+        kind, left, right = tree
+        left, right = holds(left), holds(right)
+        return left & right if kind == "AND" else left | right if kind == "OR" else left & ~right
+
+    need = F.size("groups") >= (1 if query.any else len(query.groups))
+    return hits.where(need if query.tree is None else holds(query.tree)).select("id", F.round("score", 6).alias("score"))
 
 
 def tier_of(query: str) -> F.Column:
@@ -106,7 +214,7 @@ def tier_of(query: str) -> F.Column:
 
 def full_text(docs: DataFrame, postings: DataFrame, stats: tuple[int, float], query: str, limit: int, parsed: Query | None = None) -> DataFrame:
     """Matches by tier, then score; docs are filtered already."""
-    hits = match(postings, stats, parsed or parse(query))
+    hits = match(postings, stats, parsed or parse(query), docs)
     return docs.join(hits, "id").withColumn("tier", tier_of(query)).orderBy("tier", F.col("score").desc(), "id").limit(limit)
 
 
@@ -116,16 +224,28 @@ def title_exact(docs: DataFrame, query: str, limit: int) -> DataFrame:
     return hits.orderBy((F.col("role") != "symbol").cast("int"), F.length("key"), "key").limit(limit)
 
 
-def substring(docs: DataFrame, query: str, limit: int) -> DataFrame:
-    """Titles that contain the query, of three characters at least."""
-    return docs.where(F.lower("title").contains(query.lower()) & F.lit(len(query) >= 3)).orderBy("id").limit(limit)
+def substring(docs: DataFrame, query: str, limit: int, grams: DataFrame | None = None) -> DataFrame:
+    """Titles that contain the query, of three characters at least. With the trigram index, only titles that have all of its trigrams are read."""
+    low = query.lower()
+    if len(low) < 3:
+        return docs.limit(0)
+    if grams is not None:
+        own = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+        have = grams.where(F.col("gram").isin(*own)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(own))
+        docs = docs.join(have.select("id"), "id", "left_semi")
+    return docs.where(F.lower("title").contains(low)).orderBy("id").limit(limit)
 
 
 def build_trigram_index(docs: DataFrame) -> DataFrame:
-    """Postings (gram, id) of titles."""
+    """Postings (gram, id) of titles, each once."""
     return docs.select("id", F.explode(trigrams(F.col("title"))).alias("gram"))
 
 
+def store_trigrams(docs: DataFrame) -> DataFrame:
+    """The same as a table sorted by trigram."""
+    return durable(build_trigram_index(docs).repartitionByRange("gram").sortWithinPartitions("gram", "id"))
+
+
 def fuzzy(docs: DataFrame, grams: DataFrame, query: str, limit: int, most: int = 2) -> DataFrame:
     """Titles within the edit distance, among those that share most trigrams with the query; nearest first."""
     own = {query.lower()[i : i + 3] for i in range(len(query) - 2)}
@@ -150,15 +270,24 @@ SYNONYMS = (
 )
 
 
-def first_wins(tiers: Sequence[tuple[str, DataFrame, Sequence[F.Column]]]) -> DataFrame:
-    """Tiers (label, rows, order) united; a path that several have keeps the first one's row.
+def first_wins(tiers: Sequence[tuple[str, DataFrame, Sequence[F.Column]]], most: int) -> DataFrame:
+    """The first `most` rows of each of the tiers (label, rows, order), united; a path that several have keeps the first one's row.
 
-    Adds match_quality, tier_seq and position (the place in all results).
+    Adds match_quality, tier_seq and position (the place in all results). Each tier is cut to its window before its rows are numbered.
     """
     every = None
     for k, (label, rows, order) in enumerate(tiers):
-        ranked = rows.withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+        ranked = rows.orderBy(*order).limit(most).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
         ranked = ranked.withColumn("tier_seq", F.lit(k)).withColumn("match_quality", F.lit(label) if label != "fts" else F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), F.col("tier")))
         every = ranked if every is None else every.unionByName(ranked, allowMissingColumns=True)
     best = every.withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy("tier_seq", "_at"))).where("_k = 1").drop("_k")
     return best.withColumn("position", F.row_number().over(Window.orderBy("tier_seq", "_at"))).drop("_at")
+
+
+def fan_out(docs: DataFrame, frameworks: Sequence[str], query: str, limit: int) -> DataFrame:
+    """A title search in each of the frameworks (a name and those that mean the same), their results one after the other: (place, framework, id, title)."""
+    out = None
+    for k, name in enumerate(frameworks):
+        rows = substring(docs.where(F.lower("framework") == name.lower()), query, limit).select(F.lit(k).alias("place"), "framework", "id", "title")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -22,6 +22,11 @@ def by_path(docs: DataFrame, path: str) -> DataFrame:
     return docs.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "key").limit(1).drop("_rank")
 
 
+def by_keys(docs: DataFrame, wanted: DataFrame, key: str = "key") -> DataFrame:
+    """The documents of many keys at once; keys that aren't there are left out, those asked twice come once."""
+    return docs.join(wanted.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+
+
 def by_title(docs: DataFrame, title: str) -> DataFrame:
     """The document of a title: a symbol first, then the shortest key."""
     return docs.where(F.lower("title") == title.lower()).orderBy((F.col("role") != "symbol").cast("int"), F.length("key"), "key").limit(1)

@@ -36,9 +36,10 @@ class Corpus:
 
 
 def build(docs: DataFrame, body: bool = True, **more: Any) -> Corpus:
-    stats = search.index_stats(docs).first()
-    own = search.index_stats(docs, ("body",)).first() if body else (0, 1.0)
-    return Corpus(docs, search.build_index(docs).persist(), (stats[0], stats[1] or 1.0), search.build_trigram_index(docs).persist(), search.build_index(docs, {"body": 1.0}).persist() if body else None, (own[0], own[1] or 1.0), **more)
+    """Stores the indexes of a corpus, each sorted by its term."""
+    postings, stats = search.store(docs)
+    own, own_stats = search.store(docs, {"body": 1.0}) if body else (None, (0, 1.0))
+    return Corpus(docs, postings, stats, search.store_trigrams(docs), own, own_stats, **more)
 
 
 @dataclass
@@ -80,11 +81,11 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
         n = add(search.full_text(docs, corpus.postings, corpus.stats, q, window), None, ("tier",))
         narrowed = bool(f.frameworks or f.kind or len(f.sources) == 1)
         if not (fast and (n >= window or (narrowed and rows))):
-            add(search.substring(docs, q, window), "substring")
+            add(search.substring(docs, q, window, corpus.grams), "substring")
     if len(rows) < 5 and len(q) >= 4 and fuzzy:
         add(search.fuzzy(docs, corpus.grams, q, window), "fuzzy", ("distance",))
     if corpus.body is not None and deep and (len(rows) < window or not eager):
-        hits = search.match(corpus.body, corpus.body_stats, search.parse(q))
+        hits = search.match(corpus.body, corpus.body_stats, search.parse(q), docs, {"body": 1.0})
         add(docs.join(hits, "id").orderBy(F.col("score").desc(), "id").limit(window), "body")
     relaxed = None
     if not rows and len(q) >= 4 and '"' not in q and len(words := tokenize(q)) >= 3:
@@ -96,7 +97,7 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
             some = search.Query(tuple(search.Group((), (t.lower(),)) for t in kept), any=True)
             steps.append(("pruned-or", "relaxed-or", lambda: search.full_text(docs, corpus.postings, corpus.stats, q, window, some)))
         if (token := high_signal_token(kept or words)) and len(token) >= 3:
-            steps.append(("trigram", "relaxed-token", lambda: search.substring(docs, token, window)))
+            steps.append(("trigram", "relaxed-token", lambda: search.substring(docs, token, window, corpus.grams)))
         relaxed = next((name for name, quality, run in steps if add(run(), quality)), None)
     intent = detect_intent(q)
     if rows:

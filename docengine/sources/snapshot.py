@@ -14,6 +14,10 @@ SCHEMA_VERSION = 27
 OPERATIONAL = ("crawl_state", "update_log", "activity", "sync_checkpoint")
 
 
+#: Frameworks whose table is broadcast.
+FRAMEWORKS = 20_000
+
+
 def _fingerprint(df: DataFrame) -> tuple[int, str]:
     """Rows, and a hash of them that doesn't depend on their order."""
     n, a, b = df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64(F.lit(1), *df.columns)), F.lit(0))).first()
@@ -50,9 +54,12 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def title_index(docs: DataFrame) -> DataFrame:
     """One row per document in order of keys: what a browser's title search holds, frameworks as numbers."""
+    from pyspark.sql import Window
+
     frameworks = docs.where("framework is not null").select("framework").distinct()
-    numbered = frameworks.agg(F.array_sort(F.collect_list("framework")).alias("f")).select(F.posexplode("f").alias("fw_index", "framework"))
-    rows = docs.join(F.broadcast(numbered), "framework", "left")
+    numbered = frameworks.withColumn("fw_index", F.row_number().over(Window.orderBy("framework")) - 1)
+    small = frameworks.limit(FRAMEWORKS + 1).count() <= FRAMEWORKS  # names of roots: thousands at most, but that is checked
+    rows = docs.join(F.broadcast(numbered) if small else numbered, "framework", "left")
     return rows.select("key", "title", F.substring(F.coalesce("abstract", F.lit("")), 1, 80).alias("abstract"), F.coalesce("fw_index", F.lit(-1)).alias("fw_index"), F.coalesce("doc_kind", F.lit("")).alias("kind"), F.coalesce("role_heading", F.lit("")).alias("role_heading"))
 
 
@@ -72,7 +79,10 @@ def materialize(rows: DataFrame, path: str, column: str, roots: list[str] | None
 
 
 def sitemap(docs: DataFrame, base: str, most: int = 50_000) -> DataFrame:
-    """(file, loc, lastmod) of all documents, `most` to a file. Files are numbered by the root and the place in it."""
+    """(file, loc, lastmod) of all documents, `most` to a file. Files are numbered by the root and the place in it.
+
+    lastmod is the day of the column updated_at, null where docs has none.
+    """
     from pyspark.sql import Window
 
     from ..functions.urls import safe_key
@@ -80,4 +90,5 @@ def sitemap(docs: DataFrame, base: str, most: int = 50_000) -> DataFrame:
     w = Window.partitionBy("_root").orderBy("key")
     rows = docs.withColumn("_root", F.substring_index("key", "/", 1)).withColumn("_i", F.row_number().over(w) - 1)
     name = F.concat(F.lit("sitemap-"), "_root", F.lit("-"), F.floor(F.col("_i") / most).cast("string"), F.lit(".xml"))
-    return rows.select(name.alias("file"), F.concat(F.lit(f"{base}/docs/"), safe_key(F.col("key")), F.lit("/")).alias("loc"))
+    lastmod = F.date_format("updated_at", "yyyy-MM-dd") if "updated_at" in docs.columns else F.lit(None).cast("string")
+    return rows.select(name.alias("file"), F.concat(F.lit(f"{base}/docs/"), safe_key(F.col("key")), F.lit("/")).alias("loc"), lastmod.alias("lastmod"))

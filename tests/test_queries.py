@@ -66,7 +66,7 @@ def test_plans_have_what_they_should(spark):
 
 
 def test_every_file_is_listed(spark, duck):
-    got = QUERIES["font_catalog_all"](spark, SRC).collect()
+    got = QUERIES["font_catalog"](spark, SRC).collect()
     assert sum(r["n"] for r in got) == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     assert sorted(x for r in got if r["n"] for x in r["files"].split(",")) == sorted(r[0] for r in duck.sql("SELECT c_name FROM customer").fetchall())
 
@@ -74,7 +74,7 @@ def test_every_file_is_listed(spark, duck):
 def test_tree_of_all_documents(spark, duck):
     from docengine.operators import graph
 
-    got = QUERIES["framework_tree_all"](spark, SRC).count()
+    got = QUERIES["framework_tree"](spark, SRC).count()
     assert got == duck.sql("SELECT count(*) FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IN (SELECT o_orderkey FROM orders UNION SELECT p_partkey FROM part) AND l_partkey IN (SELECT o_orderkey FROM orders UNION SELECT p_partkey FROM part)").fetchall()[0][0]
     edges = spark.createDataFrame([(1, 2, "child"), (1, 9, "child"), (9, 2, "child"), (2, 1, "see_also")], "from_key long, to_key long, relation_type string")
     assert [(r["from_key"], r["to_key"]) for r in graph.framework_tree(edges, spark.createDataFrame([(1,), (2,)], "key long")).collect()] == [(1, 2)]
@@ -98,5 +98,5 @@ def test_crawl_goes_to_the_end(spark, duck):
             if k not in depth:
                 depth[k] = depth[key] + 1
                 front.append(k)
-    got = QUERIES["crawl_frontier_all"](spark, SRC).collect()
+    got = QUERIES["crawl_frontier"](spark, SRC).collect()
     assert len(got) == len(depth) > 50 and {r["key"]: r["depth"] for r in got} == depth
