@@ -124,13 +124,22 @@ def build_index(docs: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame
 
 
 def counted_terms(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(id, length, terms): each document's terms with their weighed frequency."""
+    """(id, length, terms): each document's terms with their weighed frequency, in order.
+
+    Words are sorted by term and field; what is counted are places in the sorted array, so that no part of it is copied.
+    """
     weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
     lists = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), weighed(w)) for c, w in fields.items()]
-    rows = docs.select("id", F.array_sort(F.concat(*lists)).alias("t")).select("id", F.size("t").cast("long").alias("length"), "t")
-    rows = rows.withColumn("begin", F.expr("filter(transform(t, (x, i) -> if(i = 0 or get(t, i - 1).term <> x.term, i, -1)), i -> i >= 0)"))
-    run = "slice(t, i + 1, coalesce(get(begin, k + 1), size(t)) - i)"
-    return rows.select("id", "length", F.expr(f"transform(begin, (i, k) -> struct(get(t, i).term as term, aggregate({run}, 0D, (s, x) -> s + x.w) as tf))").alias("terms"))
+    rows = docs.select("id", F.sort_array(F.concat(*lists)).alias("t")).select("id", F.size("t").cast("long").alias("length"), "t")
+    first = lambda array, other: f"filter(transform({array}, (x, i) -> if(i = 0 or {other}, i, -1)), i -> i >= 0)"
+    rows = rows.withColumn("at", F.expr(first("t", "get(t, i - 1) <> x")))
+    rows = rows.withColumn("runs", F.expr("transform(at, (i, k) -> struct(get(t, i).term as term, get(t, i).w * (coalesce(get(at, k + 1), size(t)) - i) as tf))"))
+    if len(fields) == 1:
+        return rows.select("id", "length", F.col("runs").alias("terms"))
+    # a term of several fields has its runs side by side, one for each weight
+    same = " + ".join(f"coalesce(if(get(runs, j + {d}).term = get(runs, j).term, get(runs, j + {d}).tf, 0D), 0D)" for d in range(len(set(fields.values()))))
+    rows = rows.select("id", "length", "runs").withColumn("at", F.expr(first("runs", "get(runs, i - 1).term <> x.term")))
+    return rows.select("id", "length", F.expr(f"transform(at, j -> struct(get(runs, j).term as term, {same} as tf))").alias("terms"))
 
 
 def store(docs: DataFrame, fields: dict[str, float] = FIELDS) -> tuple[DataFrame, tuple[int, float]]:
