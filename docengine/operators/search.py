@@ -34,7 +34,7 @@ class Group:
 
 @dataclass(frozen=True)
 class Query:
-    """Groups that must all match (or any, for relaxed queries); or as `tree` says: a group's place, or (operator, tree, tree)."""
+    """Groups that must all match, or any of them; or as `tree` says: a group's place, or (operator, tree, tree)."""
 
     groups: tuple[Group, ...]
     any: bool = False
@@ -110,7 +110,7 @@ def _boolean(marks: list[str]) -> Query | None:
         tree = level(0)
     except ValueError:
         return None
-    return Query(tuple(groups), tree=tree) if at == len(marks) else None
+    return Query(tuple(groups), set(re.findall(r"\b(?:AND|NOT|OR)\b", str(tree))) == {"OR"}, tree) if at == len(marks) else None
 
 
 def build_index(docs: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
