@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, and their SQL where it can express them."""
+"""The queries op1 to op13 and the pipeline, and their SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, sharding, url_filter
+from . import bpe, chat, collocations, exact_dedup, language_id, line_dedup, mixing, ngram_join, personal_data, quality, sharding, spelling, url_filter
 from .common import table
 
 
@@ -95,6 +95,26 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = personal_data.KINDS[:4]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return out.select("doc_id", *counts, F.sha2(listed(of(*base)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_phrases_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    out = collocations.phrases(docs, longest=5, min_count=100, top=2000)
+    return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=7, min_count=2, drop_one_in=31)
+    return spelling.variants(counted, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where a public tokenizer's file is installed."""
     import public_tokenizers
@@ -113,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_forced": op8_bpe_forced,
     "op9_url_rules": op9_url_rules,
     "op10_quality_llr": op10_quality_llr,
+    "op11_pii_anchors": op11_pii_anchors,
+    "op12_phrases_rabin_karp": op12_phrases_rabin_karp,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -143,4 +166,25 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
+    "op12_phrases_rabin_karp": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, k AS size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+              FROM w, range(1, 6) t(k) WHERE len(ws) >= k),
+        n AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+        f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT x.lang, x.phrase, x.f AS a, k, l.f AS l, r.f AS r, n.n, CAST(1000 AS HUGEINT) * x.f * n.n // (CAST(l.f AS HUGEINT) * r.f) AS score
+              FROM f x JOIN n ON n.lang = x.lang, range(1, 5) t(k)
+              JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1:k], ' ')
+              JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[k + 1:], ' ')
+              WHERE x.size > k),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        s AS (SELECT lang, phrase, max(f) AS longer
+              FROM (SELECT lang, f, unnest(list_transform(range(1, size - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM f, range(2, 5) t(k) WHERE size > k)
+              GROUP BY ALL),
+        m AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+              FROM b LEFT JOIN s USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM m WHERE rank <= 2000""",
 }
