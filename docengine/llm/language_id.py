@@ -27,6 +27,8 @@ ORDER = 3
 #: Bounds of what the models are fitted on: rows of each language (those with the smallest hashes), bytes of each
 #: language, bytes of a text that is learned from, and languages.
 SAMPLE_ROWS, SAMPLE_BYTES, TEXT_BYTES, LANGUAGES = 800, 4 << 20, 1 << 20, 250
+#: Bytes of all languages' samples together, at most: what the driver gathers.
+TOTAL_BYTES = 128 << 20
 #: Cost unit: parts of a bit.
 UNIT = 1024
 #: What stands before a text.
@@ -143,26 +145,29 @@ class Model:
 
 
 def fit(
-    docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, text_bytes: int = TEXT_BYTES, languages: int = LANGUAGES
+    docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, text_bytes: int = TEXT_BYTES, languages: int = LANGUAGES, total_bytes: int = TOTAL_BYTES
 ) -> Model:
     """Models of all languages that rows with `train` name; whole texts of sample_rows rows for each, at most.
 
-    The sample is bounded whatever the input: sample_rows rows and sample_bytes bytes of each language, of texts of text_bytes
-    at most; more than `languages` languages are an error. Rows that repeat an id and text are one. Null languages and texts without
-    a letter teach nothing. Rows are chosen by hashes: below a threshold for each language, which its count sets so
-    that some four times the sample remain in all tasks together, then the smallest; only the texts chosen are gathered.
+    The sample is bounded whatever the input: sample_rows rows and sample_bytes bytes of each language (total_bytes shared evenly,
+    where languages are many), of texts of text_bytes at most; more than `languages` languages are an error. Rows that repeat an id
+    and text are one. Null languages and texts without a letter teach nothing. Rows are chosen by hashes: below a threshold for each
+    language, which the number of its distinct usable rows (estimated within a few per cent) sets so that some four times the sample
+    remain in all tasks together, then the smallest; only the texts chosen are gathered.
     """
     lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(lang, text, F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    counts = rows.groupBy("lang").count().limit(languages + 1).collect()
+    rows = rows.where((F.octet_length("text") <= text_bytes) & has_letter(F.col("text")))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("count")).limit(languages + 1).collect()
     if len(counts) > languages:
         raise ValueError(f"more than {languages} languages")
     if not counts:
         return Model({})
+    sample_bytes = min(sample_bytes, total_bytes // len(counts))
     most = (1 << 63) - 1
     limits = [(r["lang"], min(most, int((4 * sample_rows + 100) / r["count"] * 2 * most) - most)) for r in counts]
     limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
-    usable = rows.join(limits, "lang").where((F.col("h") <= F.col("most")) & (F.octet_length("text") <= text_bytes) & has_letter(F.col("text")))
+    usable = rows.join(limits, "lang").where(F.col("h") <= F.col("most"))
     each = usable.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
     order = Window.partitionBy("lang").orderBy("h")
     each = each.withColumns({"k": F.row_number().over(order), "upto": F.sum("bytes").over(order)})

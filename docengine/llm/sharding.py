@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
-A record's id and text hash to one of thousands of slots, for good. Bytes are summed by slot, and a versioned
+A record's id and text hash to one of thousands of slots, for good; where both repeat, so does the number of the copy, in
+blocks of fixed size, so that no number of copies fills a slot. Bytes are summed by slot, and a versioned
 table maps slots to shards. Rebalancing edits that map: slots stay where they are while their shard is
 below its quota, and move as whole slots otherwise; records never change their slot.
 """
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import bit_map, durable, fresh, mark_in_bit_map
 
 #: Slots; a map has one row for each.
 SLOTS = 8192
+#: Copies of an id and text that share a slot.
+COPIES = 16
 
 
 def size_of(text: Column) -> Column:
@@ -21,9 +24,32 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def virtual_slot(id_: Column, tie: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record, from its id and the hash of its text: null and repeated ids are spread too."""
-    return F.pmod(F.xxhash64(id_, tie), F.lit(slots)).cast("int")
+def virtual_slot(id_: Column, tie: Column, slots: int = SLOTS, block: Column | None = None) -> Column:
+    """The slot of a record, from its id, the hash of its text and, for copies, their block: null and repeated ids are spread too."""
+    first = F.xxhash64(id_, tie)
+    return F.pmod(first if block is None else F.when(block == 0, first).otherwise(F.xxhash64(id_, tie, block)), F.lit(slots)).cast("int")
+
+
+def with_slots(rows: DataFrame, id_col: str, tie_col: str, slots: int = SLOTS, copies: int = COPIES) -> DataFrame:
+    """rows with __vslot. Ids and texts that repeat more than `copies` times are numbered, and each `copies` of them hash anew.
+
+    Copies are numbered within the tasks that have them, and where a task begins comes from the tasks' counts, so that no
+    task gets all copies of a text. Rows that don't repeat aren't shuffled; a fixed bit map tells them from the others.
+    """
+    id_, tie = F.col(id_col), F.col(tie_col)
+    same = F.xxhash64(id_, tie)
+    often = durable(rows.select(same.alias("same")).groupBy("same").count().where(F.col("count") > copies))
+    if often.isEmpty():
+        return rows.withColumn("__vslot", virtual_slot(id_, tie, slots))
+    marked = mark_in_bit_map(rows.withColumn("__same", same), F.col("__same"), bit_map(often, F.col("same")), "__often")
+    # written, so that all that is made of them sees the same numbers
+    many = durable(marked.where("__often").drop("__often").withColumn("__task", F.spark_partition_id()))
+    before = many.groupBy("__same", "__task").agg(F.count("*").alias("__n"))
+    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy("__same").orderBy("__task")) - F.col("__n")).drop("__n")
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__same", "__task").orderBy("__same")) - 1
+    numbered = many.join(before, ["__same", "__task"]).withColumn("__block", F.floor(number / copies))
+    once = marked.where("NOT __often").withColumn("__vslot", virtual_slot(id_, tie, slots))
+    return once.select(*rows.columns, "__vslot").unionByName(numbered.withColumn("__vslot", virtual_slot(id_, tie, slots, F.col("__block"))).select(*rows.columns, "__vslot"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -69,15 +95,15 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
 def shard(docs: DataFrame, shards: int, slot_map: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """docs with the columns size, vslot, shard and place (the row's number in its shard, from 0).
 
-    Without a slot map, one is made from the rows' sizes. Null texts have size 1. Null ids are ids like others; only rows
-    that repeat an id and a text share a slot for that, in any order. size and tie (a hash of the text) are computed from the
+    Without a slot map, one is made from the rows' sizes. Null texts have size 1. Null ids are ids like others; copies of
+    an id and a text share a slot 16 at a time, in any order. size and tie (a hash of the text) are computed from the
     text where they aren't given; with both, rows without their texts can be sharded. Very long texts count with all their bytes.
     The columns get underscores in front where docs has such names. Empty input: empty result. Rows are
     numbered within slots; where a slot begins in its shard comes from the map.
     """
     names = fresh(docs.columns, "size", "vslot", "shard", "place")
     tie = F.xxhash64(text_col) if tie is None else tie
-    rows = docs.withColumns({"__size": size_of(F.col(text_col)) if size is None else size, "__vslot": virtual_slot(F.col(id_col), tie, slots), "__tie": tie})
+    rows = with_slots(docs.withColumns({"__size": size_of(F.col(text_col)) if size is None else size, "__tie": tie}), id_col, "__tie", slots)
     sizes = slot_sizes(rows.select(F.col("__vslot").alias("vslot"), F.col("__size").alias("size")), slots)
     slot_map = durable(assign(sizes, shards, 1)) if slot_map is None else slot_map.drop("bytes", "n").join(sizes, "slot")
     begin = F.sum("n").over(Window.partitionBy("shard").orderBy("slot")) - F.col("n")

@@ -89,7 +89,7 @@ def test_repeated_rows_do_not_enlarge_the_sample(spark, monkeypatch):
     rows = [(1, "the same text again", "en")] * 3000 + [(k, f"text number {k} of these", "en") for k in range(50)] + [(k, "x" * 50 + str(k), "xx") for k in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
     li.fit(df, F.lit(True), sample_rows=20)
-    assert len(held[0]["en"]) <= 20 and len(held[0]["xx"]) == 20 and len(set(held[0]["en"])) == len(held[0]["en"])
+    assert len(held[0]["en"]) == 20 and len(held[0]["xx"]) == 20 and len(set(held[0]["en"])) == len(held[0]["en"])
     li.fit(df, F.lit(True), sample_rows=1000)
     assert len(held[1]["en"]) == 51
     li.fit(df, F.lit(True), sample_bytes=300)
@@ -100,6 +100,22 @@ def test_repeated_rows_do_not_enlarge_the_sample(spark, monkeypatch):
         li.fit(df, F.lit(True), languages=1)
 
 
+def test_copies_and_useless_rows_do_not_shrink_the_sample(spark, monkeypatch):
+    """A million copies of one row, and as many rows without a letter, leave the sample as large as it was."""
+    held = []
+    monkeypatch.setattr(li, "Model", lambda texts: held.append(texts))
+    distinct = spark.range(600).selectExpr("id", "concat('text number ', id, ' of these') AS text")
+    copies = spark.range(1_000_000).selectExpr("cast(-1 as bigint) AS id", "'the same text again' AS text")
+    useless = spark.range(100_000).selectExpr("id", "cast(id AS string) AS text")
+    df = distinct.union(copies).union(useless).selectExpr("id AS doc_id", "text", "'en' AS lang")
+    li.fit(df, F.lit(True), sample_rows=800)
+    assert len(held[0]["en"]) == 601
+    li.fit(df, F.lit(True), sample_rows=100)
+    assert len(held[1]["en"]) == 100
+    li.fit(df, F.lit(True), total_bytes=300)
+    assert 0 < sum(map(len, held[2]["en"])) <= 300
+
+
 def test_held_out_accuracy(spark):
     from docengine.llm import queries
 

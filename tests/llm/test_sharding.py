@@ -80,3 +80,22 @@ def test_null_and_repeated_ids_are_spread(spark):
     assert len(load) == 16 and max(abs(n - mean) for n in load.values()) < 0.01 * mean + 50
     assert all(sorted(x) == list(range(len(x))) for x in places.values())
     assert max(Counter(r["vslot"] for r in out).values()) < 10
+
+
+def test_rows_that_repeat_id_and_text_are_spread(spark):
+    """Half of the rows are one id and text: shards stay even, no slot is full of copies, and places have no gaps."""
+    data = [(None, "same")] * 20000 + [(k, f"text {k}") for k in range(20000)] + [(-1, "five of these")] * 5
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    out = sharding.shard(df, 16)
+    rows = out.collect()
+    load, places = defaultdict(int), defaultdict(list)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["place"])
+    mean = sum(load.values()) / 16
+    assert len(rows) == len(data) and len(load) == 16 and max(abs(n - mean) for n in load.values()) < 0.01 * mean
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert max(Counter(r["vslot"] for r in rows if r["text"] == "same").values()) <= 5 * sharding.COPIES
+    again = sharding.shard(df.repartition(3), 16).collect()
+    count = lambda rows: Counter((r["doc_id"], r["text"], r["vslot"], r["shard"]) for r in rows)
+    assert count(again) == count(rows)

@@ -112,3 +112,20 @@ def test_long_urls_that_repeat(spark):
     assert mined.rules.count() < 50
     pages = spark.createDataFrame([(1, long), (2, "http://x.org/saa"), (3, "http://short.org/pa"), (4, None)], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in uf.judge(pages, mined).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_long_urls_nearly_alike(spark):
+    """40 segments that nearly always come together: 2^40 sets of them are frequent, and rules of a bounded number are mined in seconds."""
+    import time
+
+    segments = [f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+    long = "http://long.org/" + "/".join(segments)
+    data = [(long, "block")] * 300 + [(f"http://other.org/{s}", "block") for s in segments] + [(f"http://short.org/p{chr(97 + k % 20)}", "allow") for k in range(300)]
+    begin = time.monotonic()
+    mined = uf.mine(spark.createDataFrame(data, "url string, label string"), support=0.05, confidence=0.7)
+    rules = mined.rules.collect()
+    assert time.monotonic() - begin < 60 and len(rules) < 2000
+    blocked = {t for r in rules if r["label"] == "block" for t in r["tokens"]}
+    assert {f"path:{s}" for s in segments} <= blocked  # each segment alone says it
+    pages = spark.createDataFrame([(1, long), (2, f"http://x.org/{segments[0]}"), (3, f"http://x.org/{segments[39]}"), (4, "http://short.org/pa")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in uf.judge(pages, mined).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
