@@ -7,7 +7,7 @@ Texts are read three times, and only frequent phrases ever become strings:
      ranges of counters of fixed size; what may be frequent goes into a second bit map.
   3. Phrases whose fingerprint is in that map are grouped by their whole fingerprint in the task, every occurrence is compared with
      the words at the group's first occurrence (a collision makes a group of its own), and the group goes, with the
-     words that its pointer leads to, to an exact count.
+     words that its pointer leads to, to an exact count, packed by ranges of fingerprints.
 The maps and counters can only let too much through, never too little, so that counts are exact.
 """
 
@@ -33,6 +33,8 @@ SLICE = 1 << 22
 WORD_BITS, PHRASE_BITS = 1 << 26, 1 << 29
 #: Counters of a range at least, ranges at most, and counters at most.
 SPAN, RANGES, COUNTERS = 1 << 22, 1 << 15, 1 << 40
+#: Frequent phrases of a range, about, as long as there may be more ranges.
+PHRASES = 1 << 14
 #: Parts of a language whose first phrases are chosen before those of the language.
 SALTS = 64
 #: What parts pieces of a text: `[.,;:!?\x0a-\x0d]`.
@@ -256,12 +258,28 @@ def likely_phrases(texts: DataFrame, known, longest: int, min_count: int, counte
     return parts.repartition("range").sortWithinPartitions("range").mapInArrow(merged, "lead long")
 
 
-def count_phrases(texts: DataFrame, known, likely, longest: int, counters: int, bits: int, chunk: int) -> DataFrame:
-    """Rows (lang, size, fingerprint, phrase, n) of the phrases whose fingerprint may be frequent."""
-    lead_bits = counters.bit_length() - 1
+def count_phrases(texts: DataFrame, known, likely, longest: int, counters: int, bits: int, chunk: int, min_count: int, ranges: int, held: int = 2 * HELD) -> DataFrame:
+    """Rows (lang, size, phrase, n), n >= min_count, of the phrases whose fingerprint may be frequent.
+
+    Each task sends what it has counted packed by range of fingerprints; one range is held at a time where they are summed.
+    """
+    lead_bits, range_bits = counters.bit_length() - 1, ranges.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, powers, table = Reader(known.value, longest, chunk), Powers(), likely.value
+        counts: dict[tuple[int, bytes, bytes], int] = {}
+
+        def out() -> pa.RecordBatch:
+            rows: dict[int, tuple[list, list, list]] = {}
+            for (f, lang, phrase), n in counts.items():
+                row = rows.setdefault(f >> (64 - range_bits), ([], [], []))
+                row[0].append(lang)
+                row[1].append(phrase)
+                row[2].append(n)
+            counts.clear()
+            kinds = (pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), *(pa.array([r[k] for r in rows.values()], kind) for k, kind in enumerate(kinds))], names=["range", "lang", "phrase", "n"])
+
         for x, count in reader.chunks(batches):
             for size, at, f in reader.fingerprints(x, count, powers(len(x))):
                 lead = (f >> np.uint64(64 - lead_bits)) & np.uint64(bits - 1)
@@ -275,18 +293,44 @@ def count_phrases(texts: DataFrame, known, likely, longest: int, counters: int,
                     same = np.ones(len(at), bool)
                     for k in range(size):
                         same &= x[at + k] == x[at[first] + k]
-                    n = np.add.reduceat(same.astype(np.int64), begin)
-                    words = [[reader.words[j] for j in row] for row in x[at[begin][:, None] + np.arange(size)].tolist()]
-                    columns = [
-                        pa.array([row[0][0] for row in words], pa.binary()).cast(pa.string()), pa.array(np.full(len(begin), size), pa.int32()), pa.array(f[begin].view(np.int64)),
-                        pa.array([b" ".join([w for _, w in row]) for row in words], pa.binary()).cast(pa.string()), pa.array(n),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "fingerprint", "phrase", "n"])
+                    n = np.add.reduceat(same.astype(np.int64), begin).tolist()
+                    # what the group's pointer, its first occurrence, says
+                    rows = x[at[begin][:, None] + np.arange(size)].tolist()
+                    for fingerprint, row, more in zip(f[begin].tolist(), rows, n, strict=True):
+                        words = [reader.words[j] for j in row]
+                        key = (fingerprint, words[0][0], b" ".join([w for _, w in words]))
+                        counts[key] = counts.get(key, 0) + more
                     at, f = at[~same], f[~same]
+            if len(counts) >= held:
+                yield out()
+        if counts:
+            yield out()
+        release()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        range_, sums = None, {}
+
+        def out() -> pa.RecordBatch:
+            found = [(lang, phrase.count(b" ") + 1, phrase, n) for (lang, phrase), n in sums.items() if n >= min_count]
+            sums.clear()
+            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int64())
+            lang, size, phrase, n = (pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds))
+            return pa.RecordBatch.from_arrays([lang.cast(pa.string()), size, phrase.cast(pa.string()), n], names=["lang", "size", "phrase", "n"])
+
+        for batch in batches:
+            for r, langs, phrases, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != range_:
+                    if range_ is not None:
+                        yield out()
+                    range_ = r
+                for key, n in zip(zip(langs, phrases, strict=True), ns, strict=True):
+                    sums[key] = sums.get(key, 0) + n
+        if range_ is not None:
+            yield out()
         release()
 
-    out = texts.mapInArrow(run, "lang string, size int, fingerprint long, phrase string, n long")
-    return out.groupBy("lang", "size", "fingerprint", "phrase").agg(F.sum("n").alias("n"))
+    parts = texts.mapInArrow(run, "range long, lang array<binary>, phrase array<binary>, n array<long>")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(merged, "lang string, size int, phrase string, n long")
 
 
 def frequent_phrases(
@@ -307,9 +351,11 @@ def frequent_phrases(
     known = gathered(spark, bit_map(words, F.xxhash64("lang", "word"), WORD_BITS), WORD_BITS)
     counters = counters or counters_of(texts)
     leads = durable(likely_phrases(texts, known, longest, min_count, counters, chunk))
-    bits = min(counters, PHRASE_BITS, 1 << max(23, (leads.count() * 32).bit_length()))
+    n = leads.count()
+    bits = min(counters, PHRASE_BITS, 1 << max(23, (n * 32).bit_length()))
+    ranges = 1 << min(max((n // PHRASES).bit_length(), 6), RANGES.bit_length() - 1)
     likely = gathered(spark, bit_map(leads, F.col("lead"), bits), bits)
-    phrases = count_phrases(texts, known, likely, longest, counters, bits, chunk).where(F.col("n") >= min_count)
+    phrases = count_phrases(texts, known, likely, longest, counters, bits, chunk, min_count, ranges)
     grams = durable(phrases.select("lang", "size", "phrase", "n").unionByName(words.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "n")))
     discard(leads)
     return grams, langs

@@ -71,26 +71,26 @@ def test_collisions_and_full_counters(spark, monkeypatch):
     likely = type("B", (), {"value": np.full(8, 255, np.uint8)})
 
     class Texts:
+        """Runs what it is given on one batch, as one task."""
+
+        def __init__(self, batches):
+            self.batches = batches
+
         def mapInArrow(self, run, schema):
-            import pyarrow as pa
-
-            self.run = run
-            text = " ".join("abcd"[k] for k in x)
-            batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array(["en"])], names=["text", "lang"])
-            got = Counter()
-            for b in run(iter([batch])):
-                for r in b.to_pylist():
-                    got[r["phrase"]] += r["n"]
-            self.got = got
-            return self
+            return Texts(list(run(iter(self.batches))))
 
-        def groupBy(self, *_):
+        def repartition(self, *_):
             return self
 
-        def agg(self, *_):
-            return self
+        sortWithinPartitions = repartition
+
+    import pyarrow as pa
 
-    got = c.count_phrases(Texts(), known, likely, 4, 1 << 24, 64, 100).got
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join("abcd"[k] for k in x)]), pa.array(["en"])], names=["text", "lang"])
+    got = Counter()
+    for b in c.count_phrases(Texts([batch]), known, likely, 4, 1 << 24, 64, 100, 1, 2, held=10).batches:
+        for r in b.to_pylist():
+            got[r["phrase"]] += r["n"]
     want = Counter(" ".join("abcd"[k] for k in x[i : i + n]) for n in (2, 3, 4) for i in range(len(x) - n + 1))
     assert got == want
 
