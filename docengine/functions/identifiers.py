@@ -50,9 +50,11 @@ def camel_subwords(word: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct lower-cased trigrams; none for fewer than three characters."""
-    low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct lower-cased trigrams; none for fewer than three characters. The text is lowered and cut into characters once."""
+    three = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    none = F.array().cast("array<string>")
+    cut = F.transform(F.array(F.split(F.lower(text), "")), lambda c: F.when(F.size(c) >= 3, F.array_distinct(three(c))).otherwise(none))
+    return F.coalesce(cut[0], none)
 
 
 def fuzzy_distance(a: Column, b: Column, most: int = 2) -> Column:

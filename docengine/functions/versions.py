@@ -33,9 +33,10 @@ def platform_map(platforms: Column) -> Column:
     """A list of (name, introducedAt) to a map of lower-cased names; entries without either are left out."""
     usable = F.filter(platforms, lambda p: p["name"].isNotNull() & p["introducedAt"].isNotNull())
     entries = F.transform(usable, lambda p: F.struct(F.lower(p["name"]), p["introducedAt"]))
-    # of names that repeat, the last one counts
-    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["col1"] == e["col1"]))
-    return F.map_from_entries(kept)
+    # a name that repeats has its first place and its last version
+    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda o: o["col1"] == e["col1"]))
+    last = lambda e: F.element_at(F.filter(entries, lambda o: o["col1"] == e["col1"]), -1)["introducedAt"]
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["col1"], last(e))))
 
 
 def serialize_platforms(platforms: Column) -> Column:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import trigrams
+from ..functions.stemming import porter, stems_of
 from ..functions.text import tokens
 from ..session import discard, durable
 
@@ -23,13 +25,27 @@ K1, B = 1.2, 0.75
 TIERS = {0: "exact", 1: "prefix", 2: "contains", 3: "match"}
 
 
+#: A place of a word: the number of its field times this, and its number in the field. No two fields touch.
+FIELD = 1 << 40
+
+
 @dataclass(frozen=True)
 class Group:
-    """Alternatives of one word of the query: prefixes and exact terms; or a phrase, whose words follow each other in a field."""
+    """Alternatives of one word of the query: prefixes and exact terms; or a phrase, whose words follow each other in a field; or
+    phrases near each other, with `within` words at most between the end of the one that begins first and the beginning of any other.
+    Fields, if any are named, are the only ones it is looked for in."""
 
     prefixes: tuple[str, ...] = ()
     exact: tuple[str, ...] = ()
     phrase: tuple[str, ...] = ()
+    near: tuple[tuple[str, ...], ...] = ()
+    within: int = 10
+    fields: tuple[str, ...] = ()
+
+    @property
+    def placed(self) -> bool:
+        """Whether places decide."""
+        return bool(self.phrase or self.near or self.fields)
 
 
 @dataclass(frozen=True)
@@ -48,11 +64,12 @@ def words_of(text: str) -> list[str]:
 def parse(query: str) -> Query:
     """Words to groups: qualified names by segment and joined, camel-case parts exactly.
 
-    Queries with AND, OR, NOT or quotes are read as they are written: quoted words are a phrase, a star makes a prefix, words side
-    by side bind closest, then NOT, AND and OR; brackets group. What isn't well-formed is taken as words.
+    Queries with AND, OR, NOT, NEAR or quotes are read as they are written: quoted words are a phrase, a star makes a prefix,
+    NEAR(a "b c", 5) wants its words and phrases near each other, `title:` or `{title key}:` before a word, phrase or bracket names its
+    fields, words side by side bind closest, then NOT, AND and OR; brackets group. What isn't well-formed is taken as words.
     """
-    if re.search(r'\b(AND|OR|NOT)\b|"', query):
-        return _boolean(re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', query)) or Query(tuple(Group((), (w,)) for w in words_of(re.sub(r"\b(AND|OR|NOT)\b", " ", query))))
+    if re.search(r'\b(AND|OR|NOT)\b|"|\bNEAR\s*\(', query):
+        return _boolean(_MARKS.findall(query)) or Query(tuple(Group((), (w,)) for w in words_of(re.sub(r"\b(AND|OR|NOT)\b", " ", query))))
     groups = []
     for word in query.split():
         segments = [s for s in re.split(r"[._:/\\]+", word) if s]
@@ -67,6 +84,19 @@ def parse(query: str) -> Query:
     return Query(tuple(groups))
 
 
+_NAMES = "|".join([*FIELDS, "body"])
+_MARKS = re.compile(rf'NEAR\s*\([^()]*\)|\{{(?:\s*(?:{_NAMES}))+\s*\}}\s*:|\b(?:{_NAMES})\s*:|"[^"]*"\*?|[()]|[^\s()"]+')
+
+
+def _near(mark: str) -> Group:
+    """NEAR(words and phrases, distance)."""
+    inside, _, distance = mark[mark.index("(") + 1 : -1].partition(",")
+    phrases = tuple(tuple(words_of(x)) for x in re.findall(r'"[^"]*"|[^\s"]+', inside))
+    if not phrases or not all(phrases) or not re.fullmatch(r"\s*\d*\s*", distance):
+        raise ValueError(mark)
+    return Group(near=phrases, within=int(distance) if distance.strip() else 10)
+
+
 def _boolean(marks: list[str]) -> Query | None:
     groups: list[Group] = []
     at = 0
@@ -80,6 +110,14 @@ def _boolean(marks: list[str]) -> Query | None:
         if mark is None or mark in (")", "AND", "OR", "NOT"):
             raise ValueError(mark)
         at += 1
+        if mark.endswith(":") and mark.strip("{:} ").split() and set(mark.strip("{:} ").split()) <= {*FIELDS, "body"}:
+            begin = len(groups)
+            inside = leaf()
+            groups[begin:] = [replace(g, fields=tuple(mark.strip("{:} ").split())) for g in groups[begin:]]
+            return inside
+        if mark.startswith("NEAR") and mark.endswith(")"):
+            groups.append(_near(mark))
+            return len(groups) - 1
         if mark == "(":
             inside = level(0)
             if see() != ")":
@@ -114,47 +152,73 @@ def _boolean(marks: list[str]) -> Query | None:
 
 
 def build_index(docs: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """Postings (term, id, tf, length): tf weighed by field, length in tokens of all fields.
+    """Postings (term, id, tf, length, places): tf weighed by field, length in tokens of all fields, places in order.
 
     A document is one row, so that its terms are sorted and counted in it, without a shuffle.
     """
     # an outer generator: of the others, the optimizer infers a filter that would work out the terms once more for each element
     rows = counted_terms(docs, fields).select("id", "length", F.inline_outer("terms"))
-    return rows.where("term is not null").select("term", "id", "tf", "length")
+    return rows.where("term is not null").select("term", "id", "tf", "length", "places")
+
+
+def _weight(place: Column, fields: dict[str, float]) -> Column:
+    """The weight of the field that a place is in."""
+    return F.get(F.array(*[F.lit(float(w)) for w in fields.values()]), F.shiftright(place, 40).cast("int"))
 
 
 def counted_terms(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(id, length, terms): each document's terms with their weighed frequency, in order.
+    """(id, length, terms): each document's terms with their weighed frequency and places, in order.
 
-    Words are sorted by term and field; what is counted are places in the sorted array, so that no part of it is copied.
+    Words are sorted by term and place once; a term's places are a part of the sorted array. (A column of the words' terms alone
+    would be made anew for each element.)
     """
-    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    lists = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), weighed(w)) for c, w in fields.items()]
+    placed = lambda k: lambda t, i: F.struct(t.alias("term"), (F.lit(k * FIELD).cast("long") + i).alias("place"))
+    lists = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), placed(k)) for k, c in enumerate(fields)]
     rows = docs.select("id", F.sort_array(F.concat(*lists)).alias("t")).select("id", F.size("t").cast("long").alias("length"), "t")
-    first = lambda array, other: f"filter(transform({array}, (x, i) -> if(i = 0 or {other}, i, -1)), i -> i >= 0)"
-    rows = rows.withColumn("at", F.expr(first("t", "get(t, i - 1) <> x")))
-    rows = rows.withColumn("runs", F.expr("transform(at, (i, k) -> struct(get(t, i).term as term, get(t, i).w * (coalesce(get(at, k + 1), size(t)) - i) as tf))"))
-    if len(fields) == 1:
-        return rows.select("id", "length", F.col("runs").alias("terms"))
-    # a term of several fields has its runs side by side, one for each weight
-    same = " + ".join(f"coalesce(if(get(runs, j + {d}).term = get(runs, j).term, get(runs, j + {d}).tf, 0D), 0D)" for d in range(len(set(fields.values()))))
-    rows = rows.select("id", "length", "runs").withColumn("at", F.expr(first("runs", "get(runs, i - 1).term <> x.term")))
-    return rows.select("id", "length", F.expr(f"transform(at, j -> struct(get(runs, j).term as term, {same} as tf))").alias("terms"))
+    rows = rows.withColumn("at", F.expr("filter(transform(t, (x, i) -> if(i = 0 or get(t, i - 1).term <> x.term, i, -1)), i -> i >= 0)"))
+    rows = rows.withColumn("runs", F.expr("transform(at, (i, k) -> struct(get(t, i).term as term, transform(slice(t, i + 1, coalesce(get(at, k + 1), size(t)) - i), x -> x.place) as places))"))
+    tf = lambda x: F.aggregate(x["places"], F.lit(0.0), lambda s, p: s + _weight(p, fields))
+    return rows.select("id", "length", F.transform("runs", lambda x: F.struct(x["term"].alias("term"), tf(x).alias("tf"), x["places"].alias("places"))).alias("terms"))
+
+
+#: How indexes are written: the second version of Parquet's pages writes numbers as differences.
+DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#places.list.element": "false"}
 
 
 def store(docs: DataFrame, fields: dict[str, float] = FIELDS) -> tuple[DataFrame, tuple[int, float]]:
     """The postings as a table sorted by term, so that a query reads the few row groups of its terms; and (n, mean length) of the same pass.
 
-    A term's postings may fill several files: files are cut by term and id.
+    A term's postings may fill several files: files are cut by term and id. Places are written as differences, in a column of
+    their own that only phrases and the like read.
     """
     told = Observation()
-    rows = durable(counted_terms(docs, fields).observe(told, F.count("*").alias("n"), F.avg("length").alias("mean")))
-    postings = rows.select("id", "length", F.inline("terms")).select("term", "id", "tf", "length")
-    table = durable(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+    rows = durable(counted_terms(docs, fields).observe(told, F.count("*").alias("n"), F.avg("length").alias("mean")), **DELTAS)
+    postings = rows.select("id", "length", F.inline("terms")).select("term", "id", "tf", "length", "places")
+    table = durable(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), **DELTAS)
     discard(rows)
     return table, (told.get["n"], told.get["mean"] or 1.0)
 
 
+def stemmed(postings: DataFrame) -> DataFrame:
+    """The same postings by stem: stems are worked out for distinct terms, and joined back."""
+    stems = postings.select("term").distinct().select("term", porter(F.col("term")).alias("stem"))
+    rows = postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "length")
+    return rows.agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places")).select("term", "id", "tf", "length", "places")
+
+
+def store_stemmed(postings: DataFrame) -> DataFrame:
+    """The index of stems as a table sorted by stem."""
+    return durable(stemmed(postings).repartitionByRange("term", "id").sortWithinPartitions("term", "id"), **DELTAS)
+
+
+def stemmed_query(query: Query, postings: DataFrame) -> Query:
+    """A query for the index of stems."""
+    every = [w for g in query.groups for w in (*g.prefixes, *g.exact, *g.phrase, *(w for p in g.near for w in p))]
+    stem = stems_of(postings.sparkSession, every)
+    of = lambda words: tuple(stem[w] for w in words)
+    return replace(query, groups=tuple(replace(g, prefixes=of(g.prefixes), exact=of(g.exact), phrase=of(g.phrase), near=tuple(map(of, g.near))) for g in query.groups))
+
+
 def index_stats(docs: DataFrame, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
     """One row: n documents, mean length."""
     size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
@@ -168,36 +232,61 @@ def _any(tests: Sequence[Column]) -> Column:
     return out
 
 
-def _phrase_hits(postings: DataFrame, docs: DataFrame, fields: dict[str, float], g: int, phrase: Sequence[str]) -> DataFrame:
-    """(g, id, length, tf) of documents that have the phrase: those that have its words are read, and its places in each field counted."""
-    words = sorted(set(phrase))
-    have = postings.where(F.col("term").isin(*words)).groupBy("id", "length").agg(F.count("*").alias("n")).where(F.col("n") == len(words))
-    mark = "".join(f" {w} " for w in phrase)
-    line = lambda c: F.concat_ws("", F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: F.concat(F.lit(" "), t, F.lit(" "))))
-    tf = sum((F.lit(w) * (F.length(line(c)) - F.length(F.replace(line(c), F.lit(mark), F.lit("")))) / F.lit(len(mark)) for c, w in fields.items()), F.lit(0.0))
-    return docs.join(have.select("id", "length"), "id").select(F.lit(g).alias("g"), "id", "length", tf.alias("tf")).where("tf > 0")
+def _tests(group: Group) -> list[Column]:
+    return [F.startswith("term", F.lit(p)) for p in group.prefixes] + [F.col("term") == e for e in group.exact]
+
+
+def _reach(places: str, n: int) -> Column:
+    """The places from which one of these is no more than n further on."""
+    return F.flatten(F.transform(places, lambda y: F.sequence(y - n, y)))
 
 
-def match(postings: DataFrame, stats: tuple[int, float], query: Query, docs: DataFrame | None = None, fields: dict[str, float] = FIELDS) -> DataFrame:
+def _placed_hits(postings: DataFrame, fields: dict[str, float], g: int, group: Group) -> DataFrame:
+    """(g, id, length, tf) of documents where a group's places fit: places of words are moved to where their phrase begins, and met.
+
+    tf is the weighed number of places where the phrase, or the first phrase of those near each other, begins.
+    """
+    phrases = group.near or ((group.phrase,) if group.phrase else ())
+    if phrases:
+        words = sorted({w for p in phrases for w in p})
+        rows = postings.where(F.col("term").isin(*words)).groupBy("id", "length").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at")).where(F.size("at") == len(words))
+        moved = lambda p, j: F.transform(F.col("at")[p[j]], lambda x: x - j)
+        begins = [f"begin{i}" for i in range(len(phrases))]
+        rows = rows.select("id", "length", *[reduce(F.array_intersect, [moved(p, j) for j in range(len(p))]).alias(b) for b, p in zip(begins, phrases, strict=True)])
+        hits = []
+        for i, p in enumerate(phrases):
+            others = [_reach(b, len(p) + group.within) for k, b in enumerate(begins) if k != i]
+            hits.append(reduce(F.array_intersect, others, F.col(begins[i])))
+        hit = reduce(F.array_union, hits)
+    else:
+        rows = postings.where(_any(_tests(group))).groupBy("id", "length").agg(F.flatten(F.collect_list("places")).alias("at"))
+        hit = F.col("at")
+    if group.fields:
+        numbers = [list(fields).index(name) for name in group.fields if name in fields]
+        hit = F.filter(hit, lambda x: F.shiftright(x, 40).isin(*numbers) if numbers else F.lit(False))
+    tf = F.aggregate(hit, F.lit(0.0), lambda s, x: s + _weight(x, fields))
+    return rows.select(F.lit(g).alias("g"), "id", "length", tf.alias("tf")).where("tf > 0")
+
+
+def match(postings: DataFrame, stats: tuple[int, float], query: Query, fields: dict[str, float] = FIELDS) -> DataFrame:
     """(id, score) of documents that have each group (or any, or as the query's tree says): BM25 over the alternatives of a group as one term.
 
-    Only the query's terms are read from the postings; n and mean come with the index. Phrases need the documents, with their fields.
+    Only the query's terms are read from the postings, and their places only for phrases, NEAR and named fields; n and mean come
+    with the index.
     """
     n, mean = stats
     if not query.groups:
         return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    loose = [(g, group) for g, group in enumerate(query.groups) if not group.phrase]
+    loose = [(g, group) for g, group in enumerate(query.groups) if not group.placed]
     per = None
     if loose:
-        tests = {g: [F.startswith("term", F.lit(p)) for p in group.prefixes] + [F.col("term") == e for e in group.exact] for g, group in loose}
+        tests = {g: _tests(group) for g, group in loose}
         fits = [F.when(_any(t), F.lit(g)) for g, t in tests.items()]
         rows = postings.where(_any([x for t in tests.values() for x in t])).withColumn("g", F.explode(F.array_compact(F.array(*fits))))
         per = rows.groupBy("g", "id", "length").agg(F.sum("tf").alias("tf"))
     for g, group in enumerate(query.groups):
-        if group.phrase:
-            if docs is None:
-                raise ValueError("phrases are looked for in the documents")
-            hits = _phrase_hits(postings, docs, fields, g, group.phrase)
+        if group.placed:
+            hits = _placed_hits(postings, fields, g, group)
             per = hits if per is None else per.unionByName(hits)
     df = per.groupBy("g").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -223,7 +312,7 @@ def tier_of(query: str) -> F.Column:
 
 def full_text(docs: DataFrame, postings: DataFrame, stats: tuple[int, float], query: str, limit: int, parsed: Query | None = None) -> DataFrame:
     """Matches by tier, then score; docs are filtered already."""
-    hits = match(postings, stats, parsed or parse(query), docs)
+    hits = match(postings, stats, parsed or parse(query))
     return docs.join(hits, "id").withColumn("tier", tier_of(query)).orderBy("tier", F.col("score").desc(), "id").limit(limit)
 
 

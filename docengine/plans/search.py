@@ -85,7 +85,7 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
     if len(rows) < 5 and len(q) >= 4 and fuzzy:
         add(search.fuzzy(docs, corpus.grams, q, window), "fuzzy", ("distance",))
     if corpus.body is not None and deep and (len(rows) < window or not eager):
-        hits = search.match(corpus.body, corpus.body_stats, search.parse(q), docs, {"body": 1.0})
+        hits = search.match(corpus.body, corpus.body_stats, search.parse(q), {"body": 1.0})
         add(docs.join(hits, "id").orderBy(F.col("score").desc(), "id").limit(window), "body")
     relaxed = None
     if not rows and len(q) >= 4 and '"' not in q and len(words := tokenize(q)) >= 3:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .corpus import CORPUS_SQL, CRAWL_SQL, EDGES_SQL, LOG_SQL, PAGES_SQL, ROOTS_SQL, SECTIONS_SQL, table
-from .functions import identifiers, text, urls, versions
+from .functions import identifiers, stemming, text, urls, versions
 from .operators import chunks, client_search, corpus_stats, filters, graph, html, maintenance, ranking, search, semantic
 from .plans import search as plan
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401 - the names that users of this module know
@@ -84,25 +84,100 @@ _TREE_SQL = """seen AS (SELECT id, bool_or(g = 0) AS a, bool_or(g = 1) AS b, boo
 def search_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operators as they are written: NOT binds closer than OR."""
     docs, postings, stats = _index(spark, sf_dir)
-    return search.match(postings, stats, search.parse("the* NOT and OR of"), docs).orderBy(F.col("score").desc(), "id").limit(50)
+    return search.match(postings, stats, search.parse("the* NOT and OR of")).orderBy(F.col("score").desc(), "id").limit(50)
 
 
 @query(f"WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS)}, {_match_sql(["starts_with(term, 'the')", "term = 'and'", "term = 'of'"], 1)}, {_TREE_SQL} SELECT id, score FROM hit JOIN seen USING (id) WHERE a AND (b OR c) ORDER BY score DESC, id LIMIT 50")
 def search_boolean_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, postings, stats = _index(spark, sf_dir)
-    return search.match(postings, stats, search.parse("the* AND (and OR of)"), docs).orderBy(F.col("score").desc(), "id").limit(50)
+    return search.match(postings, stats, search.parse("the* AND (and OR of)")).orderBy(F.col("score").desc(), "id").limit(50)
 
 
-_LINE_SQL = "array_to_string(list_transform(list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), lambda t: ' ' || t || ' '), '')"
-_PHRASE_TF = " + ".join(f"{w} * (length({_LINE_SQL.format(c=c)}) - length(replace({_LINE_SQL.format(c=c)}, ' the  and ', ''))) / 10.0" for c, w in search.FIELDS.items())
+_PLACES_SQL = "pl AS (" + " UNION ALL ".join(
+    f"SELECT id, {k} AS f, {w}::DOUBLE AS w, unnest(l) AS term, generate_subscripts(l, 1) AS p FROM (SELECT id, list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS l FROM corpus)"
+    for k, (c, w) in enumerate(search.FIELDS.items())
+) + ")"
+_STAT_SQL = "stat AS (SELECT (SELECT count(*) FROM corpus)::DOUBLE AS n, (SELECT sum(length) FROM len) / (SELECT count(*) FROM corpus) AS mean)"
 
 
-@query(f"""WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS)}, stat AS (SELECT (SELECT count(*) FROM corpus)::DOUBLE AS n, (SELECT sum(length) FROM len) / (SELECT count(*) FROM corpus) AS mean),
-    per AS (SELECT id, ({_PHRASE_TF})::DOUBLE AS tf FROM corpus), p AS (SELECT * FROM per WHERE tf > 0), d AS (SELECT count(*) AS df FROM p)
-    SELECT id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM p JOIN len USING (id), stat, d ORDER BY score DESC, id LIMIT 50""")
+def _placed_sql(*groups: str) -> str:
+    """groups: SQL of (id, w, f, p), the places that count, of each group; documents have all of them."""
+    per = " UNION ALL ".join(f"SELECT {g} AS g, id, sum(w) AS tf FROM (SELECT DISTINCT id, w, f, p FROM ({sql})) GROUP BY id" for g, sql in enumerate(groups))
+    return f"""WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS)}, {_PLACES_SQL}, {_STAT_SQL}, per AS ({per}), dfs AS (SELECT g, count(*) AS df FROM per GROUP BY g)
+        SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+        FROM per JOIN dfs USING (g) JOIN len USING (id), stat GROUP BY id HAVING count(*) = {len(groups)} ORDER BY score DESC, id LIMIT 50"""
+
+
+_PAIR_SQL = "SELECT a.id, a.w, a.f, a.p FROM pl a JOIN pl b ON a.id = b.id AND a.f = b.f AND b.p BETWEEN {low} AND {high} WHERE a.term = '{a}' AND b.term = '{b}'"
+
+
+@query(_placed_sql(_PAIR_SQL.format(low="a.p + 1", high="a.p + 1", a="the", b="and")))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, postings, stats = _index(spark, sf_dir)
-    return search.match(postings, stats, search.parse('"The and"'), docs).orderBy(F.col("score").desc(), "id").limit(50)
+    """From the places in the index alone."""
+    _, postings, stats = _index(spark, sf_dir)
+    return search.match(postings, stats, search.parse('"The and"')).orderBy(F.col("score").desc(), "id").limit(50)
+
+
+@query(_placed_sql(" UNION ALL ".join(_PAIR_SQL.format(low="a.p", high="a.p + 4", a=a, b=b) for a, b in (("the", "of"), ("of", "the")))))
+def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with three others between them at most, in either order."""
+    _, postings, stats = _index(spark, sf_dir)
+    return search.match(postings, stats, search.parse("NEAR(the of, 3)")).orderBy(F.col("score").desc(), "id").limit(50)
+
+
+@query(_placed_sql("SELECT * FROM pl WHERE term = 'the' AND f = 0", "SELECT * FROM pl WHERE starts_with(term, 'an') AND f IN (1, 3)"))
+def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in the fields that the query names."""
+    _, postings, stats = _index(spark, sf_dir)
+    return search.match(postings, stats, search.parse('title: "the" AND {abstract headings}: "an"*')).orderBy(F.col("score").desc(), "id").limit(50)
+
+
+def _porter_sql(word: str) -> str:
+    """Porter's steps one CTE after the other, from the column of a table `vocab`; the last one is `stems` (term, stem)."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    m1, is1, m2 = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}"
+    vowel, short = f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    has = lambda x, pattern: f"regexp_matches({x}, '{pattern}')"
+    cut = lambda n: f"w[:-{n + 1}]"
+    ctes = [f"p0 AS (SELECT {word} AS term, {word} AS w FROM vocab WHERE {has(word, '^[a-z]{3,}$')})"]
+
+    def step(k: int, *selects: str) -> None:
+        ctes.append(f"p{k} AS (" + "SELECT term, " + ", ".join(selects) + f" FROM p{k - 1})")
+
+    step(1, f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END AS w")
+    step(2, f"CASE WHEN w LIKE '%eed' THEN NULL WHEN w LIKE '%ed' AND {has(cut(2), vowel)} THEN {cut(2)} WHEN w LIKE '%ing' AND {has(cut(3), vowel)} THEN {cut(3)} END AS s, CASE WHEN w LIKE '%eed' AND {has(cut(3), m1)} THEN {cut(1)} ELSE w END AS w")
+    step(3, f"CASE WHEN s IS NULL THEN w WHEN {has('s', '(at|bl|iz)$')} OR {has('s', short)} THEN s || 'e' WHEN s[-1] = s[-2] AND length(s) > 1 AND {has('s', '[^aeiouylsz]$')} THEN s[:-2] ELSE s END AS w")
+    step(4, f"CASE WHEN w LIKE '%y' AND {has(cut(1), vowel)} THEN {cut(1)} || 'i' ELSE w END AS w")
+    k = 4
+    for rules in (stemming.STEP_2, stemming.STEP_3, dict.fromkeys(stemming.STEP_4, "")):
+        step(k + 1, f"w, regexp_extract(w, '({'|'.join(rules)})$') AS s")
+        step(k + 2, "w, s, w[:length(w) - length(s)] AS b")
+        put = "CASE s " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items()) + " END"
+        test = has("b", m1) if k < 8 else f"{has('b', m2)} AND (s <> 'ion' OR {has('b', '[st]$')})"
+        step(k + 3, f"CASE WHEN s <> '' AND {test} THEN b || {put} ELSE w END AS w")
+        k += 3
+    step(k + 1, f"CASE WHEN w LIKE '%e' AND ({has(cut(1), m2)} OR {has(cut(1), is1)} AND NOT {has(cut(1), short)}) THEN {cut(1)} ELSE w END AS w")
+    step(k + 2, f"CASE WHEN w LIKE '%ll' AND {has(cut(1), m2)} THEN {cut(1)} ELSE w END AS w")
+    return f"{', '.join(ctes)}, stems AS (SELECT term, w AS stem FROM p{k + 2} UNION ALL SELECT {word}, {word} FROM vocab WHERE NOT {has(word, '^[a-z]{3,}$')})"
+
+
+@query(f"WITH {CORPUS_SQL}, tok AS (SELECT DISTINCT unnest(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM corpus), vocab AS (SELECT term FROM tok WHERE term <> ''), {_porter_sql('term')} SELECT term, stem FROM stems")
+def stems_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of each word of all texts."""
+    words = corpus.documents(spark, sf_dir).select(F.explode(text.tokens(F.col("body"))).alias("term")).distinct()
+    return words.select("term", stemming.porter(F.col("term")).alias("stem"))
+
+
+@query(f"""WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS).replace('post AS', 'words AS')}, vocab AS (SELECT DISTINCT term FROM words), {_porter_sql('term')},
+    post AS (SELECT stem AS term, id, sum(tf) AS tf FROM words JOIN stems USING (term) GROUP BY ALL), {_match_sql(["term = 'tion'", "term = 'eate'"], 1)} SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 50""")
+def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the query find all words of their stem."""
+    _, postings, stats = _index(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "stems")
+    if key not in _STORED:
+        _STORED[key] = (search.store_stemmed(postings),)
+    asked = search.Query((search.Group((), ("tioning",)), search.Group((), ("eates",))), any=True)
+    return search.match(_STORED[key][0], stats, search.stemmed_query(asked, postings)).orderBy(F.col("score").desc(), "id").limit(50)
 
 
 @query(f"WITH {CORPUS_SQL} SELECT id, key, title FROM corpus WHERE lower(title) = (SELECT lower(title) FROM corpus WHERE id = 1) ORDER BY role <> 'symbol', length(key), key LIMIT 50")
@@ -164,7 +239,7 @@ def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS)} SELECT term, id, tf, length::BIGINT AS length FROM post JOIN len USING (id)")
 def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.build_index(corpus.documents(spark, sf_dir))
+    return search.build_index(corpus.documents(spark, sf_dir)).drop("places")
 
 
 @query("SELECT name FROM (VALUES ('quartz2d', 'coregraphics'), ('coregraphics', 'quartz2d')) t(k, name) WHERE k = 'quartz2d'")

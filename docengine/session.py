@@ -57,10 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: computed once, and no lost executor makes it run again."""
+def durable(df: DataFrame, **options: str) -> DataFrame:
+    """df as a table written to the shared folder, with a writer's options: computed once, and no lost executor makes it run again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
