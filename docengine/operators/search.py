@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import trigrams
@@ -344,8 +344,53 @@ def store_trigrams(docs: DataFrame) -> DataFrame:
     return durable(build_trigram_index(docs).repartitionByRange("gram").sortWithinPartitions("gram", "id"))
 
 
-def fuzzy(docs: DataFrame, grams: DataFrame, query: str, limit: int, most: int = 2) -> DataFrame:
-    """Titles within the edit distance, among those that share most trigrams with the query; nearest first."""
+def _parts(length: Column, most: int) -> Column:
+    """Where a title of some length is cut into most + 1 parts: (part, begin, size)."""
+    at = lambda k: F.floor(length * k / (most + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("part"), at(k).alias("begin"), (at(k + 1) - at(k)).alias("size")))
+
+
+def _part_hash(length: Column, part: Column, text: Column) -> Column:
+    return F.xxhash64(length, part, text)
+
+
+def build_part_index(docs: DataFrame, most: int = 2) -> DataFrame:
+    """Postings (part, id) of titles cut into most + 1 parts: `most` edits leave one of them as it is. A part is a hash of its text,
+    its number and the title's length; so a title has most + 1 rows, however long it is."""
+    low = docs.select("id", F.lower("title").alias("low")).where("low IS NOT NULL").withColumn("length", F.length("low"))
+    rows = low.select("id", "low", "length", F.explode(_parts(F.col("length"), most)).alias("p"))
+    return rows.select(_part_hash(F.col("length"), F.col("p.part"), F.substring("low", F.col("p.begin") + 1, F.col("p.size"))).alias("part"), "id")
+
+
+def store_parts(docs: DataFrame, most: int = 2) -> DataFrame:
+    """The same as a table sorted by part."""
+    return durable(build_part_index(docs, most).repartitionByRange("part", "id").sortWithinPartitions("part", "id"))
+
+
+def parts_near(spark: SparkSession, query: str, most: int = 2) -> list[int]:
+    """What titles within the edit distance have in the index, one of these at least: for each of their lengths, the query's texts around where a part is."""
+    low = query.lower()
+    asked = set()
+    for length in range(max(len(low) - most, 0), len(low) + most + 1):
+        cuts = [length * k // (most + 1) for k in range(most + 2)]
+        for k in range(most + 1):
+            size = cuts[k + 1] - cuts[k]
+            asked |= {(length, k, low[b : b + size]) for b in range(max(cuts[k] - most, 0), min(cuts[k] + most, len(low) - size) + 1)}
+    rows = spark.createDataFrame(sorted(asked), "length int, part int, text string")
+    return sorted({r[0] for r in rows.select(_part_hash(F.col("length"), F.col("part"), F.col("text"))).collect()})
+
+
+def fuzzy(docs: DataFrame, parts: DataFrame, query: str, limit: int, most: int = 2) -> DataFrame:
+    """All titles within the edit distance, nearest first; parts is their index (of the same `most`). Queries of less than four characters have none."""
+    if len(query) < 4:
+        return docs.withColumn("distance", F.lit(0)).limit(0)
+    near = parts.where(F.col("part").isin(*parts_near(docs.sparkSession, query, most))).select("id").distinct()
+    hits = docs.where(F.length("title").between(len(query) - most, len(query) + most)).join(near, "id", "left_semi")
+    return hits.withColumn("distance", F.levenshtein(F.lower("title"), F.lit(query.lower()), most)).where("distance >= 0").orderBy("distance", "id").limit(limit)
+
+
+def fuzzy_by_trigrams(docs: DataFrame, grams: DataFrame, query: str, limit: int, most: int = 2) -> DataFrame:
+    """Titles within the edit distance among the few that share most trigrams with the query: a smaller search that may miss some."""
     own = {query.lower()[i : i + 3] for i in range(len(query) - 2)}
     if len(query) < 4 or len(own) < 2:
         return docs.withColumn("distance", F.lit(0)).limit(0)

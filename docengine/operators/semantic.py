@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, dot_i8, hamming, quantize_i8, sign_code
+from ..session import shared_dir
 
 SHORTLIST, TOP = 200, 50
 
@@ -33,6 +36,66 @@ def shortlist(index: DataFrame, query: Sequence[float], n: int = SHORTLIST) -> D
     return rows.orderBy("distance", "chunk_id").limit(min(max(n, 16), 5000))
 
 
+#: Bits of a sub-code, and of its leading half, by which the table of sub-codes is laid out in folders.
+SUB, HIGH = 16, 8
+#: Radii that a search tries in turn.
+RADII = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)
+
+
+def _sub(code: F.Column, part: int, bits: int = SUB) -> F.Column:
+    """A part of a code, the lowest bits first."""
+    per = 64 // bits
+    return F.shiftright(F.get(code, F.lit(part // per)), bits * (part % per)).bitwiseAND((1 << bits) - 1)
+
+
+def store_subcodes(index: DataFrame, dims: int = 64) -> DataFrame:
+    """The index as a table with a row for each 16-bit part of a code (part, high, sub), in folders by part and leading half of the sub-code.
+
+    Files are cut by chunk too, so that no folder is one task's. A code has dims / 16 rows.
+    """
+    parts = -(-dims // SUB)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), _sub(F.col("code"), p).cast("int").alias("sub")) for p in range(parts)])).alias("p")
+    rows = index.select("*", each).select(*index.columns, "p.part", F.shiftright("p.sub", SUB - HIGH).alias("high"), "p.sub")
+    rows = rows.repartitionByRange("part", "high", "chunk_id").sortWithinPartitions("part", "high", "sub")
+    path = f"{shared_dir(index.sparkSession)}/codes-{uuid.uuid4().hex}"
+    rows.write.partitionBy("part", "high").parquet(path)
+    return index.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def within(table: DataFrame, query: Sequence[float], radius: int) -> DataFrame:
+    """The codes of which some part is within the radius of the query's part: all those nearer than (radius + 1) times the number of parts.
+
+    Only folders whose half of a sub-code is within the radius are read. A code that several parts find comes from the first of them.
+    """
+    code = _code(query)
+    subs = [(code[p * SUB // 64] >> (SUB * (p % (64 // SUB)))) & ((1 << SUB) - 1) for p in range(-(-len(query) // SUB))]
+    far = lambda p: F.bit_count(_sub(F.col("code"), p).bitwiseXOR(F.lit(subs[p]).cast("long")))
+    tests = []
+    for p, sub in enumerate(subs):
+        folders = [h for h in range(1 << HIGH) if (h ^ (sub >> (SUB - HIGH))).bit_count() <= radius]
+        test = (F.col("part") == p) & F.col("high").isin(*folders) & (F.bit_count(F.col("sub").bitwiseXOR(F.lit(sub))) <= radius)
+        for q in range(p):
+            test = test & (far(q) > radius)
+        tests.append(test)
+    return table.where(reduce(lambda a, b: a | b, tests)).withColumn("distance", hamming(F.col("code"), _longs(code))).drop("part", "high", "sub")
+
+
+def nearest(table: DataFrame, query: Sequence[float], n: int = SHORTLIST) -> DataFrame:
+    """The same as `shortlist`, from the table of sub-codes: exact, and in rounds of growing radius that read only what can be near.
+
+    Codes within distance d have a part within d / parts; so once the n-th distance is below (radius + 1) times the parts, no code that
+    has not been read can come before it.
+    """
+    n = min(max(n, 16), 5000)
+    parts = -(-len(query) // SUB)
+    for radius in RADII:
+        rows = within(table, query, radius).orderBy("distance", "chunk_id").limit(n)
+        found, last = rows.agg(F.count("*"), F.max("distance")).first()
+        if (found == n and last < (radius + 1) * parts) or radius >= SUB:
+            return rows
+    raise AssertionError("the last radius finds all")
+
+
 def rescore(rows: DataFrame, query: Sequence[float]) -> DataFrame:
     return rows.withColumn("score", dot_i8(F.array(*[F.lit(float(x)) for x in query]), F.col("codes"), F.col("scale")))
 

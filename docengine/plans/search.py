@@ -26,6 +26,7 @@ class Corpus:
     postings: DataFrame
     stats: tuple[int, float]
     grams: DataFrame
+    parts: DataFrame | None = None
     body: DataFrame | None = None
     body_stats: tuple[int, float] = (0, 1.0)
     synonyms: DataFrame | None = None
@@ -39,7 +40,7 @@ def build(docs: DataFrame, body: bool = True, **more: Any) -> Corpus:
     """Stores the indexes of a corpus, each sorted by its term."""
     postings, stats = search.store(docs)
     own, own_stats = search.store(docs, {"body": 1.0}) if body else (None, (0, 1.0))
-    return Corpus(docs, postings, stats, search.store_trigrams(docs), own, own_stats, **more)
+    return Corpus(docs, postings, stats, search.store_trigrams(docs), search.store_parts(docs), own, own_stats, **more)
 
 
 @dataclass
@@ -83,7 +84,8 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
         if not (fast and (n >= window or (narrowed and rows))):
             add(search.substring(docs, q, window, corpus.grams), "substring")
     if len(rows) < 5 and len(q) >= 4 and fuzzy:
-        add(search.fuzzy(docs, corpus.grams, q, window), "fuzzy", ("distance",))
+        near = search.fuzzy_by_trigrams(docs, corpus.grams, q, window) if corpus.parts is None else search.fuzzy(docs, corpus.parts, q, window)
+        add(near, "fuzzy", ("distance",))
     if corpus.body is not None and deep and (len(rows) < window or not eager):
         hits = search.match(corpus.body, corpus.body_stats, search.parse(q), {"body": 1.0})
         add(docs.join(hits, "id").orderBy(F.col("score").desc(), "id").limit(window), "body")

@@ -11,6 +11,7 @@ from ..model import DOCUMENT, RELATION, SECTION
 from ..operators.chunks import render_plain
 from ..operators.maintenance import replace_children, upsert
 from ..sources.base import SourceAdapter, validate
+from ..sources.versions import VersionedTables
 
 
 @dataclass
@@ -56,6 +57,30 @@ def sync(spark: SparkSession, stored: Stored, adapters: dict[str, tuple[SourceAd
     return stored, errors
 
 
+def load(store: VersionedTables, version: int | None = None) -> Stored:
+    """The corpus as it was committed; an empty one before the first version."""
+    found = [store.read(name, version) for name in ("documents", "sections", "relationships")]
+    return empty(store.spark) if found[0] is None else Stored(*found)
+
+
+def sync_committed(store: VersionedTables, adapters: dict[str, tuple[SourceAdapter, str]], run: str) -> dict[str, str]:
+    """The same with a committed version after each adapter: documents, sections and edges change together or not at all.
+
+    `run` names the run: begun again under its name after a failure, it leaves out the adapters that it has committed. Returns
+    the errors of adapters that failed.
+    """
+    errors: dict[str, str] = {}
+    for name, (adapter, path) in adapters.items():
+        if store.done(name) == run:
+            continue
+        base = store.manifest()["version"]
+        stored, failed = sync(store.spark, load(store, base), {name: (adapter, path)})
+        errors |= failed
+        if not failed:
+            store.commit({"documents": stored.documents, "sections": stored.sections, "relationships": stored.relationships}, (name, run), base)
+    return errors
+
+
 def body_index(documents: DataFrame, sections: DataFrame) -> DataFrame:
     """(id, text) of what the body index holds."""
     d = documents.select(F.col("key").alias("id"), "title", F.col("abstract_text").alias("abstract"), F.col("declaration_text").alias("declaration"), "headings")

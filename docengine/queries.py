@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ from .functions import identifiers, stemming, text, urls, versions
 from .operators import chunks, client_search, corpus_stats, filters, graph, html, maintenance, ranking, search, semantic
 from .plans import search as plan
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401 - the names that users of this module know
+from .session import shared_dir
 from .sources import snapshot
+from .sources.versions import VersionedTables
 from .streaming import incremental
 
 Q = "the and"
@@ -198,7 +203,18 @@ def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, title, levenshtein(lower(title), 'that it')::INT AS distance FROM c JOIN corpus USING (id) WHERE levenshtein(lower(title), 'that it') <= 2 ORDER BY distance, id LIMIT 50""")
 def search_fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir)
-    return search.fuzzy(docs, search.build_trigram_index(docs), "That it", 50).select("id", "title", "distance")
+    return search.fuzzy_by_trigrams(docs, search.build_trigram_index(docs), "That it", 50).select("id", "title", "distance")
+
+
+@query(f"""WITH {CORPUS_SQL}, w AS (SELECT lower(split_part(title, ' ', 1)) AS w FROM corpus WHERE id = 1)
+    SELECT doc_id AS id, x.w AS title, levenshtein(x.w, w.w)::INT AS distance FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) x, w WHERE levenshtein(x.w, w.w) <= 2 ORDER BY distance, id, title LIMIT 500""".replace("SELECT doc_id AS id", "SELECT DISTINCT doc_id AS id"))
+def search_fuzzy_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all texts as a title: none within two edits is missed."""
+    docs = corpus.documents(spark, sf_dir)
+    wanted = docs.where("id = 1").first()["title"].split(" ")[0]
+    words = docs.select("id", F.explode(F.array_distinct(F.split(F.lower("body"), " "))).alias("title")).withColumn("doc", F.col("id")).withColumn("id", F.xxhash64("id", "title"))
+    hits = search.fuzzy(words, search.build_part_index(words), wanted, 1 << 30)
+    return hits.select(F.col("doc").alias("id"), "title", "distance").orderBy("distance", "id", "title").limit(500)
 
 
 @query(f"WITH {CORPUS_SQL} SELECT tier, count(*) AS n FROM (SELECT {_TIER_SQL.format(q='the')} AS tier FROM corpus) GROUP BY tier")
@@ -323,6 +339,16 @@ def vec_sign_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.shortlist(semantic.build_chunk_index(e), q, 50).select("chunk_id", "distance")
 
 
+@query(f"WITH {_VEC_SQL} SELECT chunk_id, distance FROM v ORDER BY distance, chunk_id LIMIT 50")
+def vec_hamming_subcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the stored table of sub-codes."""
+    e, q = _chunks(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "subcodes")
+    if key not in _STORED:
+        _STORED[key] = (semantic.store_subcodes(semantic.build_chunk_index(e)),)
+    return semantic.nearest(_STORED[key][0], q, 50).select("chunk_id", "distance")
+
+
 @query(f"WITH {_VEC_SQL}, {_I8_SQL} SELECT chunk_id, round(score, 6) AS score FROM r")
 def vec_int8_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, q = _chunks(spark, sf_dir)
@@ -855,6 +881,20 @@ def incremental_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.changed_since(o, F.lit("1997-06-01").cast("timestamp_ntz"), "o_orderdate", "indexed").select("o_orderkey")
 
 
+@query("""WITH v AS (SELECT 1 AS version, c_custkey AS k, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0
+      UNION ALL SELECT 2, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 2 ELSE c_acctbal END FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0)
+    SELECT version, k, balance FROM v UNION ALL SELECT 3, k, balance FROM v WHERE version = 1""")
+def committed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, then an upsert, then back to the first version; a write that was never committed is in none."""
+    store = VersionedTables(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
+    store.commit({"customers": c.where("k % 3 <> 0")}, ("load", 1))
+    store.commit({"customers": maintenance.upsert(store.read("customers"), c.where("k % 2 = 0").withColumn("balance", F.col("balance") * 2), "k")}, ("load", 2))
+    store._write(c)
+    store.rollback(1)
+    return reduce(DataFrame.unionByName, [store.read("customers", v).withColumn("version", F.lit(v)) for v in store.versions()])
+
+
 @query(f"WITH {CORPUS_SQL} SELECT id FROM corpus WHERE id NOT IN (SELECT vec_id // 4 FROM embeddings)")
 def documents_without_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("document_id")).distinct()

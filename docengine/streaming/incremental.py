@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.maintenance import upsert
+from ..sources.versions import VersionedTables
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -25,18 +26,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
 
 
-def upsert_stream(changes: DataFrame, target: str, key: str, checkpoint: str, version: str = "version") -> StreamingQuery:
-    """Applies batches of changed rows to a Parquet table of versions, one folder for each batch.
+def upsert_stream(changes: DataFrame, store: VersionedTables, name: str, key: str, checkpoint: str, version: str = "version") -> StreamingQuery:
+    """Applies batches of changed rows to a versioned table, one committed version for each batch.
 
-    A batch that is run again writes the same folder, so that restarts converge; of rows with one key in a batch
-    the latest version counts.
+    The store's ledger says which batches of the query are in: one that runs again changes nothing. A query with a new checkpoint
+    begins again, and rows older than those stored change nothing, so that it converges on the same table. Of rows with one
+    key the latest version counts. Older versions are deleted, but for the last two.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        source = f"{name}/{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}"
+        done = store.done(source)
+        if done is not None and number <= done:
+            return
+        base = store.manifest()["version"]
         last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("x")).select("x.*")
-        path = f"{target}/batch={{}}"
-        old = spark.read.parquet(path.format(number - 1)) if number else last.limit(0)
-        upsert(old, last, key).write.mode("overwrite").parquet(path.format(number))
+        old = store.read(name, base)
+        if old is not None:
+            stored = old.select(F.col(key).alias("_key"), F.col(version).alias("_version"))
+            last = last.join(stored, (F.col(key) == F.col("_key")) & (F.col("_version") > F.col(version)), "left_anti")
+        store.commit({name: last if old is None else upsert(old, last, key)}, (source, number), base)
+        store.vacuum()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

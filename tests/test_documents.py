@@ -9,7 +9,7 @@ from docengine.operators import docc, graph, html, maintenance, markdown
 from docengine.operators.client_search import build, query_terms
 from docengine.operators.client_search import search as title_search
 from docengine.plans import sync
-from docengine.sources import adapters, snapshot
+from docengine.sources import adapters, snapshot, versions
 from docengine.sources.base import SourceAdapter, adapter, register, validate
 from docengine.streaming import incremental
 
@@ -185,8 +185,9 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r["event_type"], r["n"]) for r in spark.table("m").collect()) == [("error", 1), ("view", 2)]
     changes = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").select(F.col("user_id").alias("k"), "value", F.col("event_id").alias("version"))
-    incremental.upsert_stream(changes, f"{tmp_path}/out", "k", f"{tmp_path}/cp").awaitTermination()
-    assert {r["k"]: r["value"] for r in spark.read.parquet(f"{tmp_path}/out/batch=0").collect()} == {1: 2.0, 2: 3.0}
+    store = versions.VersionedTables(spark, f"{tmp_path}/out")
+    incremental.upsert_stream(changes, store, "t", "k", f"{tmp_path}/cp").awaitTermination()
+    assert {r["k"]: r["value"] for r in store.read("t").collect()} == {1: 2.0, 2: 3.0}
     assert incremental.sessions(df).count() == 2
 
 
