@@ -23,22 +23,33 @@ from .session import delete_folder, shared_dir
 from .sources import adapters, base, snapshot
 
 
+def words(column: Column) -> Column:
+    """Letters and single spaces of a text; never empty."""
+    return F.concat(F.lit("L "), F.trim(F.regexp_replace(F.regexp_replace(column, "[^A-Za-z ]+", ""), " +", " ")), F.lit("."))
+
+
+def _words(sql: str) -> str:
+    return f"('L ' || trim(regexp_replace(regexp_replace({sql}, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g')) || '.')"
+
+
 def line(n: int) -> Column:
-    """Letters and single spaces of a line of the document; never empty."""
-    return F.concat(F.lit("L "), F.trim(F.regexp_replace(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(n)), "[^A-Za-z ]+", ""), " +", " ")), F.lit("."))
+    """A line of the document."""
+    return words(F.split_part("text", F.lit("\n"), F.lit(n)))
 
 
 def _line(n: int) -> str:
-    return f"('L ' || trim(regexp_replace(regexp_replace(split_part(text, chr(10), {n}), '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g')) || '.')"
+    return _words(f"split_part(text, chr(10), {n})")
 
 
+#: What the first two lines are.
+_HEAD = "^[^\\n]*\\n?[^\\n]*\\n?"
 KEY_SQL = "source || '/' || lang || '/' || doc_id"
-LINES_SQL = f"d AS (SELECT doc_id, source, lang, {KEY_SQL} AS key, source || '/' || lang || '/' || (doc_id + 1) AS next_key, {_line(1)} AS a, {_line(2)} AS b, {_line(3)} AS c FROM documents)"
+LINES_SQL = f"d AS (SELECT doc_id, source, lang, {KEY_SQL} AS key, source || '/' || lang || '/' || (doc_id + 1) AS next_key, {_line(1)} AS a, {_line(2)} AS b, {_words(f"regexp_replace(text, '{_HEAD}', '')")} AS c FROM documents)"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda i: F.concat_ws("/", "source", "lang", i.cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", key(F.col("doc_id")).alias("key"), key(F.col("doc_id") + 1).alias("next_key"), line(1).alias("a"), line(2).alias("b"), line(3).alias("c"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", key(F.col("doc_id")).alias("key"), key(F.col("doc_id") + 1).alias("next_key"), line(1).alias("a"), line(2).alias("b"), words(F.regexp_replace("text", _HEAD, "")).alias("c"))
 
 
 # ---- DocC ------------------------------------------------------------------------------------------------------------
