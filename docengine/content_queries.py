@@ -96,7 +96,7 @@ def docc_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LINES_SQL} SELECT key, sha256('---' || chr(10) || 'title: ' || a || chr(10) || 'framework: Mod' || chr(10) || 'role: symbol' || chr(10) || 'role_heading: Structure' || chr(10) || 'platforms:' || chr(10) || '  - iOS 13.0+' || chr(10) || '  - macOS 11.0+' || chr(10) || 'path: ' || key || chr(10) || '---' || chr(10) || chr(10)
     || '# ' || a || chr(10) || chr(10) || b || chr(10) || chr(10) || '## Declaration' || chr(10) || chr(10) || '```swift' || chr(10) || 'struct ' || a || chr(10) || '```' || chr(10) || chr(10) || '## Overview' || chr(10) || chr(10) || c || chr(10) || chr(10)
-    || '## Topics' || chr(10) || chr(10) || '### Group' || chr(10) || chr(10) || '- [Page ' || next_key || '](' || lower(next_key) || ')' || chr(10)) AS markdown_sha256 FROM d""")
+    || '## Topics' || chr(10) || chr(10) || '### Group' || chr(10) || chr(10) || '- [Page ' || next_key || '](' || (doc_id + 1) || '.md)' || chr(10)) AS markdown_sha256 FROM d""")
 def docc_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docc.render_pages(docc_pages(spark, sf_dir)).select("key", F.sha2("markdown", 256).alias("markdown_sha256"))
 
@@ -125,6 +125,35 @@ def docc_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("key", F.posexplode(pages(index)).alias("place", "page"))
 
 
+@query(f"""WITH {LINES_SQL}, t AS (SELECT *, length(c) - length(replace(c, ' ', '')) AS levels FROM d)
+    SELECT key, levels::INT AS levels, sha256(c || chr(10)) AS text_sha256, sha256(repeat('**', levels) || c || repeat('**', levels)) AS markdown_sha256 FROM t""")
+def docc_deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content trees with a level of nesting for each space of the text."""
+    n = F.length("c") - F.length(F.replace("c", F.lit(" "), F.lit("")))
+    d = lines(spark, sf_dir).withColumn("levels", n)
+    nest = F.concat(F.lit('[{"type":"paragraph","inlineContent":'), F.repeat(F.lit('[{"type":"strong","inlineContent":'), F.col("levels")), F.lit('[{"type":"text","text":"'), "c", F.lit('"}]'), F.repeat(F.lit("}]"), F.col("levels")), F.lit("}]"))
+    return docc.render_contents(d.select("key", "levels", nest.alias("payload"))).select("key", "levels", F.sha2("text", 256).alias("text_sha256"), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+_RULES_SQL = """u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    w AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u), n AS (SELECT host, parts[1] AS part, count(*) AS k FROM w WHERE host <> '' AND len(parts) > 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_RULES_SQL} SELECT 'page/' || page_id AS from_key, url, CASE WHEN w.host = '' THEN 'ext/' || page_id WHEN k >= 2 THEN array_to_string(list_concat(['part', w.host || '+' || parts[1]], parts[2:]), '/') ELSE array_to_string(list_concat(['site', w.host], parts), '/') END AS to_key
+    FROM w LEFT JOIN n ON n.host = w.host AND n.part = parts[1]""")
+def docc_external_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of pages to web addresses, by a rule for each host and longer ones for what many addresses of a host begin with."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", urls.url_host(F.col("url")).alias("host"), F.regexp_extract(urls.url_path(F.col("url")), "^/+([^/]+)", 1).alias("part"))
+    hosts = p.where("host <> ''").select(F.col("host").alias("prefix"), F.concat(F.lit("site/"), "host").alias("key")).distinct()
+    many = p.where("host <> '' AND part <> ''").groupBy("host", "part").count().where("count >= 2")
+    rules = hosts.union(many.select(F.concat_ws("/", "host", "part"), F.concat(F.lit("part/"), "host", F.lit("+"), "part")))
+    i = F.col("page_id").cast("string")
+    ident = F.concat(F.lit("doc://org/documentation/ext/"), i)
+    page = F.struct(F.array(F.struct(F.lit("G").alias("title"), F.array(ident).alias("identifiers"))).alias("topicSections"), F.create_map(ident, F.struct("url")).alias("references"))
+    listed = docc.listed_references(p.select(F.concat(F.lit("page/"), i).alias("key"), F.to_json(page).alias("payload")))
+    return docc.resolve_references(listed, rules).select("from_key", "url", "to_key")
+
+
 # ---- Markdown, HTML, transcripts and other sources -------------------------------------------------------------------
 
 _PROPOSAL = "'---' || chr(10) || 'layout: page' || chr(10) || 'tags:' || chr(10) || '  - x' || chr(10) || '---' || chr(10) || '# ' || a || chr(10) || chr(10) || '* Proposal: [SE-' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '](x)' || chr(10) || '* Status: **Accepted**' || chr(10) || chr(10) || '## Motivation' || chr(10) || chr(10) || b || chr(10) || '## Design' || chr(10) || c"
@@ -192,6 +221,15 @@ def html_site_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("document.key").alias("key"), F.explode("sections").alias("s")).select("key", "s.sort_order", "s.section_kind", "s.heading", "s.content_text")
 
 
+@query("""SELECT page_id, sha256('<x>' || list_reduce(list_prepend(html, ['nav', 'header', 'footer', 'script', 'style', 'noscript']), lambda h, t: regexp_replace(h, '<' || t || '(\\s[^>]*)?>.*?</' || t || '\\s*>', '', 'gis')) || 'ac' || '</x>') AS kept_sha256 FROM pages""")
+def html_without_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real pages between elements that are nested in their like: as deep as the page's id says, one that holds the page once more."""
+    nav = lambda inner, n: F.concat(F.repeat(F.lit("<nav class='a'>x"), n), inner, F.repeat(F.lit("y</nav >"), n))
+    deep = nav(F.lit("<NAV/><nav>z</nav>"), F.col("page_id").cast("int") % 50 + 1)
+    page = F.concat(F.lit("<x>"), deep, "html", F.lit("</nav>a"), nav(F.col("html"), F.lit(2)), F.lit("<footer/>c</header></x>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(html.strip_elements(page), 256).alias("kept_sha256"))
+
+
 @query(f"WITH {LINES_SQL} SELECT 'apple-archive/lib/' || doc_id AS key, 'apple-archive' AS source_type, a AS title, b AS abstract_text FROM d")
 def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _site(spark, sf_dir).withColumn("payload", F.replace("payload", F.lit(" | Swift.org"), F.lit("")))
@@ -247,10 +285,12 @@ def entry_point_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.entry_points(d, registry)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in SOURCE_TYPES) + ") t(source_type)")
+@query(f"WITH {CORPUS_SQL} SELECT t.source_type, count(id) AS documents FROM (VALUES " + ", ".join(f"('{t}')" for t in SOURCE_TYPES) + ") t(source_type) LEFT JOIN corpus ON corpus.source_type = t.source_type GROUP BY t.source_type")
 def adapter_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adapters that are registered: one for each source type."""
-    return spark.createDataFrame([(a.source_type,) for a in base.adapters().values()], "source_type string")
+    """The adapters that are registered, one for each source type, with the number of documents that each has in the corpus."""
+    known = spark.createDataFrame([(a.source_type,) for a in base.adapters().values()], "source_type string")
+    counts = corpus.documents(spark, sf_dir, False).groupBy("source_type").agg(F.count("*").alias("documents"))
+    return known.join(counts, "source_type", "left").select("source_type", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'new' WHEN o_orderkey % 3 = 0 THEN 'deleted' WHEN o_orderkey % 2 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 3 = 0)")
@@ -623,9 +663,14 @@ def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.metric_means(m).select("config", "kind", "queries", *[F.round(c, 6).alias(c) for c in ("recall", "ndcg", "mrr")])
 
 
-@query("SELECT * FROM (VALUES ('e', 0), ('d', 1), ('c', 1), ('b', 0), ('a', 0)) t(name, bin)")
+@query("""WITH RECURSIVE s AS (SELECT source AS name, sum(strlen(coalesce(text, '')))::BIGINT AS size FROM documents WHERE source IS NOT NULL GROUP BY source), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, name) AS i FROM s),
+    r AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS name, 0::BIGINT AS bin, [0, 0, 0, 0]::BIGINT[] AS load
+        UNION ALL SELECT o.i, o.name, list_position(r.load, list_min(r.load)), list_transform(r.load, lambda x, j: CASE WHEN j = list_position(r.load, list_min(r.load)) THEN x + o.size ELSE x END) FROM r JOIN o ON o.i = r.i + 1)
+    SELECT name, (bin - 1)::INT AS bin FROM r WHERE i > 0""")
 def balanced_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = maintenance.balanced_bins({"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}, 2)
+    """Roots in four bins of near equal bytes; there are as many sizes as roots."""
+    sizes = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+    bins = maintenance.balanced_bins({r["source"]: r["size"] for r in sizes.collect()}, 4)
     return spark.createDataFrame([(name, k) for k, b in enumerate(bins) for name in b], "name string, bin int")
 
 

@@ -59,6 +59,26 @@ def map_url_to_key(url: Column) -> Column:
     return out.when(evolution & path.rlike(proposal), F.concat(F.lit("swift-evolution/"), F.regexp_extract(path, proposal, 1)))
 
 
+def by_longest_prefix(links: DataFrame, rules: DataFrame, url: str = "url", out: str = "mapped") -> DataFrame:
+    """links with a column `out`: the key of the rule (prefix, key) with the longest prefix of the address, and what follows it.
+
+    A prefix is a host with any number of the path's segments, without scheme; only whole segments count, and query and fragment
+    don't. Of rules with one prefix, the smallest key holds. Addresses that no rule fits, or that have no scheme, get null.
+    Distinct addresses meet the rules; each has as many prefixes as the deepest rule has segments, however long it is.
+    """
+    rules = rules.where("prefix IS NOT NULL AND key IS NOT NULL").groupBy(F.regexp_replace("prefix", "/+$", "").alias("_prefix")).agg(F.min("key").alias("_key"))
+    deepest = rules.agg(F.max(F.size(F.split("_prefix", "/")))).first()[0] or 0
+    path = F.when(url_path(F.col("_url")) == "/", "").otherwise(F.regexp_replace(url_path(F.col("_url")), "/+$", ""))
+    each = links.select(F.col(url).alias("_url")).where(url_host(F.col("_url")) != "").distinct()
+    each = each.withColumn("_parts", F.split(F.concat(url_host(F.col("_url")), path), "/"))
+    depths = F.sequence(F.lit(1), F.least(F.size("_parts"), F.lit(max(deepest, 1))))
+    rows = each.withColumn("_depth", F.explode(depths)).withColumn("_prefix", F.concat_ws("/", F.slice("_parts", F.lit(1), F.col("_depth")))).join(rules, "_prefix")
+    rest = F.array_compact(F.transform(F.slice("_parts", F.col("_depth") + 1, F.size("_parts")), lambda x: F.when(x != "", x)))
+    rows = rows.select("_url", "_depth", F.concat_ws("/", F.concat(F.array("_key"), rest)).alias("_mapped"))
+    best = rows.groupBy("_url").agg(F.max_by("_mapped", "_depth").alias(out))
+    return links.join(best, links[url] == best["_url"], "left").drop("_url")
+
+
 def classify_links(links: DataFrame, known: DataFrame, url_col: str = "href", docs_base: str = "/docs") -> DataFrame:
     """links with category and internal_key; known: the keys there are (column key), each once."""
     u = F.col(url_col)

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import json
-import sys
-from collections.abc import Iterator
+import posixpath
+from collections.abc import Generator, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import BUNDLE
+from ..functions.identifiers import normalize_identifier
+from ..functions.trees import dumps, loads, unwound
+from ..functions.urls import by_longest_prefix, map_url_to_key
+from ..model import BUNDLE, RELATION
 from ..session import ship
 from .markdown import write_yaml
 
-#: Levels of nesting that are read; what is deeper is left out.
-MAX_DEPTH = 512
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * MAX_DEPTH))
 # Names of platforms, and of relations
 PLATFORM_KEYS = {"iOS": "ios", "macOS": "macos", "watchOS": "watchos", "tvOS": "tvos", "visionOS": "visionos", "Mac Catalyst": "maccatalyst", "macCatalyst": "maccatalyst", "iPadOS": "ipados"}
 RELATION_TYPES = {"inheritsFrom": "inherits_from", "conformsTo": "conforms_to", "inheritedBy": "inherited_by"}
@@ -38,29 +39,36 @@ def identifier(raw: str | None) -> str | None:
     return None if not i or any(not s or re.match(r"\.[.\-+*/<>=!&|^~%_]", s) for s in i.split("/")) else i
 
 
-def text_of(nodes: Any, refs: dict[str, Any], depth: int = 0) -> str:
-    """Plain text of content or inline nodes: a line for each block; deeper than 512 levels nothing."""
-    if not isinstance(nodes, list) or depth > MAX_DEPTH:
-        return ""
+def text_of(nodes: Any, refs: dict[str, Any]) -> str:
+    """Plain text of content or inline nodes, however deep: a line for each block."""
+    return unwound(_text(nodes, refs))
+
+
+def _text(nodes: Any, refs: dict[str, Any]) -> Generator:
     out = []
-    for n in nodes:
+    for n in nodes if isinstance(nodes, list) else []:
         if not isinstance(n, dict):
             continue
-        go = lambda x: text_of(x or [], refs, depth + 1)
         match n.get("type"):
             case "paragraph":
-                out.append(go(n.get("inlineContent")) + "\n")
+                out.append((yield _text(n.get("inlineContent"), refs)) + "\n")
             case "heading":
-                out.append((n.get("text") or go(n.get("inlineContent"))) + "\n")
+                out.append((n.get("text") or (yield _text(n.get("inlineContent"), refs))) + "\n")
             case "codeListing":
                 out.append("\n".join(n.get("code") or []) + "\n")
             case "unorderedList" | "orderedList":
-                out += [go(i.get("content")) for i in n.get("items") or []]
+                for i in n.get("items") or []:
+                    out.append((yield _text(i.get("content"), refs)))
             case "aside":
-                out.append(f"{n.get('style') or 'Note'}: {go(n.get('content')).strip()}\n")
+                out.append(f"{n.get('style') or 'Note'}: {(yield _text(n.get('content'), refs)).strip()}\n")
             case "table":
-                rows = [r if isinstance(r, list) else r.get("cells") or [] for r in n.get("rows") or []]
-                out.append("\n".join(" | ".join(go(c.get("content") if isinstance(c, dict) else c).strip() for c in r) for r in rows) + "\n")
+                lines = []
+                for row in _cells(n):
+                    cells = []
+                    for c in row:
+                        cells.append((yield _text(c, refs)).strip())
+                    lines.append(" | ".join(cells))
+                out.append("\n".join(lines) + "\n")
             case "links":
                 out.append("\n".join((refs.get(i) or {}).get("title") or identifier(i) or i for i in n.get("items") or []) + "\n")
             case "text":
@@ -72,12 +80,19 @@ def text_of(nodes: Any, refs: dict[str, Any], depth: int = 0) -> str:
             case "link":
                 out.append(n.get("title") or n.get("destination") or "")
             case t if t in _WRAPPERS:
-                out.append(go(n.get("inlineContent")))
+                out.append((yield _text(n.get("inlineContent"), refs)))
             case _:
-                out.append(n.get("text") or (str(n["code"]) if n.get("code") else "") or go(n.get("inlineContent")) or go(n.get("content")))
+                own = n.get("text") or (str(n["code"]) if n.get("code") else "")
+                out.append(own or (yield _text(n.get("inlineContent"), refs)) or (yield _text(n.get("content"), refs)))
     return "".join(out)
 
 
+def _cells(table: dict[str, Any]) -> list[list[Any]]:
+    """The content of a table's cells, by row."""
+    rows = [r if isinstance(r, list) else r.get("cells") or [] for r in table.get("rows") or []]
+    return [[c.get("content") if isinstance(c, dict) else c for c in r] for r in rows]
+
+
 def resolve(ident: str, refs: dict[str, Any]) -> str | None:
     """A reference's key: by its address, else by itself."""
     return identifier((refs.get(ident) or {}).get("url")) or identifier(ident)
@@ -97,8 +112,11 @@ def platforms(meta: dict[str, Any]) -> dict[str, str]:
     return {PLATFORM_KEYS.get(n) or n.lower(): v for n, v in names if n and v}
 
 
-def normalize(page: dict[str, Any], key: str, source_type: str = "apple-docc") -> dict[str, Any]:
-    """{document, sections, relationships}; the orders 0 to 3 are kept for abstract, declaration, parameters and properties."""
+def normalize(page: dict[str, Any], key: str, source_type: str = "apple-docc", external: bool = False) -> dict[str, Any]:
+    """{document, sections, relationships}; the orders 0 to 3 are kept for abstract, declaration, parameters and properties.
+
+    With `external`, relationships have the address too where rules for addresses may know more than the identifier.
+    """
     meta, refs, primary = page.get("metadata") or {}, page.get("references") or {}, page.get("primaryContentSections") or []
     of = lambda kind: [s for s in primary if s.get("kind") == kind]
     declared = [d for s in of("declarations") for d in s.get("declarations") or []]
@@ -118,7 +136,7 @@ def normalize(page: dict[str, Any], key: str, source_type: str = "apple-docc") -
 
     def add(kind: str, heading: str | None, text: str | None, data: Any, order: int | None = None) -> None:
         if text or data:
-            sections.append({"section_kind": kind, "heading": heading, "content_text": text or "", "content_json": json.dumps(data) if data else None, "sort_order": max([3, *(s["sort_order"] for s in sections)]) + 1 if order is None else order})
+            sections.append({"section_kind": kind, "heading": heading, "content_text": text or "", "content_json": dumps(data) if data else None, "sort_order": max([3, *(s["sort_order"] for s in sections)]) + 1 if order is None else order})
 
     add("abstract", None, abstract, page.get("abstract"), 0)
     add("declaration", "Declaration", declaration, declared, 1)
@@ -147,13 +165,19 @@ def normalize(page: dict[str, Any], key: str, source_type: str = "apple-docc") -
         for g in groups:
             relation = {"topics": "child", "see_also": "see_also"}.get(kind) or RELATION_TYPES.get(g.get("type") or "", g.get("type") or "related")
             for i in g.get("identifiers") or []:
-                if to := resolve(i, refs):
-                    relationships.append({"from_key": key, "to_key": to, "relation_type": relation, "section": g.get("title"), "sort_order": len(relationships)})
+                url = (refs.get(i) or {}).get("url")
+                near = identifier(url)
+                row = {"from_key": key, "to_key": near or identifier(i), "relation_type": relation, "section": g.get("title"), "sort_order": len(relationships)}
+                if row["to_key"] or external and url:
+                    relationships.append(row | ({"url": None if near else url} if external else {}))
     return {"document": document, "sections": sections, "relationships": relationships}
 
 
 def normalize_pages(pages: DataFrame, source_type: str = "apple-docc", key: str = "key", payload: str = "payload") -> DataFrame:
-    """Bundles of DocC pages (key, JSON payload); payloads that are no JSON object give none."""
+    """Bundles of DocC pages (key, JSON payload); payloads that are no JSON object give none.
+
+    A reference's key is that of its address, else what the rules for web addresses make of it, else that of its identifier.
+    """
 
     ship(pages.sparkSession)
 
@@ -162,20 +186,24 @@ def normalize_pages(pages: DataFrame, source_type: str = "apple-docc", key: str
             out = []
             for k, p in zip(pdf[key], pdf[payload], strict=True):
                 try:
-                    page = json.loads(p)
+                    page = loads(p)
                 except (TypeError, ValueError):
                     continue
                 if isinstance(page, dict):
-                    out.append(normalize(page, k, source_type))
+                    out.append(normalize(page, k, source_type, external=True))
             yield pd.DataFrame(out, columns=["document", "sections", "relationships"])
 
-    return pages.select(key, payload).mapInPandas(run, BUNDLE)
+    schema = T.StructType([*BUNDLE.fields[:2], T.StructField("relationships", T.ArrayType(T.StructType([*RELATION.fields, T.StructField("url", T.StringType())])))])
+    rows = pages.select(key, payload).mapInPandas(run, schema)
+    mapped = F.transform("relationships", lambda x: x.withField("to_key", F.coalesce(map_url_to_key(x["url"]), x["to_key"])).dropFields("url"))
+    known = F.filter(mapped, lambda x: x["to_key"].isNotNull())
+    return rows.withColumn("relationships", F.transform(known, lambda x, i: x.withField("sort_order", i)))
 
 
 def is_payload(text: str | None) -> bool:
     """Whether a file looks like a DocC page."""
     try:
-        page = json.loads(text or "")
+        page = loads(text or "")
     except ValueError:
         return False
     return isinstance(page, dict) and isinstance(page.get("metadata"), dict) and ("identifier" in page or "primaryContentSections" in page or "references" in page)
@@ -214,47 +242,80 @@ def consolidate_links(node: Any, known: set[str]) -> dict[str, int]:
     return counts
 
 
-_MARKS = {"emphasis": "*", "newTerm": "*", "strong": "**", "inlineHead": "**"}
+# What is written on both sides of inline nodes
+_MARKS = {"emphasis": "*", "newTerm": "**", "strong": "**", "inlineHead": "**", "strikethrough": "~~"}
+
+
+def relative(source: str, target: str) -> str:
+    """The same rules as functions.urls.relative_path, for one pair of keys."""
+    if not source or not target:
+        return target or ""
+    folder = posixpath.relpath("/" + posixpath.dirname(target), "/" + posixpath.dirname(source))
+    name = target.rsplit("/", 1)[-1]
+    return name if folder == "." or source == target else f"{folder}/{name}"
+
+
+def _linked(ident: str, title: str | None, path: str) -> str | None:
+    """A link from a page to another one's file; null if the identifier is none of a page."""
+    key = identifier(ident)
+    return f"[{title or key}]({relative(path, key)}.md)" if key else None
+
+
+def _listed(idents: Any, refs: dict[str, Any], path: str) -> str:
+    titles = [(i, (refs.get(i) or {}).get("title")) for i in idents or []]
+    return "\n".join(f"- {_linked(i, t, path) or t or i}" for i, t in titles)
 
 
-def markdown_of(nodes: Any, refs: dict[str, Any], depth: int = 0) -> str:
-    """Content or inline nodes as Markdown; deeper than 512 levels nothing."""
-    if not isinstance(nodes, list) or depth > MAX_DEPTH:
-        return ""
+def markdown_of(nodes: Any, refs: dict[str, Any], path: str = "") -> str:
+    """Content or inline nodes as Markdown, however deep; links are relative to the page's path."""
+    return unwound(_markdown(nodes, refs, path))
+
+
+def _markdown(nodes: Any, refs: dict[str, Any], path: str) -> Generator:
     out = []
-    for n in nodes:
+    for n in nodes if isinstance(nodes, list) else []:
         if not isinstance(n, dict):
             continue
-        go = lambda x: markdown_of(x or [], refs, depth + 1)
         match n.get("type"):
             case "paragraph":
-                out.append(go(n.get("inlineContent")) + "\n\n")
+                out.append((yield _markdown(n.get("inlineContent"), refs, path)) + "\n\n")
             case "heading":
-                out.append("#" * (n.get("level") or 2) + f" {n.get('text') or go(n.get('inlineContent'))}\n\n")
+                out.append("#" * (n.get("level") or 2) + f" {n.get('text') or (yield _markdown(n.get('inlineContent'), refs, path))}\n\n")
             case "codeListing":
                 out.append(f"```{n.get('syntax') or ''}\n" + "\n".join(n.get("code") or []) + "\n```\n\n")
             case "unorderedList" | "orderedList" as kind:
-                marks = (f"{k}. " if kind == "orderedList" else "- " for k in range(1, 1 << 30))
-                out.append("\n".join(m + go(i.get("content")).strip() for m, i in zip(marks, n.get("items") or [], strict=False)) + "\n\n")
+                items = []
+                for k, i in enumerate(n.get("items") or [], 1):
+                    items.append((f"{k}. " if kind == "orderedList" else "- ") + (yield _markdown(i.get("content"), refs, path)).strip())
+                out.append("\n".join(items) + "\n\n")
             case "aside":
-                out.append(f"> **{n.get('style') or 'Note'}:** {go(n.get('content')).strip()}\n\n")
+                out.append(f"> **{n.get('style') or 'Note'}:** {(yield _markdown(n.get('content'), refs, path)).strip()}\n\n")
             case "table":
-                rows = [r if isinstance(r, list) else r.get("cells") or [] for r in n.get("rows") or []]
-                lines = ["| " + " | ".join(go(c.get("content") if isinstance(c, dict) else c).strip() for c in r) + " |" for r in rows]
-                out.append("\n".join([*lines[:1], *(["|" + " --- |" * len(rows[0])] if rows else []), *lines[1:]]) + "\n\n")
+                lines = []
+                for row in _cells(n):
+                    cells = []
+                    for c in row:
+                        cells.append((yield _markdown(c, refs, path)).strip().replace("\n", " "))
+                    lines += ["| " + " | ".join(cells) + " |"] + (["|" + " --- |" * len(cells)] if not lines else [])
+                out.append("\n".join(lines) + "\n\n")
+            case "links":
+                out.append(_listed(n.get("items"), refs, path) + "\n\n")
             case "text":
                 out.append(n.get("text") or "")
             case "codeVoice":
                 out.append(f"`{n.get('code') or ''}`")
             case "reference":
-                title, key = (refs.get(n.get("identifier")) or {}).get("title") or n.get("title") or n.get("identifier") or "", resolve(n.get("identifier") or "", refs)
-                out.append(f"[{title}]({key})" if key else title)
+                ident = n.get("identifier") or ""
+                title = (refs.get(ident) or {}).get("title") or n.get("title") or ident
+                out.append((_linked(ident, title, path) if n.get("isActive") is not False else None) or f"`{title}`")
             case "link":
                 out.append(f"[{n.get('title') or n.get('destination') or ''}]({n.get('destination') or ''})")
+            case "image":
+                out.append(f"![{n.get('alt') or ''}]({n.get('source') or ''})")
             case t if t in _MARKS:
-                out.append(_MARKS[t] + go(n.get("inlineContent")) + _MARKS[t])
+                out.append(_MARKS[t] + (yield _markdown(n.get("inlineContent"), refs, path)) + _MARKS[t])
             case _:
-                out.append(n.get("text") or go(n.get("inlineContent")) or go(n.get("content")))
+                out.append(n.get("text") or (yield _markdown(n.get("inlineContent"), refs, path)) or (yield _markdown(n.get("content"), refs, path)))
     return "".join(out)
 
 
@@ -265,22 +326,21 @@ def render_page(page: dict[str, Any], path: str) -> str:
     module = ((meta.get("modules") or [{}])[0] or {}).get("name")
     out = [write_yaml({"title": meta.get("title"), "framework": module, "role": meta.get("role"), "role_heading": meta.get("roleHeading"), "platforms": known or None, "path": path}).strip()]
     out += [f"# {meta['title']}"] if meta.get("title") else []
-    out.append(markdown_of(page.get("abstract"), refs).strip())
+    out.append(markdown_of(page.get("abstract"), refs, path).strip())
     for s in page.get("primaryContentSections") or []:
         if s.get("kind") == "declarations":
             code = [("swift" if not d.get("languages") else d["languages"][0], "".join(t.get("text") or "" for t in d.get("tokens") or [])) for d in s.get("declarations") or []]
             out.append("\n\n".join(["## Declaration", *(f"```{lang}\n{text}\n```" for lang, text in code)]))
         elif s.get("kind") == "parameters":
-            out.append("\n\n".join(["## Parameters", "\n".join(f"- `{p.get('name')}`: {markdown_of(p.get('content'), refs).strip()}" for p in s.get("parameters") or [])]))
+            out.append("\n\n".join(["## Parameters", "\n".join(f"- `{p.get('name')}`: {markdown_of(p.get('content'), refs, path).strip()}" for p in s.get("parameters") or [])]))
         elif s.get("kind") != "mentions":
-            out.append(markdown_of(s.get("content"), refs).strip())
+            out.append(markdown_of(s.get("content"), refs, path).strip())
     for part, name in (("topicSections", "Topics"), ("relationshipsSections", "Relationships"), ("seeAlsoSections", "See Also")):
         if page.get(part):
             out.append(f"## {name}")
             for g in page[part]:
-                links = [f"- [{(refs.get(i) or {}).get('title') or resolve(i, refs) or i}]({resolve(i, refs) or i})" for i in g.get("identifiers") or []]
                 out += [f"### {g['title']}"] if g.get("title") else []
-                out.append("\n".join(links))
+                out.append(_listed(g.get("identifiers"), refs, path))
     return "\n\n".join(x for x in out if x) + "\n"
 
 
@@ -288,7 +348,7 @@ def _pages(payloads: pd.Series) -> list[dict[str, Any] | None]:
     out = []
     for p in payloads:
         try:
-            page = json.loads(p)
+            page = loads(p)
         except (TypeError, ValueError):
             page = None
         out.append(page if isinstance(page, dict) else None)
@@ -306,6 +366,24 @@ def render_pages(pages: DataFrame) -> DataFrame:
     return pages.select("key", run("key", "payload").alias("markdown"))
 
 
+def render_contents(contents: DataFrame) -> DataFrame:
+    """contents (key, payload: a JSON list of content nodes, of any depth) with their plain text and Markdown; null for what is no list."""
+    ship(contents.sparkSession)
+
+    @F.pandas_udf("text string, markdown string")
+    def run(keys: pd.Series, payloads: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k, p in zip(keys, payloads, strict=True):
+            try:
+                nodes = loads(p)
+            except (TypeError, ValueError):
+                nodes = None
+            rows.append((text_of(nodes, {}), markdown_of(nodes, {}, k).strip()) if isinstance(nodes, list) else (None, None))
+        return pd.DataFrame(rows, columns=["text", "markdown"])
+
+    return contents.withColumn("_r", run("key", "payload")).select(*contents.columns, "_r.text", "_r.markdown")
+
+
 def reference_keys(pages: DataFrame) -> DataFrame:
     """(from_key, to_key): what a crawl of DocC pages (key, payload) goes on to."""
     ship(pages.sparkSession)
@@ -342,17 +420,43 @@ def consolidate(pages: DataFrame, known: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def keys_of(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda p: _link_keys(json.loads(p)))
+        return payloads.map(lambda p: _link_keys(loads(p)))
 
     @F.pandas_udf("payload string, added long, removed long, kept long")
     def run(payloads: pd.Series, known_: pd.Series) -> pd.DataFrame:
         rows = []
         for p, ks in zip(payloads, known_, strict=True):
-            tree = json.loads(p)
+            tree = loads(p)
             counts = consolidate_links(tree, set() if ks is None else set(ks))
-            rows.append((json.dumps(tree, sort_keys=True), counts["added"], counts["removed"], counts["kept"]))
+            rows.append((dumps(tree, sort_keys=True), counts["added"], counts["removed"], counts["kept"]))
         return pd.DataFrame(rows, columns=["payload", "added", "removed", "kept"])
 
     linked = pages.select(F.col("key").alias("page"), F.explode(keys_of("payload")).alias("key")).join(known.select("key"), "key", "left_semi")
     own = linked.groupBy(F.col("page").alias("key")).agg(F.collect_set("key").alias("_known"))
     return pages.join(own, "key", "left").select("key", run("payload", "_known").alias("r")).select("key", "r.*")
+
+
+def listed_references(pages: DataFrame) -> DataFrame:
+    """(from_key, place, identifier, url): what the link sections of DocC pages (key, payload) list, in order."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("array<struct<identifier:string,url:string>>")
+    def run(payloads: pd.Series) -> pd.Series:
+        out = []
+        for page in _pages(payloads):
+            refs = (page or {}).get("references") or {}
+            idents = [i for part in ("topicSections", "relationshipsSections", "seeAlsoSections") for s in (page or {}).get(part) or [] for i in s.get("identifiers") or []]
+            out.append([{"identifier": i, "url": (refs.get(i) or {}).get("url")} for i in idents])
+        return pd.Series(out)
+
+    return pages.select(F.col("key").alias("from_key"), F.posexplode(run("payload")).alias("place", "r")).select("from_key", "place", "r.identifier", "r.url")
+
+
+def resolve_references(listed: DataFrame, rules: DataFrame) -> DataFrame:
+    """listed references with to_key: the address's own key, else by the rule (prefix, key) with the longest prefix of it, else by the
+    built-in rules for addresses, else the identifier's. Null if none knows it."""
+    own = normalize_identifier(F.col("url"))
+    rows = by_longest_prefix(listed.withColumn("_outer", F.when(own.isNull(), F.col("url"))), rules, "_outer", "_mapped")
+    # as a function of an element, so that the long expression isn't compiled once for each of its uses
+    known = F.get(F.transform(F.array("_outer"), map_url_to_key), F.lit(0))
+    return rows.withColumn("to_key", F.coalesce(own, "_mapped", known, normalize_identifier(F.col("identifier")))).drop("_outer", "_mapped")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from html import unescape
 from html.parser import HTMLParser
 from typing import Any
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
+from ..functions.trees import unwound
 from ..session import ship
 
 # Elements that break a paragraph, and those that are left out with what they hold
@@ -29,8 +30,44 @@ def _tags(names: tuple[str, ...]) -> str:
 
 
 def strip_elements(html: Column, names: tuple[str, ...] = STRIPPED) -> Column:
-    """Without the named elements (not nested in their like) and what they hold."""
-    return F.regexp_replace(html, rf"(?is)<({_tags(names)})\b[^>]*>.*?</\1\s*>", "")
+    """Without the named elements and what they hold, nested in their like or not, one name after the other.
+
+    An end tag without its element, and an element that ends itself, lose the tag alone; so do elements that never end, whose
+    content stays, with that of their like inside them. Null stays null.
+    """
+    for name in names:
+        html = F.get(F.transform(F.array(html), _without(name)), F.lit(0))
+    return html
+
+
+def _without(name: str) -> Callable[[Column], Column]:
+    """The text between tags is kept where no element of the name is open; a depth runs over the tags, and what the outermost
+    elements hold is left out as slices, so that work grows with the text."""
+    tag = rf"(?i)</?{name}(?:[\s/][^>]*)?>"
+    kind = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+    pair = lambda begin, end: F.struct(begin.alias("begin"), end.alias("end"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.array().cast("array<struct<begin:int,end:int>>").alias("cuts"))
+
+    def step(at: Column, x: Column) -> Column:
+        outside, ends = at["depth"] == 0, (at["depth"] == 1) & (x["kind"] == -1)
+        begin = F.when(outside, x["i"]).otherwise(at["begin"])
+        cuts = F.when(outside & (x["kind"] <= 0), F.array_append(at["cuts"], pair(x["i"], x["i"]))).when(ends, F.array_append(at["cuts"], pair(at["begin"], x["i"]))).otherwise(at["cuts"])
+        return F.struct(F.greatest(at["depth"] + x["kind"], F.lit(0)).alias("depth"), begin.alias("begin"), cuts.alias("cuts"))
+
+    def kept(x: Column) -> Column:
+        """Pieces from the end of a cut (or the beginning) to the beginning of the next one (or the end)."""
+        pieces, cuts = x["pieces"], x["cuts"]
+        first = lambda k: F.when(k == 0, 0).otherwise(F.get(cuts, k - 1)["end"] + 1)
+        last = lambda k: F.coalesce(F.get(cuts, k)["begin"], F.size(pieces) - 1)
+        spans = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: F.slice(pieces, first(k) + 1, last(k) - first(k) + 1))
+        return F.concat_ws("", F.flatten(spans))
+
+    def without(html: Column) -> Column:
+        tags = F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda t, i: F.struct(i.alias("i"), kind(t).alias("kind")))
+        found = F.struct(F.split(html, tag, -1).alias("pieces"), F.aggregate(tags, start, step)["cuts"].alias("cuts"))
+        return F.when(html.rlike(tag), F.get(F.transform(F.array(found), kept), F.lit(0))).otherwise(html)
+
+    return without
 
 
 def plain_text(html: Column) -> Column:
@@ -143,11 +180,18 @@ def _is(node: _Node, selector: str) -> bool:
 
 def _flat(node: _Node | str, raw: bool = False) -> str:
     """Text of a node, blocks apart."""
+    return unwound(_text(node, raw))
+
+
+def _text(node: _Node | str, raw: bool) -> Generator:
     if isinstance(node, str):
         return node
     if node.tag in STRIPPED or node.tag == "svg":
         return ""
-    inner = "".join(_flat(x, raw) for x in node.items)
+    parts = []
+    for x in node.items:
+        parts.append(x if isinstance(x, str) else (yield _text(x, raw)))
+    inner = "".join(parts)
     return f"\n\n{inner}\n\n" if node.tag in BLOCK_TAGS and not raw else inner
 
 
@@ -164,10 +208,13 @@ def to_markdown(node: _Node | str, resolve: Callable[[str], str | None] | None =
     """Markdown of a tree: code, links, emphasis, lists, definitions and headings; fences keep their white space."""
     fences: list[str] = []
 
-    def inner(n: _Node) -> str:
-        return "".join(go(x) for x in n.items)
+    def inner(n: _Node) -> Generator:
+        parts = []
+        for x in n.items:
+            parts.append(x if isinstance(x, str) else (yield go(x)))
+        return "".join(parts)
 
-    def go(n: _Node | str) -> str:
+    def go(n: _Node | str) -> Generator:
         if isinstance(n, str):
             return n
         text = lambda: " ".join(_flat(n, raw=True).split())
@@ -187,12 +234,15 @@ def to_markdown(node: _Node | str, resolve: Callable[[str], str | None] | None =
             case "em" | "i":
                 return f"*{t}*" if (t := text()) else ""
             case "ul" | "ol":
-                items = [" ".join(inner(x).split()) for x in n.items if isinstance(x, _Node) and x.tag == "li"]
+                items = []
+                for x in n.items:
+                    if isinstance(x, _Node) and x.tag == "li":
+                        items.append(" ".join((yield inner(x)).split()))
                 return "\n\n" + "\n".join(f"{f'{k}.' if n.tag == 'ol' else '-'} {x}" for k, x in enumerate((x for x in items if x), 1)) + "\n\n"
             case "dl":
                 out, term = [], ""
                 for x in (x for x in n.items if isinstance(x, _Node)):
-                    t = " ".join(inner(x).split())
+                    t = " ".join((yield inner(x)).split())
                     if x.tag == "dd":
                         out.append(f"**{term}** — {t}" if term and t else t or f"**{term}**")
                         term = ""
@@ -204,10 +254,10 @@ def to_markdown(node: _Node | str, resolve: Callable[[str], str | None] | None =
             case "h3" | "h4" | "h5" | "h6":
                 return f"\n\n{'#' * int(n.tag[1])} {t}\n\n" if (t := text()) else ""
             case t if t in BLOCK_TAGS:
-                return f"\n\n{inner(n)}\n\n"
-        return inner(n)
+                return f"\n\n{(yield inner(n))}\n\n"
+        return (yield inner(n))
 
-    out = _tidy(go(node))
+    out = _tidy(unwound(go(node)))
     for k, code in enumerate(fences):
         out = out.replace(f"\x00{k}\x00", f"```\n{code}\n```")
     return out
@@ -226,17 +276,22 @@ def parse(html: str | None, preserve: bool = False, selector: str | None = None,
     split = "h2" if any(n.tag == "h2" for n in _walk(box)) else "h3"
     parts: list[tuple[_Node | None, list]] = [(None, [])]
 
-    def cut(node: _Node) -> None:
-        """Opens a section at each heading, wherever it is nested."""
-        for x in node.items:
-            if isinstance(x, _Node) and x.tag == split:
-                parts.append((x, []))
-            elif isinstance(x, _Node) and x.tag not in STRIPPED and any(n.tag == split for n in _walk(x)):
-                cut(x)
-            else:
-                parts[-1][1].append(x)
-
-    cut(box)
+    around: set[int] = set()
+    for n in _walk(box):
+        up = n.up if n.tag == split else None
+        while up is not None and id(up) not in around:
+            around.add(id(up))
+            up = up.up
+    # sections open at each heading, wherever it is nested
+    todo: list[_Node | str] = list(reversed(box.items))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Node) and x.tag == split:
+            parts.append((x, []))
+        elif isinstance(x, _Node) and x.tag not in STRIPPED and id(x) in around:
+            todo.extend(reversed(x.items))
+        else:
+            parts[-1][1].append(x)
     sections = []
     for head, items in parts:
         piece = _Node("div", {}, None)

@@ -257,9 +257,11 @@ def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.build_index(corpus.documents(spark, sf_dir)).drop("places")
 
 
-@query("SELECT name FROM (VALUES ('quartz2d', 'coregraphics'), ('coregraphics', 'quartz2d')) t(k, name) WHERE k = 'quartz2d'")
+@query("WITH s AS (SELECT source AS canonical, lang AS alias FROM documents UNION SELECT lang, source FROM documents WHERE doc_id % 3 = 0) SELECT alias AS name FROM s WHERE canonical = 'en' UNION SELECT canonical FROM s WHERE alias = 'en'")
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.expand_synonyms(spark.createDataFrame(list(search.SYNONYMS), "canonical string, alias string"), "quartz2d")
+    """What a table of synonyms has for a name, either way: here sources and languages that occur together."""
+    d = table(spark, sf_dir, "documents")
+    return search.expand_synonyms(d.select(F.col("source").alias("canonical"), F.col("lang").alias("alias")).union(d.where("doc_id % 3 = 0").select("lang", "source")), "en")
 
 
 @query(f"WITH {ROOTS_SQL} SELECT slug, display_name FROM (SELECT *, CASE WHEN slug = 'ION_2' THEN 0 WHEN lower(slug) = 'ion_2' THEN 1 WHEN contains(lower(display_name), 'ion_2') THEN 2 WHEN contains(lower(slug), 'ion_2') THEN 3 END AS r FROM roots) WHERE r IS NOT NULL ORDER BY r, slug LIMIT 1")

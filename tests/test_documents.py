@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docengine.functions import trees, urls
 from docengine.operators import docc, graph, html, maintenance, markdown
 from docengine.operators.client_search import build, query_terms
 from docengine.operators.client_search import search as title_search
@@ -87,7 +88,8 @@ def test_docc(spark):
     for _ in range(600):
         node["inlineContent"] = [{"type": "strong", "inlineContent": []}]
         node = node["inlineContent"][0]
-    assert docc.text_of([deep], {}) == "\n"
+    node["inlineContent"] = [{"type": "text", "text": "x"}]
+    assert docc.text_of([deep], {}) == "x\n" and docc.markdown_of([deep], {}).count("*") == 2400
     assert docc.is_payload(json.dumps(DOCC)) and not docc.is_payload("x") and not docc.is_payload("[]")
     assert docc.nav_keys({"interfaceLanguages": {"swift": [{"path": "/documentation/a", "children": [{"type": "groupMarker", "title": "x"}, {"path": "/documentation/a/b"}]}]}}) == ["a", "a/b"]
     tree = [{"type": "reference", "_resolvedKey": "gone"}, {"type": "link", "destination": "https://developer.apple.com/documentation/a/b"}, {"x": {"type": "reference", "_resolvedKey": "a"}}]
@@ -199,3 +201,107 @@ def test_package_is_sent_once(spark):
     session.ship(spark)
     session.ship(spark)
     assert spark.range(10).groupBy().sum().first()[0] == 45
+
+
+def nested(levels: int) -> str:
+    return '[{"type":"strong","inlineContent":' * levels + '[{"type":"text","text":"a\\u00e9\\n"}]' + "}]" * levels
+
+
+def test_trees_of_any_depth(spark):
+    import random
+
+    chance = random.Random(7)
+
+    def tree(depth):
+        kind = chance.randrange(3) if depth else 2
+        if kind == 0:
+            return [tree(depth - 1) for _ in range(chance.randrange(4))]
+        if kind == 1:
+            return {chance.choice('ab"\\é\n') * k: tree(depth - 1) for k in range(chance.randrange(4))}
+        return chance.choice([None, True, False, 0, -12, 1.5, 1e300, "", 'x"\\\u2028', "\U0001f600"])
+
+    for _ in range(200):
+        t = tree(5)
+        for text in (json.dumps(t), json.dumps(t, indent=1, ensure_ascii=False)):
+            assert trees.unwound(trees._document(text)) == t
+    for bad in ("", "[", "[1,", "[1 2]", '{"a" 1}', "{1:2}", "[1]]", '{"a":1,}', "nul", '"a', "01"):
+        with pytest.raises(ValueError):
+            trees.unwound(trees._document(bad))
+    deep = trees.loads(nested(50_000))
+    assert docc.text_of(deep, {}) == "aé\n" and docc.markdown_of(deep, {}).count("*") == 200_000
+    assert trees.loads(trees.dumps(deep, sort_keys=True)) is not None and trees.dumps(deep).replace(" ", "") == nested(50_000)
+    page = '{"metadata":{"title":"T"},"primaryContentSections":[{"kind":"content","content":' + nested(5_000) + "}]}"
+    rows = spark.createDataFrame([("a/b", page), ("c", None), ("d", "[")], "key string, payload string")
+    assert docc.normalize_pages(rows).select(F.explode("sections").alias("s")).select("s.content_text").collect()[0][0] == "aé"
+    assert {r["key"]: r["markdown"] and r["markdown"].count("*") for r in docc.render_pages(rows).collect()} == {"a/b": 20_000, "c": None, "d": None}
+    assert [tuple(r) for r in docc.render_contents(spark.createDataFrame([("a", "{}"), ("b", None), ("c", "[]")], "key string, payload string")).select("text", "markdown").collect()] == [(None, None), (None, None), ("", "")]
+    many = "<main>" + "<div>" * 20_000 + "<h2>H</h2>deep" + "</div>" * 20_000 + "</main>"
+    assert html.parse(many)["sections"] == [{"heading": "H", "content": "deep"}] and html.to_markdown(html._Tree(many).root) == "H\n\ndeep"
+
+
+def test_links_of_a_page(spark):
+    for source, target, way in (("a/b", "a/c", "c.md"), ("a/b", "a/b", "b.md"), ("a/b/c", "a", "../../a.md"), ("a", "x/y", "x/y.md"), ("a/b", "a/b/c", "b/c.md"), ("", "a/b", "a/b.md")):
+        assert docc.relative(source, target) + ".md" == way
+    pairs = [("a/b", "a/c"), ("a/b", "a/b"), ("a/b/c", "a"), ("a", "x/y"), ("a/b", "a/b/c"), ("p/q/r", "p/x/r"), ("", "a/b")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(urls.relative_path(F.col("a"), F.col("b"))).collect()] == [docc.relative(*p) for p in pairs]
+    refs = {"doc://x/documentation/Kit/View": {"title": "View"}}
+    nodes = [{"type": "reference", "identifier": "doc://x/documentation/Kit/View"}, {"type": "reference", "identifier": "doc://x/documentation/Kit/View", "isActive": False}, {"type": "reference", "identifier": "https://x.org"}, {"type": "image", "alt": "i", "source": "s.png"}, {"type": "strikethrough", "inlineContent": [{"type": "text", "text": "t"}]}]
+    assert docc.markdown_of(nodes, refs, "kit/app") == "[View](view.md)`View``https://x.org`![i](s.png)~~t~~"
+    assert docc.markdown_of([{"type": "links", "items": ["doc://x/documentation/Kit/View", "https://x.org"]}], refs, "other") == "- [View](kit/view.md)\n- https://x.org\n\n"
+
+
+def test_external_references(spark):
+    rules = spark.createDataFrame([("x.org", "site"), ("x.org/a", "one"), ("x.org/a/b/", "two"), ("x.org/a/b", "zwei"), ("y.org/deep/er/path", "y"), (None, "n"), ("z.org", None)], "prefix string, key string")
+    want = {
+        "https://X.org/a/b/C?q#f": "two/C", "https://x.org/a/bc": "one/bc", "https://x.org/": "site", "https://x.org": "site", "https://x.org/a/b//c/": "two/c", "https://x.org/other": "site/other",
+        "https://y.org/deep/er": None, "https://y.org/deep/er/path/z": "y/z", "https://z.org/a": None, "x.org/a": None, "": None, None: None, "https://x.org/a/" + "s/" * 3000: "one/" + "/".join("s" * 3000),
+    }
+    links = spark.createDataFrame([(i, u) for i, u in enumerate([*want, *want])], "i int, url string")
+    rows = urls.by_longest_prefix(links, rules).collect()
+    assert len(rows) == 2 * len(want) and all(r["mapped"] == want[r["url"]] for r in rows)
+    assert urls.by_longest_prefix(links, rules.limit(0)).where("mapped IS NOT NULL").count() == 0 and urls.by_longest_prefix(links.limit(0), rules).count() == 0
+    page = {"topicSections": [{"title": "G", "identifiers": ["i1", "doc://o/documentation/K/b", "https://n.org/x", "i2", "gone"]}], "references": {"i1": {"url": "https://x.org/a/q"}, "doc://o/documentation/K/b": {"url": "/documentation/K/B"}, "https://n.org/x": {"url": "https://n.org/x"}, "i2": {"url": "https://developer.apple.com/videos/play/wwdc2024/10001"}}}
+    pages = spark.createDataFrame([("k/a", json.dumps(page)), ("bad", "["), ("null", None)], "key string, payload string")
+    listed = docc.resolve_references(docc.listed_references(pages), rules).orderBy("place").collect()
+    assert [r["to_key"] for r in listed] == ["one/q", "k/b", None, "wwdc/wwdc2024-10001", "gone"]
+    near = docc.normalize_pages(pages).where("document.key = 'k/a'").select(F.explode("relationships").alias("r")).select("r.to_key", "r.sort_order").collect()
+    assert [tuple(r) for r in near] == [("i1", 0), ("k/b", 1), ("wwdc/wwdc2024-10001", 2), ("gone", 3)]
+
+
+def plainly_without(text: str, name: str) -> str:
+    """The same by a scan with a counter."""
+    import re
+
+    tags = list(re.finditer(rf"(?i)</?{name}(?:[\s/][^>]*)?>", text))
+    cuts, depth, begin = [], 0, 0
+    for m in tags:
+        closing, alone = m[0].startswith("</"), m[0].endswith("/>")
+        if closing and depth == 1:
+            cuts.append((begin, m.end()))
+        elif depth == 0 and (closing or alone):
+            cuts.append(m.span())
+        elif not closing and not alone and depth == 0:
+            begin = m.start()
+        depth = max(0, depth + (0 if alone and not closing else -1 if closing else 1))
+    if depth:
+        cuts += [m.span() for m in tags if m.start() >= begin]
+    out, at = [], 0
+    for a, b in cuts:
+        out.append(text[at:a])
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def test_elements_are_balanced(spark):
+    import random
+
+    chance = random.Random(11)
+    pieces = ["<nav>", "</nav>", "<NAV a='b'>", "</nav >", "<nav/>", "a", "b c", "<navy>", "</div>", "\n", "<footer>", "</footer>"]
+    texts = ["".join(chance.choice(pieces) for _ in range(chance.randrange(14))) for _ in range(400)] + ["", "<nav>" * 3000 + "x" + "</nav>" * 3000 + "y", "z<nav>" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = [r[0] for r in df.select("i", html.strip_elements(F.col("t"), ("nav",)).alias("s")).orderBy("i").select("s").collect()]
+    assert got[-1] is None
+    assert got[:-1] == [plainly_without(t, "nav") for t in texts]
+    both = df.select("i", html.strip_elements(F.col("t"), ("nav", "footer")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in both][:-1] == [plainly_without(plainly_without(t, "nav"), "footer") for t in texts]
