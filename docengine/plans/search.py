@@ -13,6 +13,7 @@ from ..functions.identifiers import detect_intent, high_signal_token, prune_stop
 from ..functions.text import snippet
 from ..model import RESULT_COLUMNS
 from ..operators import filters, ranking, search, semantic
+from .deadline import Deadline, Late
 
 #: Rows that a page's last steps on the driver are given at most.
 WINDOW = 300
@@ -50,13 +51,24 @@ class Answer:
     intent: tuple[str, float] = ("general", 0.5)
     relaxed: str | None = None
     has_more: bool = False
+    missing: list[str] = field(default_factory=list)
 
+    @property
+    def partial(self) -> bool:
+        """Whether tiers are missing that the deadline cut off."""
+        return bool(self.missing)
 
-def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), limit: int = 100, offset: int = 0, fuzzy: bool = True, deep: bool = True, eager: bool = True, fast: bool = False, rrf: bool = False, lam: float = 0.7) -> Answer:
-    """One page of a search. Filters hold before any limit; tiers run in order until the window is full."""
+
+def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), limit: int = 100, offset: int = 0, fuzzy: bool = True, deep: bool = True, eager: bool = True, fast: bool = False, rrf: bool = False, lam: float = 0.7, seconds: float | None = None) -> Answer:
+    """One page of a search. Filters hold before any limit; tiers run in order until the window is full.
+
+    The strict tiers always run to their end. What lies deeper (fuzzy titles, bodies, meaning) is cancelled once `seconds` have passed
+    since the search began; the answer is then made of the others and names those that are missing.
+    """
     q = query.strip()
     if not q:
         return Answer()
+    deadline = Deadline(corpus.docs.sparkSession, seconds)
     window = min(max(limit, 1) + max(offset, 0), WINDOW)
     frameworks = list(f.frameworks)
     if frameworks and corpus.roots is not None and (root := filters.resolve_root(corpus.roots, frameworks[0]).first()):
@@ -67,6 +79,7 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
     docs = filters.apply(corpus.docs, f)
     rows: list[dict[str, Any]] = []
     seen: set[str] = set()
+    missing: list[str] = []
 
     def add(df: DataFrame, quality: str | None, extra: Sequence[str] = ()) -> int:
         before = len(rows)
@@ -77,6 +90,13 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
                 rows.append(d | {"match_quality": quality or search.TIERS[d["tier"]]})
         return len(rows) - before
 
+    def deeper(name: str, work: Callable[[], Any], otherwise: Any = None) -> Any:
+        try:
+            return deadline.run(work)
+        except Late:
+            missing.append(name)
+            return otherwise
+
     add(search.title_exact(docs, q, window), "exact")
     if not (fast and len(rows) >= window):
         n = add(search.full_text(docs, corpus.postings, corpus.stats, q, window), None, ("tier",))
@@ -84,11 +104,11 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
         if not (fast and (n >= window or (narrowed and rows))):
             add(search.substring(docs, q, window, corpus.grams), "substring")
     if len(rows) < 5 and len(q) >= 4 and fuzzy:
-        near = search.fuzzy_by_trigrams(docs, corpus.grams, q, window) if corpus.parts is None else search.fuzzy(docs, corpus.parts, q, window)
-        add(near, "fuzzy", ("distance",))
+        near = lambda: search.fuzzy_by_trigrams(docs, corpus.grams, q, window) if corpus.parts is None else search.fuzzy(docs, corpus.parts, q, window)
+        deeper("fuzzy", lambda: add(near(), "fuzzy", ("distance",)))
     if corpus.body is not None and deep and (len(rows) < window or not eager):
         hits = search.match(corpus.body, corpus.body_stats, search.parse(q), {"body": 1.0})
-        add(docs.join(hits, "id").orderBy(F.col("score").desc(), "id").limit(window), "body")
+        deeper("body", lambda: add(docs.join(hits, "id").orderBy(F.col("score").desc(), "id").limit(window), "body"))
     relaxed = None
     if not rows and len(q) >= 4 and '"' not in q and len(words := tokenize(q)) >= 3:
         kept = prune_stopwords(words)
@@ -105,9 +125,9 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
     if rows:
         rows = _scored(corpus, rows, q, intent[0])
     if corpus.chunks is not None and corpus.embed is not None and not fast:
-        rows = _fused(corpus, docs, rows, q, window, rrf, lam)
+        rows = deeper("semantic", lambda: _fused(corpus, docs, rows, q, window, rrf, lam), rows)
     page = rows[offset : offset + limit]
-    return Answer(_enriched(corpus, page, q), len(rows), intent, relaxed, len(rows) >= offset + limit and len(page) == limit)
+    return Answer(_enriched(corpus, page, q), len(rows), intent, relaxed, len(rows) >= offset + limit and len(page) == limit, missing)
 
 
 def _scored(corpus: Corpus, rows: list[dict[str, Any]], q: str, intent: str) -> list[dict[str, Any]]:
