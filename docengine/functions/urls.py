@@ -34,7 +34,14 @@ def url_path(url: Column) -> Column:
 
 
 def map_url_to_key(url: Column) -> Column:
-    """The key of the document that a web address stands for; null if no rule knows it."""
+    """The key of the document that a web address stands for; null if no rule knows it.
+
+    The rules are a function of an element, so that their long expression is no part of what is compiled for a whole stage.
+    """
+    return F.get(F.transform(F.array(url), _key_of), F.lit(0))
+
+
+def _key_of(url: Column) -> Column:
     host, path = url_host(url), url_path(url)
     bare = F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", "")
     swift = host.rlike(r"^(www\.)?swift\.org$")

@@ -104,6 +104,18 @@ def pages_of_root(pages: DataFrame, roots: DataFrame) -> DataFrame:
     return pages.where("status = 'active'").join(roots.select("root_id", "slug", "display_name"), "root_id")
 
 
+def requested_pages(pages: DataFrame, roots: DataFrame, slugs: Sequence[str] | None = None, sources: Sequence[str] | None = None) -> DataFrame:
+    """Pages, active or not, of the roots and of the source types that are asked for; None asks for all, an empty list for none.
+
+    Pages have their root's slug and source type; pages without a root are of no slug and no source type.
+    """
+    rows = pages.join(roots.select("root_id", "slug", "source_type"), "root_id", "left")
+    for column, wanted in (("slug", slugs), ("source_type", sources)):
+        if wanted is not None:
+            rows = rows.where(F.col(column).isin(*wanted)) if wanted else rows.where("false")
+    return rows
+
+
 def scope_groups(docs: DataFrame, label: Column) -> DataFrame:
     """Groups of a scope's listing: (label, count, first title), Other for no label."""
     return docs.groupBy(F.coalesce(label, F.lit("Other")).alias("label")).agg(F.count("*").alias("count"), F.min("title").alias("first_title"))

@@ -457,6 +457,4 @@ def resolve_references(listed: DataFrame, rules: DataFrame) -> DataFrame:
     built-in rules for addresses, else the identifier's. Null if none knows it."""
     own = normalize_identifier(F.col("url"))
     rows = by_longest_prefix(listed.withColumn("_outer", F.when(own.isNull(), F.col("url"))), rules, "_outer", "_mapped")
-    # as a function of an element, so that the long expression isn't compiled once for each of its uses
-    known = F.get(F.transform(F.array("_outer"), map_url_to_key), F.lit(0))
-    return rows.withColumn("to_key", F.coalesce(own, "_mapped", known, normalize_identifier(F.col("identifier")))).drop("_outer", "_mapped")
+    return rows.withColumn("to_key", F.coalesce(own, "_mapped", map_url_to_key(F.col("_outer")), normalize_identifier(F.col("identifier")))).drop("_outer", "_mapped")

@@ -595,6 +595,15 @@ def pages_of_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_stats.pages_of_root(corpus.pages(spark, sf_dir), corpus.roots(spark, sf_dir)).select("path", "slug", "display_name")
 
 
+@query(f"WITH {ROOTS_SQL}, {PAGES_SQL} SELECT path, slug, kind AS source_type, status FROM pages_ JOIN roots USING (root_id) WHERE slug <> (SELECT min(slug) FROM roots) AND kind IN (SELECT kind FROM roots GROUP BY kind ORDER BY kind LIMIT 2)")
+def requested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all roots but the first one, and of two source types; there are as many names as roots."""
+    roots = corpus.roots(spark, sf_dir).withColumnRenamed("kind", "source_type")
+    slugs = sorted(r[0] for r in roots.select("slug").distinct().collect())
+    kinds = sorted(r[0] for r in roots.select("source_type").distinct().collect())
+    return corpus_stats.requested_pages(corpus.pages(spark, sf_dir), roots, slugs[1:], kinds[:2]).select("path", "slug", "source_type", "status")
+
+
 @query(f"WITH {ROOTS_SQL}, {PAGES_SQL} SELECT path, doc_kind FROM pages_ JOIN roots USING (root_id) WHERE slug = 'nation_3' AND status = 'active' ORDER BY path LIMIT 40")
 def browse_root_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.lookup import browse

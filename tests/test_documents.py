@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docengine.functions import trees, urls
-from docengine.operators import docc, graph, html, maintenance, markdown
+from docengine.operators import corpus_stats, docc, graph, html, maintenance, markdown
 from docengine.operators.client_search import build, query_terms
 from docengine.operators.client_search import search as title_search
 from docengine.plans import sync
@@ -305,3 +305,12 @@ def test_elements_are_balanced(spark):
     assert got[:-1] == [plainly_without(t, "nav") for t in texts]
     both = df.select("i", html.strip_elements(F.col("t"), ("nav", "footer")).alias("s")).orderBy("i").collect()
     assert [r["s"] for r in both][:-1] == [plainly_without(plainly_without(t, "nav"), "footer") for t in texts]
+
+
+def test_requested_pages(spark):
+    roots = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", None)], "root_id int, slug string, source_type string")
+    pages = spark.createDataFrame([(10, 1), (20, 2), (21, 2), (30, 3), (90, 9), (91, None)], "page_id int, root_id int")
+    ask = lambda *a: sorted(r["page_id"] for r in corpus_stats.requested_pages(pages, roots, *a).collect())
+    assert ask() == [10, 20, 21, 30, 90, 91] and ask(["a", "b"]) == [10, 20, 21] and ask(["a", "b"], ["y", "z"]) == [20, 21]
+    assert ask(None, ["x"]) == [10] and ask([]) == [] and ask(["c"], None) == [30] and ask(["c"], ["x"]) == []
+    assert corpus_stats.requested_pages(pages.limit(0), roots, ["a"]).count() == 0
