@@ -225,14 +225,16 @@ def index_stats(docs: DataFrame, fields: Sequence[str] = tuple(FIELDS)) -> DataF
     return docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
 
 
-def _any(tests: Sequence[Column]) -> Column:
+def any_of(tests: Sequence[Column]) -> Column:
+    """Whether one of the tests holds."""
     out = tests[0]
     for t in tests[1:]:
         out = out | t
     return out
 
 
-def _tests(group: Group) -> list[Column]:
+def tests_of(group: Group) -> list[Column]:
+    """Tests of a posting's term, one for each of a group's alternatives."""
     return [F.startswith("term", F.lit(p)) for p in group.prefixes] + [F.col("term") == e for e in group.exact]
 
 
@@ -259,7 +261,7 @@ def _placed_hits(postings: DataFrame, fields: dict[str, float], g: int, group: G
             hits.append(reduce(F.array_intersect, others, F.col(begins[i])))
         hit = reduce(F.array_union, hits)
     else:
-        rows = postings.where(_any(_tests(group))).groupBy("id", "length").agg(F.flatten(F.collect_list("places")).alias("at"))
+        rows = postings.where(any_of(tests_of(group))).groupBy("id", "length").agg(F.flatten(F.collect_list("places")).alias("at"))
         hit = F.col("at")
     if group.fields:
         numbers = [list(fields).index(name) for name in group.fields if name in fields]
@@ -280,9 +282,9 @@ def match(postings: DataFrame, stats: tuple[int, float], query: Query, fields: d
     loose = [(g, group) for g, group in enumerate(query.groups) if not group.placed]
     per = None
     if loose:
-        tests = {g: _tests(group) for g, group in loose}
-        fits = [F.when(_any(t), F.lit(g)) for g, t in tests.items()]
-        rows = postings.where(_any([x for t in tests.values() for x in t])).withColumn("g", F.explode(F.array_compact(F.array(*fits))))
+        tests = {g: tests_of(group) for g, group in loose}
+        fits = [F.when(any_of(t), F.lit(g)) for g, t in tests.items()]
+        rows = postings.where(any_of([x for t in tests.values() for x in t])).withColumn("g", F.explode(F.array_compact(F.array(*fits))))
         per = rows.groupBy("g", "id", "length").agg(F.sum("tf").alias("tf"))
     for g, group in enumerate(query.groups):
         if group.placed:
@@ -290,8 +292,17 @@ def match(postings: DataFrame, stats: tuple[int, float], query: Query, fields: d
             per = hits if per is None else per.unionByName(hits)
     df = per.groupBy("g").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    hits = per.join(F.broadcast(df), "g").groupBy("id").agg(F.sum(part).alias("score"), F.collect_set("g").alias("groups"))
+    return combine(per.join(F.broadcast(df), "g").withColumn("idf", idf), mean, query)
+
+
+def share(tf: Column, length: Column, mean: float) -> Column:
+    """What a term's frequency in a document of some length brings, of K1 + 1 at most."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
+
+
+def combine(per: DataFrame, mean: float, query: Query) -> DataFrame:
+    """(id, score) of documents that the query fits, from rows (g, id, length, tf, idf) of its groups."""
+    hits = per.groupBy("id").agg(F.sum(F.col("idf") * share(F.col("tf"), F.col("length"), mean)).alias("score"), F.collect_set("g").alias("groups"))
 
     def holds(tree: int | tuple) -> Column:
         if isinstance(tree, int):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import detect_intent, high_signal_token, prune_stopwords, tokenize
 from ..functions.text import snippet
 from ..model import RESULT_COLUMNS
-from ..operators import filters, ranking, search, semantic
+from ..operators import bounded, filters, ranking, search, semantic
 from .deadline import Deadline, Late
 
 #: Rows that a page's last steps on the driver are given at most.
@@ -30,6 +30,7 @@ class Corpus:
     parts: DataFrame | None = None
     body: DataFrame | None = None
     body_stats: tuple[int, float] = (0, 1.0)
+    body_blocks: DataFrame | None = None
     synonyms: DataFrame | None = None
     chunks: DataFrame | None = None
     embed: Callable[[str], Sequence[float]] | None = None
@@ -41,7 +42,15 @@ def build(docs: DataFrame, body: bool = True, **more: Any) -> Corpus:
     """Stores the indexes of a corpus, each sorted by its term."""
     postings, stats = search.store(docs)
     own, own_stats = search.store(docs, {"body": 1.0}) if body else (None, (0, 1.0))
-    return Corpus(docs, postings, stats, search.store_trigrams(docs), search.store_parts(docs), own, own_stats, **more)
+    blocks = bounded.store_blocks(own, own_stats) if body else None
+    return Corpus(docs, postings, stats, search.store_trigrams(docs), search.store_parts(docs), own, own_stats, blocks, **more)
+
+
+def _in_bodies(corpus: Corpus, docs: DataFrame, query: search.Query, limit: int) -> DataFrame:
+    """(id, score) of the best bodies: from blocks, if there are any and places don't matter."""
+    if corpus.body_blocks is None or any(g.placed for g in query.groups):
+        return search.match(corpus.body, corpus.body_stats, query, {"body": 1.0})
+    return bounded.best(corpus.body_blocks, corpus.body_stats, query, limit, docs).rows
 
 
 @dataclass
@@ -107,8 +116,7 @@ def ranked(corpus: Corpus, query: str, f: filters.Filters = filters.Filters(), l
         near = lambda: search.fuzzy_by_trigrams(docs, corpus.grams, q, window) if corpus.parts is None else search.fuzzy(docs, corpus.parts, q, window)
         deeper("fuzzy", lambda: add(near(), "fuzzy", ("distance",)))
     if corpus.body is not None and deep and (len(rows) < window or not eager):
-        hits = search.match(corpus.body, corpus.body_stats, search.parse(q), {"body": 1.0})
-        deeper("body", lambda: add(docs.join(hits, "id").orderBy(F.col("score").desc(), "id").limit(window), "body"))
+        deeper("body", lambda: add(docs.join(_in_bodies(corpus, docs, search.parse(q), window), "id").orderBy(F.col("score").desc(), "id").limit(window), "body"))
     relaxed = None
     if not rows and len(q) >= 4 and '"' not in q and len(words := tokenize(q)) >= 3:
         kept = prune_stopwords(words)

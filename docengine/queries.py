@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import corpus
 from .corpus import CORPUS_SQL, CRAWL_SQL, EDGES_SQL, LOG_SQL, PAGES_SQL, ROOTS_SQL, SECTIONS_SQL, table
 from .functions import identifiers, stemming, text, urls, versions
-from .operators import chunks, client_search, corpus_stats, filters, graph, html, maintenance, ranking, search, semantic
+from .operators import bounded, chunks, client_search, corpus_stats, filters, graph, html, maintenance, ranking, search, semantic
 from .plans import search as plan
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401 - the names that users of this module know
 from .session import shared_dir
@@ -74,6 +74,17 @@ def search_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.match(postings, stats, search.parse(Q)).orderBy(F.col("score").desc(), "id").limit(50)
 
 
+@query(f"WITH {CORPUS_SQL}, {_postings_sql({'body': 1.0})}, {_match_sql(["term = 'thereand'", "starts_with(term, 'les')"], 1)} SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 50")
+def search_body_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best bodies from the blocks of postings that can hold them."""
+    _, postings, stats = _index(spark, sf_dir, {"body": 1.0})
+    key = (spark.sparkContext.applicationId, sf_dir, "body blocks")
+    if key not in _STORED:
+        _STORED[key] = (bounded.store_blocks(postings, stats),)
+    some = search.Query((search.Group((), ("thereand",)), search.Group(("les",))), any=True)
+    return bounded.best(_STORED[key][0], stats, some, 50).rows
+
+
 @query(f"WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS)}, {_match_sql(["term = 'thereand'", "term = 'erenst'", "term = 'les'"], 1)} SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 50")
 def relax_pruned_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, postings, stats = _index(spark, sf_dir)
