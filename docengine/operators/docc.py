@@ -221,6 +221,15 @@ def nav_keys(index: dict[str, Any], language: str = "swift") -> list[str]:
     return list(out)
 
 
+def nav_pages(payload: str | None, language: str = "swift") -> list[str]:
+    """The same of a payload; one that isn't a navigation tree lists nothing."""
+    try:
+        index = loads(payload or "")
+    except ValueError:
+        return []
+    return nav_keys(index, language) if isinstance(index, dict) and isinstance(index.get("interfaceLanguages"), dict) else []
+
+
 def consolidate_links(node: Any, known: set[str]) -> dict[str, int]:
     """Resolved keys in a content tree that aren't known are taken out, in place; links get theirs. Counts added, removed, kept."""
     counts = {"added": 0, "removed": 0, "kept": 0}

@@ -1026,4 +1026,4 @@ def embed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", F.round("score", 6).alias("score"))
 
 
-from . import content_queries  # noqa: E402,F401 - registers its queries
+from . import content_queries, source_queries  # noqa: E402,F401 - they register their queries
