@@ -112,11 +112,15 @@ def without_stopwords(tokens_: Column) -> Column:
 
 
 def high_signal(tokens_: Column) -> Column:
-    """high_signal_token, of a column; null if there is none."""
-    camel = F.get(F.filter(tokens_, lambda t: t.rlike("[a-z][A-Z]")), F.lit(0))
-    long = F.filter(tokens_, lambda t: F.length(t) >= 4)
-    most = F.array_max(F.transform(long, lambda t: F.length(t)))
-    return F.coalesce(camel, F.get(F.filter(long, lambda t: F.length(t) == most), F.lit(0)))
+    """high_signal_token, of a column; null if there is none. The tokens are gone through once: a value of all of them within a lambda
+    would be worked out anew for each."""
+    none = F.lit(None).cast("string")
+
+    def step(at: Column, t: Column) -> Column:
+        longer = F.length(t) > F.coalesce(F.length(at["long"]), F.lit(3))
+        return F.struct(F.coalesce(at["camel"], F.when(t.rlike("[a-z][A-Z]"), t)).alias("camel"), F.when(longer, t).otherwise(at["long"]).alias("long"))
+
+    return F.aggregate(tokens_, F.struct(none.alias("camel"), none.alias("long")), step, lambda at: F.coalesce(at["camel"], at["long"]))
 
 
 def trigram_query(query: Column) -> Column:
