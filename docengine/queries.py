@@ -982,7 +982,7 @@ def dedup_first_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.catalog import scope_label as run
 
-    return corpus.documents(spark, sf_dir, False).select("id", run(F.col("source_type"), F.col("key"), F.col("title"), F.col("source_metadata")).alias("label"))
+    return corpus.documents(spark, sf_dir, False).select("id", run(F.col("source_type"), F.col("key"), F.col("source_metadata")).alias("label"))
 
 
 @query(f"WITH {SECTIONS_SQL}, l AS (SELECT *, CASE WHEN section_kind = 'declaration' THEN 'Declaration' ELSE coalesce(nullif(heading, ''), 'Overview') END AS label FROM sections WHERE section_kind <> 'abstract' AND trim(content_text) <> '') SELECT document_id, sort_order, replace(lower(label), ' ', '-') AS anchor, label FROM l")
