@@ -146,6 +146,8 @@ class Sessions(SourceAdapter):
         def one(key: str, text: str) -> dict[str, Any]:
             year = re.search(r"wwdc(\d{4})", key)
             meta = json.dumps({"year": int(year[1])}) if year else None
+            if text is None:  # a session that is known, without its page or transcript
+                return {"document": document(source_type="wwdc", key=key, kind="article", role="session", source_metadata=meta), "sections": [], "relationships": []}
             if text.startswith("\0"):
                 parts = [{"section_kind": "discussion", "heading": "Transcript", "content_text": text[1:], "content_json": None, "sort_order": 0}]
                 return {"document": document(source_type="wwdc", key=key, kind="article", role="session", source_metadata=meta), "sections": parts, "relationships": []}
