@@ -15,9 +15,8 @@ exactly, the strongest of each set first, and the rest as far as their ends are
 still apart from the largest part of theirs, which are few where many are near each other, meet all its blocks.
 
 The result is the join in the form of pairs of representatives and membership: a representative stands for the
-rows of one text; pairs are exact links that connect all linked texts of a class as a tree, not every pair
-of it, which would grow with the square of a class. A link is only lost if no run finds it and no other
-links connect its ends.
+rows of one text; pairs are exact links that connect all linked texts of a class as a tree. Every link is counted with the rows it stands for:
+blocks of a class all meet for it. A link is only lost if no run finds it and no other links connect its ends.
 """
 
 from __future__ import annotations
@@ -395,20 +394,21 @@ _FIRST = "none boolean, id long, tie long"
 
 
 def verify(members: DataFrame) -> DataFrame:
-    """(cid, above, near_id, root, rep) of sets that are linked exactly to others of their group, from (comp, i, j, cid, first, side, grams).
+    """(cid, above, near_id, root, linked, rep) of sets that are linked exactly to others of their group, from (comp, i, j, cid, first, side, grams, copies).
 
     In a group (comp, i, j), sets of side 0 are compared with each other, or with those of side 1 where there are any. The links
     of a group are a forest that connects all its linked sets: `above` is the set that one hangs from (null for a tree's root),
-    near_id that set's smallest id, root the tree's smallest cid, rep the smallest `first` in the tree.
+    near_id that set's smallest id, root the tree's smallest cid, rep the smallest `first` in the tree. linked counts all links of the set
+    in the group, not only those of the tree: the copies of all sets that it is linked to.
     """
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-    names = ["cid", "above", "near_id", "root", "none", "id", "tie"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    names = ["cid", "above", "near_id", "root", "linked", "none", "id", "tie"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
             rows.clear()
             return batch
 
@@ -417,32 +417,39 @@ def verify(members: DataFrame) -> DataFrame:
             at = sorted(own)
             sets = [np.frombuffer(own[c][6], np.uint64) for c in at]
             side = np.array([c[1] for c in at])
+            copies, linked = np.array([own[c][7] for c in at]), np.zeros(len(at), np.int64)
             links = []
             if len(at) == 2 and not side.any():
                 common = len(np.intersect1d(*sets, assume_unique=True))
                 links = [(0, 1)] if DENOMINATOR * common >= NUMERATOR * (len(sets[0]) + len(sets[1]) - common) else []
+                linked += copies[::-1] * len(links)
             elif len(at) > 1:
                 # a set that is on both sides is one vertex: its first place
                 place = {c: k for k, (c, _) in reversed(list(enumerate(at)))}
-                vertex = [place[c] for c, _ in at]
+                vertex = np.array([place[c] for c, _ in at])
                 forest, left = Forest(len(at)), np.flatnonzero(side == 0)
                 right = np.flatnonzero(side == 1) if side.any() else left
                 a, b = exact_links(sets, left, right)
-                links = [(x, y) for x, y in ((vertex[left[x]], vertex[right[y]]) for x, y in zip(a.tolist(), b.tolist(), strict=True)) if x != y and forest.join(x, y)]
+                a, b = vertex[left[a]], vertex[right[b]]
+                a, b = a[a != b], b[a != b]
+                linked += np.bincount(a, copies[b], len(at)).astype(np.int64)
+                if side.any():  # else each link is there in both directions
+                    linked += np.bincount(b, copies[a], len(at)).astype(np.int64)
+                links = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)]
             first = lambda k: own[at[k]][4]
             last, rep = None, ()
             for x, y, all_ in tree(links):
                 if all_ is not last:
                     last, rep = all_, min(((f["none"], f["id"] or 0, f["tie"]), f["id"]) for f in map(first, all_))
-                rows.append((at[x][0], None if y is None else at[y][0], None if y is None else first(y)["id"], at[all_[0]][0], rep[0][0], rep[1], rep[0][2]))
+                rows.append((at[x][0], None if y is None else at[y][0], None if y is None else first(y)["id"], at[all_[0]][0], int(linked[x]), rep[0][0], rep[1], rep[0][2]))
             if len(rows) > 10_000:
                 yield out()
         yield out()
         release()
 
-    slim = members.select("comp", "i", "j", "cid", "first", "side", "grams").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = slim.mapInArrow(run, f"cid long, above long, near_id long, root long, {_FIRST}")
-    return found.select("cid", "above", "near_id", "root", F.struct("none", "id", "tie").alias("rep"))
+    slim = members.select("comp", "i", "j", "cid", "first", "side", "grams", "copies").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    found = slim.mapInArrow(run, f"cid long, above long, near_id long, root long, linked long, {_FIRST}")
+    return found.select("cid", "above", "near_id", "root", "linked", F.struct("none", "id", "tie").alias("rep"))
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -466,7 +473,7 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(found: DataFrame, sets: DataFrame, stock: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """What connects linked sets (comp, blocks, block, cid, first, grams) of several blocks: exact links (a, b, near_id), and (cid, root) of all sets.
+    """What connects linked sets (comp, blocks, block, cid, first, grams, copies) of several blocks: exact links (a, b, near_id), and (cid, root) of all sets.
 
     found: the trees within blocks; stock: candidate links (a, b, agree) that connect each comp.
     """
@@ -502,22 +509,34 @@ def _across(found: DataFrame, sets: DataFrame, stock: DataFrame, block: int) ->
     none = sets.sparkSession.createDataFrame([], "a long, b long, near_id long")
     if not largest.isEmpty():
         apart = sets.join(part.select("cid", "root"), "cid").join(largest, "comp").withColumn("own", F.pmod(F.xxhash64("cid", F.lit("apart")), F.col("rows")).cast("int"))
-        one = apart.where("root <> main").select("comp", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "cid", "first", F.lit(0).alias("side"), "grams")
-        all_ = apart.select("comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"), "cid", "first", F.lit(1).alias("side"), "grams")
+        one = apart.where("root <> main").select("comp", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "cid", "first", F.lit(0).alias("side"), "grams", "copies")
+        all_ = apart.select("comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"), "cid", "first", F.lit(1).alias("side"), "grams", "copies")
         more = verify(one.unionByName(all_)).where("above is not null").select(F.col("cid").alias("a"), F.col("above").alias("b"), "near_id").distinct()
         extra = durable((none if extra is None else extra).unionByName(more))
         part = parts()
     return none if extra is None else extra, part.select("cid", "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, recall: float = 0.99999, detail: bool = False, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: id, class_id, copy_id, copies and near_ids.
+def _links_across(sets: DataFrame) -> DataFrame:
+    """(cid, across): the copies of all sets of other blocks that a set (comp, blocks, block, cid, first, grams, copies) is linked to.
+
+    Each block meets each other one of its comp once, as a group of bounded size: the work is that of all pairs within a comp.
+    """
+    own = sets.select("comp", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks"))).alias("j"), "blocks", "cid", "first", F.lit(0).alias("side"), "grams", "copies").where("j < blocks")
+    other = sets.where("block > 0").select("comp", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "blocks", "cid", "first", F.lit(1).alias("side"), "grams", "copies")
+    return verify(own.unionByName(other)).groupBy("cid").agg(F.sum("linked").alias("across"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, recall: float = 0.99999, detail: bool = False, bucket: int = BUCKET, block: int = BLOCK, counted: bool = True) -> DataFrame:
+    """One row per row of docs: id, class_id, copy_id, copies, near_ids and links.
 
     Words are runs without white space; texts of equal words are copies. copy_id is the smallest id of the
     text's copies, their representative, and copies their number. class_id is the smallest id in the connected component
     of links, a link being a Jaccard similarity of 0.8 or more between the n-grams of two texts. near_ids are the
     representatives of texts that the text is linked to: pairs (copy_id, near_id) that connect all linked texts
-    of a class as a tree (with a few more where a class has several blocks). Texts of fewer than n words have one n-gram, of all words; texts
+    of a class as a tree (with a few more where a class has several blocks). links is the number of all other rows that the row is
+    linked to, its copies and each row of every text with a link to its own: the exact count of pairs, which aren't expanded; without
+    `counted` there is no such column, and blocks of a class meet only as far as connecting it needs. Texts of fewer than n words have one n-gram, of all words; texts
     without words (null, empty) are similar to none and each row is a class of its own. Null ids count as
     rows, and are an id only where a text or class has no other. Repeated rows are copies of each other. Very long texts are
     hashed piece by piece. With detail, the columns tie (the hash of the text), class_key (a number of the class, null for
@@ -537,7 +556,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = candidate_links(classes.select("cid", "keys", "lanes"), bucket=bucket)
     comps = components(links).select(F.col("id").alias("cid"), F.col("root").alias("comp"))
     comps = comps.union(comps.select("comp", "comp").distinct())
-    inside = durable(classes.select("cid", "text", "first", "size").join(comps, "cid"))
+    inside = durable(classes.select("cid", "text", "first", "size", "copies").join(comps, "cid"))
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks")
     blocks = durable(inside.groupBy("comp").agg(blocks).where("blocks > 1"))
     several = not blocks.isEmpty()
@@ -545,7 +564,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = bit_map(inside, F.xxhash64("first.id"))
     again = mark_in_bit_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), F.xxhash64("id"), ids, "_may").where("_may").select("id", "text")
     sets = _sets(again, "id", "text", n).withColumnRenamed("text", "digest")
-    members = sets.join(inside, (sets.digest == inside.text) & sets.id.eqNullSafe(F.col("first.id"))).select("comp", "cid", "first", "grams")
+    members = sets.join(inside, (sets.digest == inside.text) & sets.id.eqNullSafe(F.col("first.id"))).select("comp", "cid", "first", "grams", "copies")
     if several:
         members = members.join(blocks, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         members = durable(members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
@@ -554,22 +573,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = durable(verify(members.withColumns({"i": F.col("block"), "j": F.col("block"), "side": F.lit(0)})))
 
     no_ids = F.array().cast("array<bigint>")
-    info = classes.select("cid", "text", "first", "copies").join(found.select("cid", "root", "rep", "near_id"), "cid", "left")
-    info = info.select("cid", "text", "first", "copies", F.coalesce("root", "cid").alias("root"), F.coalesce("rep", "first").alias("rep"), F.array_compact(F.array("near_id")).alias("near_ids"))
+    info = classes.select("cid", "text", "first", "copies").join(found.select("cid", "root", "rep", "near_id", "linked"), "cid", "left")
+    info = info.select("cid", "text", "first", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("root", "cid").alias("root"), F.coalesce("rep", "first").alias("rep"), F.array_compact(F.array("near_id")).alias("near_ids"))
     if several:
-        extra, parts = _across(found, members.where("blocks > 1").dropDuplicates(["cid"]), links, block)
+        sets = members.where("blocks > 1").dropDuplicates(["cid"])
+        extra, parts = _across(found, sets, links, block)
+        if counted:
+            info = info.join(_links_across(sets), "cid", "left").withColumn("links", F.col("links") + F.coalesce("across", F.lit(0))).drop("across")
         more = extra.groupBy(F.col("a").alias("cid")).agg(F.collect_set("near_id").alias("more"))
         info = info.join(parts.withColumnRenamed("root", "part"), "cid", "left").join(more, "cid", "left")
         info = info.withColumn("near_ids", F.array_union("near_ids", F.coalesce("more", no_ids))).withColumn("root", F.coalesce("part", "root")).drop("part", "more", "rep")
         info = info.join(info.groupBy("root").agg(F.min("first").alias("rep")), "root")
-    info = durable(info.select("text", F.col("root").alias("class_key"), "rep", F.col("first.id").alias("copy_id"), "copies", F.array_sort("near_ids").alias("near_ids")))
+    info = durable(info.select("text", F.col("root").alias("class_key"), "rep", F.col("first.id").alias("copy_id"), "copies", F.array_sort("near_ids").alias("near_ids"), "links"))
     discard(links, inside)
     out = attach(rows.where("worded").select("id", "tie", "text"), info, "text", "copies").withColumn("class_id", F.col("rep.id"))
     none = rows.where(~F.col("worded")).select(
-        "id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(1).cast("long").alias("copies"), no_ids.alias("near_ids"),
+        "id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(1).cast("long").alias("copies"), no_ids.alias("near_ids"), F.lit(0).cast("long").alias("links"),
         "tie", F.lit(None).cast("long").alias("class_key"), F.struct(F.col("id").isNull().alias("none"), "id", "tie").alias("rep"),
     )
-    more = ("tie", "class_key", "rep") if detail else ()
+    more = (*(("links",) if counted else ()), *(("tie", "class_key", "rep") if detail else ()))
     return out.select(*none.columns).unionByName(none).select("id", "class_id", "copy_id", "copies", "near_ids", *more).withColumnRenamed("id", id_col)
 
 
@@ -580,7 +602,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     may go are shuffled with their texts. Columns of docs may have any names. Empty input: empty result.
     """
     id_, tie, may, gone = fresh(docs.columns, "_id", "_tie", "_may", "_gone")
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, detail=True).where("class_key is not null")
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, detail=True, counted=False).where("class_key is not null")
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "tie")
     # rows of an id and text that all go, or of which one stays
     state = found.groupBy(F.col(id_col).alias(id_), F.col("tie").alias("_t")).agg(F.first(own != F.col("rep")).alias(gone), F.count("*").alias("_n"))
