@@ -6,14 +6,14 @@ from collections.abc import Callable, Generator
 from html import unescape
 from html.parser import HTMLParser
 from typing import Any
+from weakref import ref
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pieces import computed
 from ..functions.text import decode_entities
 from ..functions.trees import unwound
-from ..session import ship
 
 # Elements that break a paragraph, and those that are left out with what they hold
 BLOCK_TAGS = (
@@ -129,7 +129,13 @@ def links(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> Data
 
 class _Node:
     def __init__(self, tag: str, attrs: dict[str, str], up: "_Node | None") -> None:
-        self.tag, self.attrs, self.up, self.items = tag, attrs, up, []
+        self.tag, self.attrs, self.items = tag, attrs, []
+        # weak, so that a page's tree is freed with its root and doesn't wait for the collector of cycles
+        self._up = None if up is None else ref(up)
+
+    @property
+    def up(self) -> "_Node | None":
+        return None if self._up is None else self._up()
 
 
 class _Tree(HTMLParser):
@@ -305,24 +311,11 @@ def parse(html: str | None, preserve: bool = False, selector: str | None = None,
 
 def sections(pages: DataFrame, html: str = "html", id_col: str = "page_id", preserve: bool = False) -> DataFrame:
     """(id, title, description, sort_order, heading, content) of pages, by the parser."""
-    ship(pages.sparkSession)
     kind = "title string, description string, sections array<struct<heading:string,content:string>>"
-
-    @F.pandas_udf(kind)
-    def run(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(x, preserve) for x in column], columns=["title", "description", "sections"])
-
-    rows = pages.select(id_col, run(html).alias("p"))
-    return rows.select(id_col, "p.title", "p.description", F.posexplode("p.sections").alias("sort_order", "s")).select(id_col, "title", "description", "sort_order", "s.heading", "s.content")
+    rows = computed(pages, (html,), lambda x: parse(x, preserve), kind, (id_col,))
+    return rows.select(id_col, "title", "description", F.posexplode("sections").alias("sort_order", "s")).select(id_col, "title", "description", "sort_order", "s.heading", "s.content")
 
 
 def markdown(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> DataFrame:
     """(id, markdown) of whole pages."""
-
-    ship(pages.sparkSession)
-
-    @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: to_markdown(_Tree(x).root) if x else "")
-
-    return pages.select(id_col, run(html).alias("markdown"))
+    return computed(pages, (html,), lambda x: {"markdown": to_markdown(_Tree(x).root) if x else ""}, "markdown string", (id_col,))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pieces import computed
 from ..model import BUNDLE, DOCUMENT
 from ..operators import docc, html, markdown
 from ..session import ship
@@ -19,15 +20,7 @@ from .base import SourceAdapter, register, whole_files
 
 def _bundles(raw: DataFrame, one: Any) -> DataFrame:
     """Bundles of payloads by a function of (key, payload) to a bundle or None, in Arrow batches."""
-
-    ship(raw.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [b for k, p in zip(pdf["key"], pdf["payload"], strict=True) if (b := one(k, p)) is not None]
-            yield pd.DataFrame(out, columns=BUNDLE.names)
-
-    return raw.select("key", "payload").mapInPandas(run, BUNDLE)
+    return computed(raw, ("key", "payload"), one, BUNDLE)
 
 
 def document(**values: Any) -> dict[str, Any]:
