@@ -1,19 +1,24 @@
 """The best k of a search from the few blocks of postings that can hold them.
 
-A block has the documents of like length whose ids fall into one bucket, and is the same for all terms. It keeps the highest score
+A block has documents of like length, and is the same for all terms: those whose ids fall into one bucket (`store_blocks`, from
+postings), or those that are read together (`store`, from documents). It keeps the highest score
 that its term can bring to any of them. A document's score is no higher than what its block's terms add up to; so once k documents
 are known, blocks that can't reach the last of them aren't read. The result equals the one from all postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, durable
-from .search import K1, Query, any_of, combine, share, tests_of
+from ..session import discard, durable, ship
+from .search import K1, Query, any_of, combine, counted, listed_tokens, observed, share, tests_of, token_pieces
 
 #: Documents in a block, about.
 BLOCK = 128
@@ -22,6 +27,9 @@ FIRST = 64
 #: Half of a rounded score's last digit, and what sums of doubles may differ by.
 SLACK = 6e-7
 
+#: Places of blocks are written as differences, as those of postings.
+PLACED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#places.list.element.list.element": "false"}
+
 
 @dataclass
 class Best:
@@ -37,6 +45,49 @@ def _class_of(length: Column) -> Column:
     return F.floor(4 * F.log2(length.cast("double") + 1)).cast("long")
 
 
+def store(docs: DataFrame, fields: dict[str, float], size: int = BLOCK) -> tuple[DataFrame, tuple[int, float]]:
+    """Blocks (term, block, n, bound, ids, tfs, lengths, places) of documents' terms as a table sorted by term and block; and (n, mean length).
+
+    Blocks are made where documents are read: those of a piece are put in order of length and cut. So there is one shuffle, of
+    blocks and not of postings, and the table serves in the place of one of postings, too (`postings`).
+    """
+    ship(docs.sparkSession)
+    weights = np.array([float(w) for w in fields.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        for batch, lengths in token_pieces(batches, len(weights)):
+            order = np.argsort(sum(lengths), kind="stable")
+            batch, lengths = batch.take(pa.array(order)), [n[order] for n in lengths]
+            length = sum(lengths)
+            terms, code, row, tf, places = counted(batch, lengths, weights)
+            # a block's number: the class of its shortest length, the task, a number in the task
+            numbers = np.floor(4 * np.log2(length[::size] + 1.0)).astype(np.int64) << 48 | part << 26 | made + np.arange(-(-len(length) // size))
+            made += len(numbers)
+            block = row // size
+            begin = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]))
+            cut = np.append(begin, len(code))
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), x) for x in (batch.column(0).take(pa.array(row)), pa.array(tf), pa.array(length[row]), places)]
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(code[begin])), pa.array(numbers[block[begin]]), pa.array(np.diff(cut)), *lists], names=["term", "block", "n", "ids", "tfs", "lengths", "places"])
+
+    listed, told = observed(listed_tokens(docs, fields), fields)
+    kind = listed.schema["id"].dataType.simpleString()
+    rows = durable(listed.mapInArrow(run, f"term string, block long, n long, ids array<{kind}>, tfs array<double>, lengths array<bigint>, places array<array<bigint>>"), **PLACED)
+    stats = told.get["n"], told.get["mean"] or 1.0
+    bound = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: share(tf, length, stats[1])))
+    cut = rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    table = durable(cut.select("term", "block", "n", bound.alias("bound"), "ids", "tfs", "lengths", "places"), **PLACED)
+    discard(rows)
+    return table, stats
+
+
+def postings(blocks: DataFrame) -> DataFrame:
+    """The postings (term, id, tf, length, places) of blocks with places; blocks of other terms and columns that aren't used aren't read."""
+    rows = blocks.select("*", F.posexplode("ids").alias("_at", "id"))
+    at = lambda c: F.get(c, F.col("_at"))
+    return rows.select("term", "id", at("tfs").alias("tf"), at("lengths").alias("length"), at("places").alias("places"))
+
+
 def store_blocks(postings: DataFrame, stats: tuple[int, float], size: int = BLOCK) -> DataFrame:
     """Blocks (term, block, n, bound, ids, tfs, lengths) of an index of terms, as a table sorted by term and block.
 

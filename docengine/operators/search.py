@@ -7,17 +7,20 @@ query's few terms are. Every tier gives (id, tier, rank score); ties go by id.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import trigrams
 from ..functions.stemming import porter, stems_of
 from ..functions.text import tokens
-from ..session import discard, durable
+from ..session import discard, durable, ship
 
 # Weights of the indexed fields
 FIELDS = {"title": 10.0, "abstract": 5.0, "declaration": 3.0, "headings": 2.0, "key": 1.0}
@@ -154,11 +157,9 @@ def _boolean(marks: list[str]) -> Query | None:
 def build_index(docs: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
     """Postings (term, id, tf, length, places): tf weighed by field, length in tokens of all fields, places in order.
 
-    A document is one row, so that its terms are sorted and counted in it, without a shuffle.
+    A document is one row, so that its terms are counted where it is read, without a shuffle.
     """
-    # an outer generator: of the others, the optimizer infers a filter that would work out the terms once more for each element
-    rows = counted_terms(docs, fields).select("id", "length", F.inline_outer("terms"))
-    return rows.where("term is not null").select("term", "id", "tf", "length", "places")
+    return counted_terms(listed_tokens(docs, fields), fields)
 
 
 def _weight(place: Column, fields: dict[str, float]) -> Column:
@@ -166,35 +167,78 @@ def _weight(place: Column, fields: dict[str, float]) -> Column:
     return F.get(F.array(*[F.lit(float(w)) for w in fields.values()]), F.shiftright(place, 40).cast("int"))
 
 
-def counted_terms(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(id, length, terms): each document's terms with their weighed frequency and places, in order.
+def listed_tokens(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """(id, t0, t1, ...): the tokens of each field."""
+    return docs.select("id", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{k}") for k, c in enumerate(fields)])
 
-    Words are sorted by term and place once; a term's places are a part of the sorted array. (A column of the words' terms alone
-    would be made anew for each element.)
+
+#: Tokens that a task counts at a time, or those of one document that has more.
+COUNTED = 1 << 20
+
+
+def token_pieces(batches: Iterable[pa.RecordBatch], fields: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Listed tokens in pieces, with the number of tokens of each field; those without any token are left out."""
+    for batch in batches:
+        lengths = [pc.list_value_length(batch.column(k + 1)).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(fields)]
+        upto, a = np.cumsum(sum(lengths)), 0
+        while a < batch.num_rows:
+            before = upto[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, before + COUNTED, "right")))
+            if upto[b - 1] > before:
+                yield batch.slice(a, b - a), [n[a:b] for n in lengths]
+            a = b
+
+
+def counted(batch: pa.RecordBatch, lengths: list[np.ndarray], weights: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """A piece's terms, and its postings in order of term and row: number of the term, row, tf, places."""
+    terms = pa.concat_arrays([batch.column(k + 1).flatten() for k in range(len(weights))]).dictionary_encode()
+    row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in lengths])
+    place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + k * FIELD for k, n in enumerate(lengths)])
+    key = terms.indices.to_numpy().astype(np.int64) * batch.num_rows + row
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)), pa.int32()), pa.array(place, pa.int64()))
+    return terms.dictionary, key[begin] // batch.num_rows, key[begin] % batch.num_rows, np.add.reduceat(weights[place >> 40], begin), places
+
+
+def counted_terms(listed: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """Postings (term, id, tf, length, places) of listed tokens.
+
+    A piece of an Arrow batch at a time is counted as numbers: its postings come by term, so that they take little room in a shuffle.
     """
-    placed = lambda k: lambda t, i: F.struct(t.alias("term"), (F.lit(k * FIELD).cast("long") + i).alias("place"))
-    lists = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), placed(k)) for k, c in enumerate(fields)]
-    rows = docs.select("id", F.sort_array(F.concat(*lists)).alias("t")).select("id", F.size("t").cast("long").alias("length"), "t")
-    rows = rows.withColumn("at", F.expr("filter(transform(t, (x, i) -> if(i = 0 or get(t, i - 1).term <> x.term, i, -1)), i -> i >= 0)"))
-    rows = rows.withColumn("runs", F.expr("transform(at, (i, k) -> struct(get(t, i).term as term, transform(slice(t, i + 1, coalesce(get(at, k + 1), size(t)) - i), x -> x.place) as places))"))
-    tf = lambda x: F.aggregate(x["places"], F.lit(0.0), lambda s, p: s + _weight(p, fields))
-    return rows.select("id", "length", F.transform("runs", lambda x: F.struct(x["term"].alias("term"), tf(x).alias("tf"), x["places"].alias("places"))).alias("terms"))
+    ship(listed.sparkSession)
+    weights = np.array([float(w) for w in fields.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lengths in token_pieces(batches, len(weights)):
+            terms, code, row, tf, places = counted(batch, lengths, weights)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(code)), batch.column(0).take(pa.array(row)), pa.array(tf), pa.array(sum(lengths)[row]), places], names=["term", "id", "tf", "length", "places"])
+
+    kind = listed.schema["id"].dataType.simpleString()
+    return listed.mapInArrow(run, f"term string, id {kind}, tf double, length long, places array<bigint>")
 
 
 #: How indexes are written: the second version of Parquet's pages writes numbers as differences.
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#places.list.element": "false"}
 
 
+def observed(listed: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, Observation]:
+    """Listed tokens with an observation of n and the mean length."""
+    told = Observation()
+    size = sum((F.size(f"t{k}") for k in range(len(fields))), F.lit(0))
+    return listed.observe(told, F.count("*").alias("n"), F.avg(size).alias("mean")), told
+
+
 def store(docs: DataFrame, fields: dict[str, float] = FIELDS) -> tuple[DataFrame, tuple[int, float]]:
     """The postings as a table sorted by term, so that a query reads the few row groups of its terms; and (n, mean length) of the same pass.
 
     A term's postings may fill several files: files are cut by term and id. Places are written as differences, in a column of
     their own that only phrases and the like read.
     """
-    told = Observation()
-    rows = durable(counted_terms(docs, fields).observe(told, F.count("*").alias("n"), F.avg("length").alias("mean")), **DELTAS)
-    postings = rows.select("id", "length", F.inline("terms")).select("term", "id", "tf", "length", "places")
-    table = durable(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), **DELTAS)
+    listed, told = observed(listed_tokens(docs, fields), fields)
+    rows = durable(counted_terms(listed, fields), **DELTAS)
+    table = durable(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), **DELTAS)
     discard(rows)
     return table, (told.get["n"], told.get["mean"] or 1.0)
 

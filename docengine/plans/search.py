@@ -41,8 +41,8 @@ class Corpus:
 def build(docs: DataFrame, body: bool = True, **more: Any) -> Corpus:
     """Stores the indexes of a corpus, each sorted by its term."""
     postings, stats = search.store(docs)
-    own, own_stats = search.store(docs, {"body": 1.0}) if body else (None, (0, 1.0))
-    blocks = bounded.store_blocks(own, own_stats) if body else None
+    blocks, own_stats = bounded.store(docs, {"body": 1.0}) if body else (None, (0, 1.0))
+    own = bounded.postings(blocks) if body else None
     return Corpus(docs, postings, stats, search.store_trigrams(docs), search.store_parts(docs), own, own_stats, blocks, **more)
 
 

@@ -52,6 +52,14 @@ def _index(spark: SparkSession, sf_dir: str, fields: dict[str, float] = search.F
     return docs, *_STORED[key]
 
 
+def _body_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, float]]:
+    """The stored blocks of the corpus' bodies."""
+    key = (spark.sparkContext.applicationId, sf_dir, "body blocks")
+    if key not in _STORED:
+        _STORED[key] = bounded.store(corpus.documents(spark, sf_dir), {"body": 1.0})
+    return _STORED[key]
+
+
 _TIER_SQL = "CASE WHEN lower(title) = '{q}' OR lower(key) = '{q}' THEN 0 WHEN starts_with(lower(title), '{q}') THEN 1 WHEN contains(lower(title), '{q}') THEN 2 ELSE 3 END::INT"
 
 
@@ -70,19 +78,16 @@ def search_fulltext_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORPUS_SQL}, {_postings_sql({'body': 1.0})}, {_match_sql(["starts_with(term, 'the')", "starts_with(term, 'and')"], 2)} SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 50")
 def search_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, postings, stats = _index(spark, sf_dir, {"body": 1.0})
-    return search.match(postings, stats, search.parse(Q)).orderBy(F.col("score").desc(), "id").limit(50)
+    blocks, stats = _body_blocks(spark, sf_dir)
+    return search.match(bounded.postings(blocks), stats, search.parse(Q)).orderBy(F.col("score").desc(), "id").limit(50)
 
 
 @query(f"WITH {CORPUS_SQL}, {_postings_sql({'body': 1.0})}, {_match_sql(["term = 'thereand'", "starts_with(term, 'les')"], 1)} SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 50")
 def search_body_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best bodies from the blocks of postings that can hold them."""
-    _, postings, stats = _index(spark, sf_dir, {"body": 1.0})
-    key = (spark.sparkContext.applicationId, sf_dir, "body blocks")
-    if key not in _STORED:
-        _STORED[key] = (bounded.store_blocks(postings, stats),)
+    blocks, stats = _body_blocks(spark, sf_dir)
     some = search.Query((search.Group((), ("thereand",)), search.Group(("les",))), any=True)
-    return bounded.best(_STORED[key][0], stats, some, 50).rows
+    return bounded.best(blocks, stats, some, 50).rows
 
 
 @query(f"WITH {CORPUS_SQL}, {_postings_sql(search.FIELDS)}, {_match_sql(["term = 'thereand'", "term = 'erenst'", "term = 'les'"], 1)} SELECT id, score FROM hit ORDER BY score DESC, id LIMIT 50")

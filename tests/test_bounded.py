@@ -66,3 +66,23 @@ def test_edges(index, spark):
     assert bounded.best(bounded.store_blocks(none, nothing), nothing, search.parse("w1"), 5).rows.count() == 0
     assert blocks.groupBy("term", "block").count().where("count > 1").count() == 0
     assert blocks.agg(F.sum("n")).first()[0] == postings.count()
+
+
+def test_blocks_of_documents_serve_for_postings_too(spark, index):
+    """One table, written from one shuffle: its postings, places included, are those of the table of postings, and its best are the best."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(40)], k=rnd.choice([1, 5, 40]))), rnd.choice([None, "", "w1 w2", "w3"])) for i in range(700)]
+    docs = spark.createDataFrame(rows + [(700, None, None), (701, "", ""), (702, "é w7 " * 2000, "w7")], "id long, body string, title string").repartition(3)
+    fields = {"body": 1.0, "title": 2.5}
+    postings, stats = search.store(docs, fields)
+    blocks, own = bounded.store(docs, fields, size=16)
+    view = bounded.postings(blocks)
+    assert own == stats and stats[0] == 703 and view.columns == postings.columns
+    assert sorted(map(tuple, view.collect())) == sorted(map(tuple, postings.collect()))
+    assert blocks.groupBy("term", "block").count().where("count > 1").count() == 0 and blocks.agg(F.max("n")).first()[0] == 16
+    for text in ("w3", "w1 w2 w5", "w4* NOT w0", "(w9 OR w11) AND w2"):
+        asked((postings, stats, blocks), search.parse(text), 20)
+    by = lambda rows: [tuple(r) for r in search.match(rows, stats, search.parse('"w1 w2" OR title: w3'), fields).orderBy("id").collect()]
+    assert by(view) == by(postings) and len(by(view)) > 10
+    none, nothing = bounded.store(spark.createDataFrame([], "id long, body string"), {"body": 1.0})
+    assert bounded.best(none, nothing, search.parse("w1"), 5).rows.count() == 0 and bounded.postings(none).count() == 0
