@@ -46,11 +46,13 @@ def catalogue(libraries: DataFrame, payload: str = "payload", skip: Sequence[str
     What can't be mended has no guides. Of guides with a key, the first in its catalogue stays; of several catalogues, that of the
     smallest path.
     """
-    mended = F.regexp_replace(F.regexp_replace(F.trim(payload), r"(?s)^\((.*)\)$", "$1"), r",\s*([}\]])", "$1")
     lenient = {"allowUnquotedFieldNames": "true"}
-    read = F.coalesce(_documents(F.from_json(F.col(payload), _HEAD)), _documents(F.from_json(mended, _HEAD, lenient)))
-    rows = libraries.select(read.alias("x")).where("x is not null").select("x.columns", F.posexplode("x.documents").alias("place", "d"))
-    at = lambda name: F.get("d", F.col("columns")[name])
+    mended = lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), r"(?s)^\((.*)\)$", "$1"), r",\s*([}\]])", "$1")
+    read = lambda p: F.coalesce(_documents(F.from_json(p, _HEAD)), _documents(F.from_json(mended(p), _HEAD, lenient)))
+    # what is an element of an array is worked out once; and of an outer generator, the optimizer infers no filter that reads all once more
+    listed = lambda x: F.transform(x["documents"], lambda d, i: F.struct(i.alias("place"), *[F.get(d, x["columns"][c]).alias(c) for c in ("name", "type", "url", "platform")]))
+    rows = libraries.select(F.inline_outer(F.flatten(F.transform(F.filter(F.transform(F.array(payload), read), lambda x: x.isNotNull()), listed)))).where("place is not null")
+    at = F.col
     path = F.regexp_replace(F.regexp_replace(F.coalesce(at("url"), F.lit("")), r"^\.\./", ""), "(?s)#.*$", "")
     rows = rows.select("place", at("type").alias("type"), path.alias("path"), decode_entities(at("name")).alias("title"), decode_entities(at("platform")).alias("platform"))
     ending = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
@@ -63,7 +65,7 @@ def catalogue(libraries: DataFrame, payload: str = "payload", skip: Sequence[str
 
 def _documents(x: Column) -> Column:
     """A parsed catalogue if it has rows, else null."""
-    return F.when(x["documents"].isNotNull() & x["columns"].isNotNull(), x)
+    return F.get(F.filter(F.array(x), lambda y: y["documents"].isNotNull() & y["columns"].isNotNull()), F.lit(0))
 
 
 def archive_key(path: Column) -> Column:

@@ -115,3 +115,10 @@ def test_chapters(spark):
     assert {k: r["document"]["title"] for k, r in got.items()} == {root: "Book", "tspl/GuidedTour/Basics": "Basics", "tspl/LanguageGuide/basics": "Own title", "tspl/ABCNotes": "ABC Notes"}
     assert json.loads(got["tspl/LanguageGuide/basics"]["document"]["source_metadata"]) == {"bookSection": "Language Guide", "bookSectionDir": "LanguageGuide"}
     assert got["tspl/ABCNotes"]["document"]["source_metadata"] is None and got[root]["document"]["kind"] == "collection"
+
+
+def test_a_catalogue_is_parsed_once(spark):
+    """The plan has the parser twice: as it is, and mended where that fails."""
+    table = spark.createDataFrame([("{}",)], "payload string").selectExpr("concat(payload, '') as payload")
+    plan = archives.catalogue(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and plan.count(" concat(payload") <= 1
