@@ -203,7 +203,7 @@ def _text(node: _Node | str, raw: bool) -> Generator:
 
 def _tidy(text: str) -> str:
     out: list[str] = []
-    for line in (" ".join(x.split(" ")) for x in text.split("\n")):
+    for line in text.split("\n"):
         line = " ".join(line.split())
         if line or (out and out[-1]):
             out.append(line)

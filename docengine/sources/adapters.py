@@ -18,9 +18,9 @@ from ..session import ship
 from .base import SourceAdapter, register, whole_files
 
 
-def _bundles(raw: DataFrame, one: Any) -> DataFrame:
-    """Bundles of payloads by a function of (key, payload) to a bundle or None, in Arrow batches."""
-    return computed(raw, ("key", "payload"), one, BUNDLE)
+def _bundles(raw: DataFrame, one: Any, *more: str) -> DataFrame:
+    """Bundles of payloads by a function of (key, payload), and of more columns, to a bundle or None, in Arrow batches."""
+    return computed(raw, ("key", "payload", *more), one, BUNDLE)
 
 
 def document(**values: Any) -> dict[str, Any]:
@@ -65,7 +65,10 @@ class Markdown(SourceAdapter):
 
 
 class Html(SourceAdapter):
-    """HTML pages; a title's ending that all pages have is cut off; pages that moved become redirects."""
+    """HTML pages; a title's ending that all pages have is cut off; pages that moved become redirects.
+
+    A page tells by itself whether it has moved, so that pages are read once and none is shuffled.
+    """
 
     def __init__(self, source_type: str, display_name: str, title_suffix: str = "", mode: str = "flat") -> None:
         self.source_type, self.display_name, self.suffix, self.mode = source_type, display_name, title_suffix, mode
@@ -75,9 +78,10 @@ class Html(SourceAdapter):
 
     def normalize(self, raw: DataFrame) -> DataFrame:
         source, suffix = self.source_type, self.suffix
-        moved = raw.select("key", "payload", html.redirect_target(F.col("payload")).alias("to")).where("to is not null")
 
-        def one(key: str, text: str) -> dict[str, Any]:
+        def one(key: str, text: str, to: str | None) -> dict[str, Any]:
+            if to is not None:
+                return stub(key, to)
             d = html.parse(text, preserve=True)
             parts = [{"section_kind": "abstract" if i == 0 and s["heading"] is None else "discussion", "heading": s["heading"], "content_text": s["content"], "content_json": None, "sort_order": i} for i, s in enumerate(d["sections"])]
             heads = " ".join(s["heading"] for s in d["sections"] if s["heading"]) or None
@@ -86,8 +90,7 @@ class Html(SourceAdapter):
         def stub(key: str, text: str) -> dict[str, Any]:
             return {"document": document(source_type=source, key=key, kind="redirect", title=f"Moved to {text}", abstract_text=f"This page has moved. The current location is {text}.", url=text), "sections": [], "relationships": []}
 
-        pages = _bundles(raw.join(moved.select("key"), "key", "left_anti"), one)
-        return pages.unionByName(_bundles(moved.select("key", F.col("to").alias("payload")), stub))
+        return _bundles(raw.select("key", "payload", html.redirect_target(F.col("payload")).alias("to")), one, "to")
 
 
 class Guidelines(Html):

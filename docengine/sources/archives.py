@@ -47,20 +47,26 @@ def catalogue(libraries: DataFrame, payload: str = "payload", skip: Sequence[str
     smallest path.
     """
     lenient = {"allowUnquotedFieldNames": "true"}
-    mended = lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), r"(?s)^\((.*)\)$", "$1"), r",\s*([}\]])", "$1")
+    mended = lambda p: F.regexp_replace(_unwrapped(F.trim(p)), r",\s*([}\]])", "$1")
     read = lambda p: F.coalesce(_documents(F.from_json(p, _HEAD)), _documents(F.from_json(mended(p), _HEAD, lenient)))
     # what is an element of an array is worked out once; and of an outer generator, the optimizer infers no filter that reads all once more
-    listed = lambda x: F.transform(x["documents"], lambda d, i: F.struct(i.alias("place"), *[F.get(d, x["columns"][c]).alias(c) for c in ("name", "type", "url", "platform")]))
+    path = lambda url: F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^\.\./", ""), "(?s)#.*$", "")
+    cell = lambda d, x, c: F.get(d, x["columns"][c])
+    listed = lambda x: F.transform(x["documents"], lambda d, i: F.struct(i.alias("place"), path(cell(d, x, "url")).alias("path"), *[cell(d, x, c).alias(c) for c in ("name", "type", "platform")]))
     rows = libraries.select(F.inline_outer(F.flatten(F.transform(F.filter(F.transform(F.array(payload), read), lambda x: x.isNotNull()), listed)))).where("place is not null")
-    at = F.col
-    path = F.regexp_replace(F.regexp_replace(F.coalesce(at("url"), F.lit("")), r"^\.\./", ""), "(?s)#.*$", "")
-    rows = rows.select("place", at("type").alias("type"), path.alias("path"), decode_entities(at("name")).alias("title"), decode_entities(at("platform")).alias("platform"))
     ending = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     rows = rows.withColumn("format", F.lower(F.when(ending == "", "html").otherwise(ending)))
     wanted = (F.col("type") == GUIDE) & (F.startswith("path", F.lit(FOLDERS[0])) | F.startswith("path", F.lit(FOLDERS[1]))) & F.col("format").isin(*FORMATS) & ~F.col("path").isin(*skip)
-    meta = F.to_json(F.struct(F.lit("Guides").alias("resourceType"), "platform", F.col("path").alias("archivePath"), "format"))
-    rows = rows.where(wanted).select(archive_key(F.col("path")).alias("key"), "title", F.concat(F.lit(LIBRARY + "/"), "path").alias("url"), "format", meta.alias("source_metadata"), F.struct("place", "path").alias("_at"))
-    return rows.groupBy("key").agg(F.min_by(F.struct("title", "url", "format", "source_metadata"), "_at").alias("x")).select("key", "x.*")
+    rows = rows.where(wanted).select(archive_key(F.col("path")).alias("key"), "name", "platform", "path", "format", F.struct("place", "path").alias("_at"))
+    # names are decoded after the choice, so that those of guides that go aren't
+    first = rows.groupBy("key").agg(F.min_by(F.struct("name", "platform", "path", "format"), "_at").alias("x")).select("key", "x.*")
+    meta = F.to_json(F.struct(F.lit("Guides").alias("resourceType"), decode_entities(F.col("platform")).alias("platform"), F.col("path").alias("archivePath"), "format"))
+    return first.select("key", decode_entities(F.col("name")).alias("title"), F.concat(F.lit(LIBRARY + "/"), "path").alias("url"), "format", meta.alias("source_metadata"))
+
+
+def _unwrapped(text: Column) -> Column:
+    """Without brackets around all of it; a line's end may follow them."""
+    return F.when(text.startswith("(") & text.endswith(")"), F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(F.regexp_replace(text, r"(?s)^\((.*)\)$", "$1"))
 
 
 def _documents(x: Column) -> Column:

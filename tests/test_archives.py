@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docengine import content_queries
 from docengine.sources import adapters, archives, base  # noqa: F401 - adapters register themselves
 
 COLUMNS = {"name": 0, "type": 1, "url": 2, "platform": 3}
@@ -122,3 +123,37 @@ def test_a_catalogue_is_parsed_once(spark):
     table = spark.createDataFrame([("{}",)], "payload string").selectExpr("concat(payload, '') as payload")
     plan = archives.catalogue(table)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 2 and plan.count(" concat(payload") <= 1
+
+
+def test_pages_of_a_site_are_read_once(spark):
+    """Whether a page has moved is told in the same pass, page by page: nothing is joined or shuffled for it."""
+    moved = '<title>Redirecting</title><link rel="canonical" href=" https://x.org/new ">'
+    rows = [("apple-archive/a", moved), ("apple-archive/a", "<title>A</title><main><p>x</p></main>"), ("apple-archive/b", "<title>B</title><main><p>y</p></main>"), ("apple-archive/c", None), ("apple-archive/d", "<title>Redirecting</title>")]
+    bundles = base.adapter("apple-archive").normalize(spark.createDataFrame(rows, "key string, payload string"))
+    plan = bundles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Union" not in plan
+    got = sorted((r["document"]["key"], r["document"]["kind"], r["document"]["title"], r["document"]["url"]) for r in bundles.collect())
+    assert got == [
+        ("apple-archive/a", "article", "A", None), ("apple-archive/a", "redirect", "Moved to https://x.org/new", "https://x.org/new"), ("apple-archive/b", "article", "B", None),
+        ("apple-archive/c", "article", "c", None), ("apple-archive/d", "article", "Redirecting", None),
+    ]
+
+
+def test_brackets_around_a_catalogue(spark):
+    mend = r"(?s)^\((.*)\)$"
+    odd = spark.createDataFrame([(x,) for x in ("", None, "(", ")", "()", "(a)", "((é))", "(a)\n", "(a)\r\n", "(a)x", "a)", "(a\n)b)")], "p string")
+    assert odd.where(~archives._unwrapped(F.col("p")).eqNullSafe(F.regexp_replace("p", mend, "$1"))).count() == 0
+
+
+def test_names_of_guides_that_go_are_not_decoded(spark):
+    table = spark.createDataFrame([("{}",)], "payload string")
+    plan = archives.catalogue(table)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, x in enumerate(plan) if "Aggregate" in x)
+    assert any("&amp;" in x for x in plan[:first]) and not any("&amp;" in x for x in plan[first:])
+
+
+def test_words_are_letters_and_single_spaces(spark):
+    odd = ("", None, " ", "a", "don't  stop", " -  a\t b\n\nc ", "é ü", "日本 語", "x" * 5000 + ".", "a - - b", " a b")
+    old = F.concat(F.lit("L "), F.trim(F.regexp_replace(F.regexp_replace("p", "[^A-Za-z ]+", ""), " +", " ")), F.lit("."))
+    table = spark.createDataFrame([(x,) for x in odd], "p string")
+    assert table.where(~content_queries.words(F.col("p")).eqNullSafe(old)).count() == 0
