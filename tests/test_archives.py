@@ -157,3 +157,11 @@ def test_words_are_letters_and_single_spaces(spark):
     old = F.concat(F.lit("L "), F.trim(F.regexp_replace(F.regexp_replace("p", "[^A-Za-z ]+", ""), " +", " ")), F.lit("."))
     table = spark.createDataFrame([(x,) for x in odd], "p string")
     assert table.where(~content_queries.words(F.col("p")).eqNullSafe(old)).count() == 0
+
+
+def test_lines_of_a_document(spark):
+    odd = ("", None, "\n", "\n\n", "a", "a\n", "a\nb", "a\nb\n", "a\n\nc", "\n\n\nd", "é1\nü\n日 x\ny\n", "a\r\nb\rc\n\r\nd")
+    table = spark.createDataFrame([(x,) for x in odd], "text string")
+    for n in (1, 2, 3):
+        assert table.where(~content_queries.line(n).eqNullSafe(content_queries.words(F.split_part("text", F.lit("\n"), F.lit(n))))).count() == 0
+    assert table.where(~content_queries.after_lines(2).eqNullSafe(F.regexp_replace("text", content_queries._HEAD, ""))).count() == 0
